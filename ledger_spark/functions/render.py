@@ -21,8 +21,8 @@ def plain_money_text(value: Column) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    """``12.3%``"""
-    return F.concat(F.format_number(value, 1), F.lit("%"))
+    """``12.3%``, without grouping"""
+    return F.concat(F.call_function("format_number", value, F.lit("0.0")), F.lit("%"))
 
 
 def day_text(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import as_double
-from ledger_spark.keyed import first_per_key, join_on_keys
+from ledger_spark.keyed import first_per_key
 from ledger_spark.operators.rollup import cells_by
 from ledger_spark.schema import UNCATEGORISED
 
@@ -73,17 +73,18 @@ def spending_breakdown(
     totals = exact.groupBy(*keys).agg(
         F.sum("amount").alias("__total"), F.count(F.lit(1)).alias("__labels")
     )
-    if keys:
-        ranked = join_on_keys(top, totals, keys)
-    else:
-        ranked = top.crossJoin(F.broadcast(totals))
+    # Laid under each other rather than joined: one small shuffle by key.
+    stacked = top.unionByName(totals, allowMissingColumns=True)
+    whole = Window.partitionBy(*keys)
+    ranked = stacked.withColumns(
+        {"__total": F.max("__total").over(whole), "__labels": F.max("__labels").over(whole)}
+    )
     crowded = F.col("__labels") > slices
     in_bucket = crowded & (F.col("__rank") == slices)
-    before = Window.partitionBy(*keys).orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.sum("amount").over(before)
-    amount = F.when(in_bucket, F.col("__total") - F.coalesce(kept, F.lit(0))).otherwise(
-        F.col("amount")
-    )
+    before = whole.orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("__kept", F.coalesce(F.sum("amount").over(before), F.lit(0)))
+    ranked = ranked.filter(F.col("__rank").isNotNull())
+    amount = F.when(in_bucket, F.col("__total") - F.col("__kept")).otherwise(F.col("amount"))
     label = F.when(in_bucket, F.lit(UNCATEGORISED)).otherwise(F.col("category"))
     share = as_double(amount) / as_double(F.col("__total")) * F.lit(100.0)
     return ranked.select(

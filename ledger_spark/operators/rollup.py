@@ -39,11 +39,17 @@ def merged_measures() -> list[Column]:
     ]
 
 
+def with_category(tx: DataFrame) -> DataFrame:
+    """A table without categories gets null ones, which no category report shows."""
+    if "category" in tx.columns:
+        return tx
+    return tx.withColumn("category", F.lit(None).cast("string"))
+
+
 def rollup(tx: DataFrame, by: Sequence[str]) -> DataFrame:
     """Cells of a normalised transaction table."""
-    if "category" in by and "category" not in tx.columns:
-        tx = tx.withColumn("category", F.lit(None).cast("string"))
-    return tx.groupBy(*by).agg(*measures())
+    source = with_category(tx) if "category" in by else tx
+    return source.groupBy(*by).agg(*measures())
 
 
 def base_cells(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

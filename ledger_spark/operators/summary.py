@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import as_double, savings_rate, zero_if_null
 from ledger_spark.functions.render import day_text
-from ledger_spark.operators.rollup import base_cells, merged_measures
+from ledger_spark.operators.rollup import measures, merged_measures, with_category
 from ledger_spark.schema import MONEY
 
 SUMMARY_COLUMNS = (
@@ -31,14 +31,14 @@ def profile(
 ) -> DataFrame:
     """Summary columns plus date bounds and the number of expense categories.
 
-    The cells are merged once into grouping sets, by month and by category, and
-    then folded to one row per key. The transaction table is read once and no
-    join is needed.
+    Two grouping sets, by month and by category, come from one pass over the
+    transactions (or their cells) and are then folded to one row per key. The
+    table is read once and no join is needed.
     """
-    cells = cells if cells is not None else base_cells(tx, keys)
+    source, sums = (with_category(tx), measures()) if cells is None else (cells, merged_measures())
     by_month, by_category = [*keys, "year_month"], [*keys, "category"]
-    grouped = cells.groupingSets([by_month, by_category], *keys, "year_month", "category").agg(
-        F.grouping("category").alias("__monthly"), *merged_measures()
+    grouped = source.groupingSets([by_month, by_category], *keys, "year_month", "category").agg(
+        F.grouping("category").alias("__monthly"), *sums
     )
     monthly = F.col("__monthly") == 1
     month = monthly & F.col("year_month").isNotNull() & (F.col("nonzero") > 0)

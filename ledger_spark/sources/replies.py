@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledger_spark.functions.parsing import to_money, to_moment
 from ledger_spark.functions.text import before_last
-from ledger_spark.schema import TRANSACTIONS
 
 _RECORDS = "array<map<string,string>>"
 _FIELDS = ("date", "description", "amount", "type", "category")
@@ -60,12 +60,14 @@ def close_truncated(text: Column) -> Column:
 def read_replies(replies: DataFrame, response: str = "response") -> DataFrame:
     """Add content, finish_reason, records and status to a table of replies."""
     envelope = F.col(response)
+    # A valid envelope without content counts as an empty object.
     content = F.coalesce(
-        F.get_json_object(envelope, "$.choices[0].message.content"), F.lit("{}")
+        F.get_json_object(envelope, "$.choices[0].message.content"),
+        F.when(F.try_parse_json(envelope).isNotNull(), F.lit("{}")),
     )
     df = replies.select(
         "*",
-        F.when(F.try_parse_json(envelope).isNotNull(), content).alias("content"),
+        content.alias("content"),
         F.get_json_object(envelope, "$.choices[0].finish_reason").alias("finish_reason"),
     )
     valid = _is_json(F.col("content"))
@@ -83,19 +85,13 @@ def read_replies(replies: DataFrame, response: str = "response") -> DataFrame:
     return df.withColumn("status", status).drop("__usable")
 
 
-def _field(record: Column, name: str) -> Column:
-    """Value of the last entry whose key equals ``name`` in lower case."""
-    entries = F.filter(F.map_entries(record), lambda e: F.lower(e["key"]) == name)
-    return F.try_element_at(entries, F.lit(-1))["value"]
+def _lower_keys(record: Column) -> Column:
+    """The record with its keys in lower case; the last of equal keys counts.
 
-
-def _extras(record: Column) -> Column:
-    """Entries under unknown keys, keys in lower case, the last of equals kept."""
-    names = F.array_except(
-        F.array_distinct(F.transform(F.map_keys(record), lambda k: F.lower(k))),
-        F.array(*[F.lit(f) for f in _FIELDS]),
-    )
+    Records whose keys are in lower case already are passed through.
+    """
     entries = F.map_entries(record)
+    names = F.array_distinct(F.transform(F.map_keys(record), lambda k: F.lower(k)))
     pairs = F.transform(
         names,
         lambda n: F.struct(
@@ -105,7 +101,8 @@ def _extras(record: Column) -> Column:
             ),
         ),
     )
-    return F.map_from_entries(pairs)
+    mixed = F.exists(F.map_keys(record), lambda k: k != F.lower(k))
+    return F.when(mixed, F.map_from_entries(pairs)).otherwise(record)
 
 
 def reply_transactions(read: DataFrame) -> DataFrame:
@@ -115,27 +112,32 @@ def reply_transactions(read: DataFrame) -> DataFrame:
     ``Amount`` are converted too.
     """
     carried = [c for c in ("statement_id", "account_id") if c in read.columns]
-    rows = read.filter(F.col("records").isNotNull()).select(
-        *carried, F.posexplode("records").alias("seq", "record")
-    )
+    # The outer form, and a filter on its output: a filter on ``records`` itself
+    # (also the one that the inner form implies) would be pushed below the
+    # parsing and repeat it.
+    rows = read.select(*carried, F.posexplode_outer("records").alias("seq", "record"))
+    rows = rows.filter(F.col("seq").isNotNull())
+    rows = rows.withColumn("record", _lower_keys(F.col("record")))
     record = F.col("record")
-    date = to_moment(_field(record, "date"), TRANSACTIONS["description"].dataType)
     return rows.select(
         *carried,
         F.col("seq").cast("bigint").alias("seq"),
-        date.alias("date"),
-        _field(record, "description").alias("description"),
-        to_money(_field(record, "amount")).alias("amount"),
-        _field(record, "type").alias("type"),
-        _field(record, "category").alias("category"),
-        _extras(record).alias("extras"),
+        to_moment(record["date"], T.StringType()).alias("date"),
+        record["description"].alias("description"),
+        to_money(record["amount"]).alias("amount"),
+        record["type"].alias("type"),
+        record["category"].alias("category"),
+        F.map_filter(record, lambda k, _: ~k.isin(*_FIELDS)).alias("extras"),
     )
 
 
 def rejected_replies(read: DataFrame, response: str = "response") -> DataFrame:
     """Replies that stay unusable after repair, with their raw text."""
     carried = [c for c in ("statement_id", "account_id") if c in read.columns]
-    return read.filter(F.col("status") == "rejected").select(*carried, response)
+    # Exploded rather than filtered on ``status``, for the same reason as above.
+    raw = F.explode_outer(F.when(F.col("status") == "rejected", F.array(F.struct(response))))
+    kept = read.select(*carried, raw.alias("__raw")).filter(F.col("__raw").isNotNull())
+    return kept.select(*carried, f"__raw.{response}")
 
 
 def decode_advice(content: Column) -> Column:
