@@ -70,8 +70,8 @@ def analyse(transactions: DataFrame, keys: Sequence[str] = ()) -> Analysis:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV files with a header line, one per partition."""
-    writer = df.write.mode(mode).option("header", True)
+    """CSV files with a header line, one per partition; quotes are doubled."""
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
     writer.option("timestampNTZFormat", CSV_TIMESTAMP).csv(path)
 
 

@@ -25,6 +25,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A reply may repeat a key within one object; the last one counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **(extra or {}),
     }
     if shuffle_partitions:

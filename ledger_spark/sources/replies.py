@@ -88,10 +88,11 @@ def read_replies(replies: DataFrame, response: str = "response") -> DataFrame:
 def _lower_keys(record: Column) -> Column:
     """The record with its keys in lower case; the last of equal keys counts.
 
-    Records whose keys are in lower case already are passed through.
+    Records whose keys are distinct and in lower case already are passed through.
     """
     entries = F.map_entries(record)
-    names = F.array_distinct(F.transform(F.map_keys(record), lambda k: F.lower(k)))
+    keys = F.map_keys(record)
+    names = F.array_distinct(F.transform(keys, lambda k: F.lower(k)))
     pairs = F.transform(
         names,
         lambda n: F.struct(
@@ -101,8 +102,7 @@ def _lower_keys(record: Column) -> Column:
             ),
         ),
     )
-    mixed = F.exists(F.map_keys(record), lambda k: k != F.lower(k))
-    return F.when(mixed, F.map_from_entries(pairs)).otherwise(record)
+    return F.when(names == keys, record).otherwise(F.map_from_entries(pairs))
 
 
 def reply_transactions(read: DataFrame) -> DataFrame:

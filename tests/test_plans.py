@@ -1,0 +1,184 @@
+"""What the physical plans look like, and composite plans end to end."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import re
+
+import pytest
+
+from ledger_spark.operators import balance, categories, explore, monthly, patterns, summary
+from ledger_spark.operators.normalize import normalize
+from ledger_spark.plans import narrative, reports, requests
+from ledger_spark.schema import PAGES, REPLIES
+from ledger_spark.sources.pages import assemble_pages, clean_statements
+from ledger_spark.sources.replies import read_replies, reply_transactions
+from ledger_spark.staging import new_path, shared_folder, stage
+from tests.conftest import random_rows, row, rows_of
+
+ACCOUNT = ["account_id"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    pushed = re.search(r"PushedFilters: \[(.*)\]", df._jdf.queryExecution().explainString(mode))
+    return pushed.group(1)
+
+
+def scans(plan: str, column: str) -> int:
+    return len(re.findall(rf"FileScan parquet \[[^\]]*\b{column}#", plan))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, table):
+    """A normalised table on disk."""
+    return stage(normalize(table(random_rows(31, 2000))), "stored")
+
+
+def test_filters_reach_the_scan(stored):
+    kept = explore.filter_transactions(
+        stored, dt.date(2024, 1, 1), dt.date(2024, 1, 31), "Food", "debit", "shop 1"
+    )
+    text = formatted(kept)
+    assert "GreaterThanOrEqual(date,2024-01-01" in text and "LessThan(date,2024-02-01" in text
+    assert "EqualTo(category,Food)" in text and "EqualTo(type,debit)" in text
+
+
+def test_reports_read_only_their_columns(stored):
+    plan = plan_of(monthly.monthly_cash_flow(stored, ACCOUNT))
+    scanned = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1)
+    assert set(re.findall(r"(\w+)#", scanned)) == {"account_id", "amount", "year_month"}
+
+
+def test_monthly_report_is_one_shuffle_and_one_scan(stored):
+    plan = plan_of(monthly.monthly_income_vs_expenses(stored, ACCOUNT))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "partial_sum" in plan and scans(plan, "amount") == 1
+
+
+def test_summary_reads_the_table_once_without_joins(stored):
+    plan = plan_of(summary.summary(stored, ACCOUNT))
+    assert scans(plan, "amount") == 1 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_trend_reads_the_table_once(stored):
+    assert scans(plan_of(categories.category_trend(stored, ACCOUNT)), "amount") == 1
+
+
+def test_top_lists_are_trimmed_before_the_shuffle(stored):
+    for df in (
+        patterns.top_income_sources(stored, ACCOUNT),
+        patterns.recurring_expenses(stored, ACCOUNT),
+        categories.top_categories(stored, ACCOUNT),
+        categories.category_trend(stored),
+    ):
+        assert "Partial" in re.findall(r"WindowGroupLimit .*", plan_of(df))[-1]
+
+
+def test_whole_table_balance_never_gathers_its_rows(stored):
+    plan = plan_of(balance.running_balance(stored))
+    single = plan.index("Exchange SinglePartition")
+    below = plan[single:]
+    assert "HashAggregate(keys=[__block" in below.splitlines()[1]
+
+
+def test_stage_uses_the_configured_folder(spark, table):
+    folder = shared_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir")
+    assert new_path(spark, "a").startswith(folder) and new_path(spark, "a") != new_path(spark, "a")
+    df = table([row(0, "2024-01-01", 5)])
+    assert stage(df, "x").schema == df.schema
+
+
+def test_csv_round_trip(spark, table, tmp_path):
+    tx = normalize(table([row(0, "2024-03-09 10:00:00.123456", 5, 'a, "b"\nc'), row(1, None, None, "d")]))
+    path = str(tmp_path / "out")
+    reports.write_csv(tx, path)
+    reader = spark.read.schema(tx.schema).option("header", True).option("multiLine", True)
+    reader = reader.option("escape", '"').option("timestampNTZFormat", reports.CSV_TIMESTAMP)
+    assert rows_of(reader.csv(path)) == rows_of(tx)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_report_set(spark, table, tmp_path, fmt):
+    analysis = reports.analyse(normalize(table(random_rows(32, 200))))
+    paths = reports.write_report_set(analysis, str(tmp_path), fmt)
+    assert list(paths) == [
+        "Transactions",
+        "Monthly Cash Flow",
+        "Income vs Expenses",
+        "Category Spending",
+        "Summary",
+    ]
+    for name, df in reports.report_tables(analysis).items():
+        reader = spark.read.schema(df.schema).option("header", True)
+        assert reader.format(fmt).load(paths[name]).count() == df.count()
+
+
+def test_template_narrative(table):
+    tx = normalize(table([row(0, "2024-01-01", 1234.5), row(1, "2024-01-02", -1500)]))
+    facts = summary.summary(tx)
+    refused = narrative.template_narrative(facts).first()
+    assert refused.summary == (
+        "In this period your income was ₹1,234.50 and your expenses were ₹1,500.00, a negative "
+        "cash flow of ₹265.50. Your savings rate was -21.5%."
+    )
+    failed = narrative.template_narrative(facts, template=narrative.FAILED).first()
+    assert failed.summary.endswith("₹265.50.") and len(failed.tips) == 3
+
+
+def test_insights_fall_back_by_cause(spark, table):
+    tx = normalize(table([row(i, "2024-01-01", 10, account=i) for i in range(1, 5)]))
+    facts = requests.account_facts(tx, ACCOUNT)
+    good = json.dumps({"summary": "fine", "tips": ["t"], "custom_advice": "c"})
+
+    def reply(content):
+        return json.dumps({"choices": [{"message": {"content": content}}]})
+
+    answers = spark.createDataFrame(
+        [(1, 200, reply(good)), (2, 500, None), (3, 200, reply("junk"))],
+        "account_id long, status int, response string",
+    )
+    got = {r.account_id: r for r in narrative.insights(facts, answers, ACCOUNT).collect()}
+    assert (got[1].summary, got[1].tips, got[1].custom_advice) == ("fine", ["t"], "c")
+    assert got[2].custom_advice == narrative.REFUSED.advice
+    assert got[3].custom_advice == got[4].custom_advice == narrative.FAILED.advice
+    assert all(r.health_score == 75 for r in got.values())
+    whole = narrative.insights(requests.account_facts(tx)).collect()
+    assert len(whole) == 1 and whole[0].custom_advice == narrative.FAILED.advice
+
+
+def test_requests_are_valid_json(spark, table):
+    pages = spark.createDataFrame([("s", 1, 'He said "l5"\nPage 1 of 2')], PAGES)
+    body = json.loads(requests.extraction_requests(clean_statements(assemble_pages(pages))).first().body)
+    assert [m["role"] for m in body["messages"]] == ["system", "user"]
+    assert body["messages"][1]["content"].endswith('He said "15" ')
+    assert (body["temperature"], body["max_tokens"]) == (0.1, 8000)
+    assert body["response_format"] == {"type": "json_object"}
+
+    tx = normalize(table([row(0, "2024-01-01", 10, "pay"), row(1, "2024-01-01", -3)]))
+    advice = json.loads(requests.advice_requests(requests.account_facts(tx)).first().body)
+    assert (advice["temperature"], advice["max_tokens"]) == (0.7, 2000)
+    assert "- pay: ₹10.00" in advice["messages"][1]["content"]
+    assert "None identified" in advice["messages"][1]["content"]
+
+
+def test_facts_without_any_date(table):
+    facts = requests.facts_block(requests.account_facts(normalize(table([row(0, None, None)])))).first()
+    assert "- Period: n/a" in facts.facts and "- Savings rate: n/a" in facts.facts
+
+
+def test_replies_to_report(spark):
+    content = json.dumps(
+        {"transactions": [{"Date": "2024-01-05", "Amount": "100", "type": "credit"}, {"Date": "2024-01-06", "Amount": "40", "type": "debit"}]}
+    )
+    response = json.dumps({"choices": [{"message": {"content": content}}]})
+    replies = spark.createDataFrame([("s", 1, response)], REPLIES)
+    tx = normalize(reply_transactions(read_replies(replies)))
+    assert [tuple(r) for r in monthly.monthly_income_vs_expenses(tx).collect()] == [("2024-01", 100.0, 40.0, 60.0, 60.0)]
