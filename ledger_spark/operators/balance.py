@@ -24,20 +24,18 @@ def running_balance(
     A row without an amount has no balance and later rows continue; rows
     without a date come last; rows of one moment go by ``statement_id, seq``.
     """
-    start = F.lit(0) if opening is None else opening
     columns = list(dict.fromkeys([*keys, "statement_id", "seq", "date"]))
-    rows = tx.select(
-        *columns,
-        "amount",
-        zero_if_null(F.col("amount")).alias("__value"),
-        start.cast("decimal(28,2)").alias("__opening"),
-    )
+    rows = tx.select(*columns, "amount")
+    if opening is not None:
+        rows = tx.select(*columns, "amount", opening.cast("decimal(28,2)").alias("__opening"))
     order = [F.col("date").asc_nulls_last(), F.col("statement_id").asc(), F.col("seq").asc()]
-    summed = running_sum(
-        rows, "__value", order, "__running", keys, rows_per_task, rows_per_block
-    )
-    balance = F.when(F.col("amount").isNotNull(), F.col("__opening") + F.col("__running"))
-    return summed.select(*columns, as_double(balance).alias("running_balance"))
+    value = zero_if_null(F.col("amount"))
+    summed = running_sum(rows, value, order, "__running", keys, rows_per_task, rows_per_block)
+    balance = F.col("__running")
+    if opening is not None:
+        balance = balance + F.col("__opening")
+    shown = F.when(F.col("amount").isNotNull(), as_double(balance))
+    return summed.select(*columns, shown.alias("running_balance"))
 
 
 def balance_line(

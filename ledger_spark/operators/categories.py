@@ -16,7 +16,7 @@ from ledger_spark.schema import UNCATEGORISED
 def _spending(tx: DataFrame | None, cells: DataFrame | None, by: Sequence[str]) -> DataFrame:
     """Exact spending per group, as a positive decimal ``amount``."""
     groups = cells_by(tx, cells, by).filter(
-        (F.col("expense_rows") > 0) & F.col("category").isNotNull()
+        F.col("expense_sum").isNotNull() & F.col("category").isNotNull()
     )
     return groups.select(*by, F.abs("expense_sum").alias("amount"))
 

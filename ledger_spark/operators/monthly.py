@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import as_double, savings_rate, zero_if_null
-from ledger_spark.operators.rollup import cells_by
+from ledger_spark.operators.rollup import cells_by, has_flow, net_sum
 
 # Fixed value: the savings rate drawn as the target line, in percent.
 SAVINGS_TARGET = 20.0
@@ -31,7 +31,7 @@ def monthly_cash_flow(
     report = months.select(
         *keys,
         "year_month",
-        as_double(zero_if_null(F.col("net_sum"))).alias("net_flow"),
+        as_double(net_sum()).alias("net_flow"),
         F.col("amounts").alias("num_transactions"),
     )
     return _sorted(report, keys, "year_month")
@@ -46,7 +46,7 @@ def monthly_income_vs_expenses(
     be built and joined. A month with neither income nor expense is absent.
     """
     months = cells_by(tx, cells, [*keys, "year_month"]).filter(
-        F.col("year_month").isNotNull() & (F.col("nonzero") > 0)
+        F.col("year_month").isNotNull() & has_flow()
     )
     income = zero_if_null(F.col("income_sum"))
     expenses = F.abs(zero_if_null(F.col("expense_sum")))

@@ -158,7 +158,7 @@ def pattern_record(
     stats = stage(expense_stats(tx, keys), "expense-stats")
     source = rollup(tx, [*keys, "category"]) if cells is None else cells
     spent = (
-        source.filter((F.col("expense_rows") > 0) & F.col("category").isNotNull())
+        source.filter(F.col("expense_sum").isNotNull() & F.col("category").isNotNull())
         .groupBy(*keys, "category")
         .agg(F.abs(F.sum("expense_sum")).alias("amount"))
     )

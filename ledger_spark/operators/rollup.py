@@ -12,18 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledger_spark.functions.parsing import zero_if_null
+
 
 def measures() -> list[Column]:
-    """Aggregates over transaction rows."""
+    """Aggregates over transaction rows.
+
+    A side without any amount stays null, so ``expense_sum is not null`` tells
+    that a group has expenses, and no extra counts have to be carried.
+    """
     amount = F.col("amount")
     return [
         F.sum(F.when(amount > 0, amount)).alias("income_sum"),
         F.sum(F.when(amount < 0, amount)).alias("expense_sum"),
-        F.sum(amount).alias("net_sum"),
         F.count(F.lit(1)).alias("rows"),
         F.count(amount).alias("amounts"),
-        F.count_if(amount != 0).alias("nonzero"),
-        F.count_if(amount < 0).alias("expense_rows"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     ]
@@ -31,14 +34,23 @@ def measures() -> list[Column]:
 
 def merged_measures() -> list[Column]:
     """The same aggregates over cells."""
-    sums = ["income_sum", "expense_sum", "net_sum", "rows", "amounts", "nonzero", "expense_rows"]
     return [
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(c).alias(c) for c in ("income_sum", "expense_sum", "rows", "amounts")],
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
     ]
 
 
+def has_flow() -> Column:
+    """True for cells with at least one amount other than zero."""
+    return F.col("income_sum").isNotNull() | F.col("expense_sum").isNotNull()
+
+
+def net_sum() -> Column:
+    """Exact net amount of a cell; 0 where it has no amounts."""
+    return zero_if_null(F.col("income_sum")) + zero_if_null(F.col("expense_sum"))
+
+
 def with_category(tx: DataFrame) -> DataFrame:
     """A table without categories gets null ones, which no category report shows."""
     if "category" in tx.columns:

@@ -24,7 +24,7 @@ SMALL_BLOCK = 10_000
 
 def running_sum(
     rows: DataFrame,
-    value: str,
+    value: Column,
     order: Sequence[Column],
     out: str,
     keys: Sequence[str] = (),
@@ -60,7 +60,7 @@ def running_sum(
 
 
 def _in_windows(
-    rows: DataFrame, value: str, order: Sequence[Column], out: str, keys: Sequence[str]
+    rows: DataFrame, value: Column, order: Sequence[Column], out: str, keys: Sequence[str]
 ) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,7 +77,7 @@ def _block_count(rows: DataFrame, total: int, rows_per_block: int) -> int:
 
 def _in_blocks(
     rows: DataFrame,
-    value: str,
+    value: Column,
     order: Sequence[Column],
     out: str,
     keys: Sequence[str],
@@ -87,9 +87,11 @@ def _in_blocks(
     """Running sum over blocks of a range partitioning by key and order.
 
     The block numbers depend on sampled range bounds, so the blocks are written
-    out once and both uses read the same numbers. Only a key that began in an
-    earlier block carries a sum in, and each block has at most one such key:
-    the carry table has fewer rows than there are blocks and is broadcast.
+    out once and both uses read the same numbers. Each block then goes to a
+    partition of its own; hashing its number would pile several onto one task.
+    Only a key that began in an earlier block carries a sum in, and each block
+    has at most one such key: the carry table has fewer rows than there are
+    blocks and is broadcast.
     """
     n = _block_count(rows, total, rows_per_block)
     placed = rows.repartitionByRange(n, *keys, *order).withColumn(
@@ -105,7 +107,8 @@ def _in_blocks(
         .filter(F.col("__carry").isNotNull())
         .select(*keys, "__block", "__carry")
     )
-    summed = _in_windows(blocks, value, order, out, [*keys, "__block"])
+    own_tasks = blocks.repartitionById(n, "__block")
+    summed = _in_windows(own_tasks, value, order, out, [*keys, "__block"])
     joined = join_on_keys(summed, F.broadcast(carry), [*keys, "__block"], "left")
     whole = F.coalesce("__carry", F.lit(0)) + F.col(out)
     return joined.withColumn(out, whole).drop("__block", "__carry")

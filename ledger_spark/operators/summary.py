@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import as_double, savings_rate, zero_if_null
 from ledger_spark.functions.render import day_text
-from ledger_spark.operators.rollup import measures, merged_measures, with_category
+from ledger_spark.operators.rollup import base_cells, has_flow, merged_measures
 from ledger_spark.schema import MONEY
 
 SUMMARY_COLUMNS = (
@@ -31,18 +31,18 @@ def profile(
 ) -> DataFrame:
     """Summary columns plus date bounds and the number of expense categories.
 
-    Two grouping sets, by month and by category, come from one pass over the
-    transactions (or their cells) and are then folded to one row per key. The
+    The transactions are rolled up to cells once. Two grouping sets over the
+    cells, by month and by category, are then folded to one row per key. The
     table is read once and no join is needed.
     """
-    source, sums = (with_category(tx), measures()) if cells is None else (cells, merged_measures())
+    cells = base_cells(tx, keys) if cells is None else cells
     by_month, by_category = [*keys, "year_month"], [*keys, "category"]
-    grouped = source.groupingSets([by_month, by_category], *keys, "year_month", "category").agg(
-        F.grouping("category").alias("__monthly"), *sums
+    grouped = cells.groupingSets([by_month, by_category], *by_month, "category").agg(
+        F.grouping("category").alias("__monthly"), *merged_measures()
     )
     monthly = F.col("__monthly") == 1
-    month = monthly & F.col("year_month").isNotNull() & (F.col("nonzero") > 0)
-    label = ~monthly & F.col("category").isNotNull() & (F.col("expense_rows") > 0)
+    month = monthly & F.col("year_month").isNotNull() & has_flow()
+    label = ~monthly & F.col("category").isNotNull() & F.col("expense_sum").isNotNull()
     income = zero_if_null(F.col("income_sum"))
     expenses = F.abs(zero_if_null(F.col("expense_sum")))
     rate = savings_rate(income, income - expenses).cast(MONEY)
@@ -50,7 +50,6 @@ def profile(
     folded = grouped.groupBy(*keys).agg(
         F.sum(F.when(monthly, F.col("income_sum"))).alias("income"),
         F.sum(F.when(monthly, F.col("expense_sum"))).alias("expense"),
-        F.sum(F.when(monthly, F.col("net_sum"))).alias("net"),
         F.sum(F.when(monthly, F.col("rows"))).alias("rows"),
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
@@ -66,7 +65,7 @@ def profile(
         *keys,
         as_double(zero_if_null(F.col("income"))).alias("total_income"),
         as_double(F.abs(zero_if_null(F.col("expense")))).alias("total_expenses"),
-        as_double(zero_if_null(F.col("net"))).alias("net_flow"),
+        as_double(zero_if_null(F.col("income")) + zero_if_null(F.col("expense"))).alias("net_flow"),
         (as_double(F.col("month_income")) / months).alias("avg_monthly_income"),
         (as_double(F.col("month_expenses")) / months).alias("avg_monthly_expenses"),
         (as_double(F.col("month_rates")) / months).alias("avg_savings_rate"),

@@ -64,7 +64,7 @@ def test_monthly_report_is_one_shuffle_and_one_scan(stored):
 def test_summary_reads_the_table_once_without_joins(stored):
     plan = plan_of(summary.summary(stored, ACCOUNT))
     assert scans(plan, "amount") == 1 and "Join" not in plan
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 3
 
 
 def test_trend_reads_the_table_once(stored):
