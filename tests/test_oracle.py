@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from ledger_spark.plans import oracle
+from ledger_spark.plans import queries as catalogue
 from tests.oracle_check import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-TWINS = contract.oracle_sql()
+QUERIES = catalogue.registry()
+TWINS = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,8 @@ def duck():
 
 def test_same_names():
     assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
