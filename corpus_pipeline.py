@@ -1,15 +1,64 @@
-"""Corpus preparation as a chain of stages, each written and read again."""
+"""Corpus preparation as a chain of stages, each written and read again.
+
+``run`` applies the stages in order to ``documents``. Every stage but the last
+returns the columns of its input; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ledger_spark.llm.line_quality import good_documents
+from ledger_spark.llm.ngram_join import one_of_each_group
+from ledger_spark.llm.packing import packed
+from ledger_spark.llm.secrets import without_secrets
+from ledger_spark.llm.templates import without_leaks
+from ledger_spark.staging import stage
+
+# Near duplicates share this percentage of their sequences of so many words.
+WORDS = 5
+PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines are mostly good."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each_group(docs, WORDS, PERCENT)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their text masked."""
+    return without_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in the training sequences."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
-# No stage has an SQL form; tests compare with plain versions.
+# The first stage is a trained model; tests compare the others with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
     return docs

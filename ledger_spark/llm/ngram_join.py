@@ -372,3 +372,19 @@ def _one_document(rows: DataFrame) -> DataFrame:
     return rows.join(merged, "component_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows of ``docs``, with all their columns, of the smallest doc_id of each component.
+
+    Rows without doc_id stay; of rows that repeat a doc_id, one stays.
+    """
+    found = stage(ngram_components(docs, n, percent).filter("doc_id IS NOT NULL"), "found")
+    copies = stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = only_ids(docs, copies, "left_anti").select(*docs.columns)
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    twice = stage(twice, "twice")
+    if twice.isEmpty():
+        return kept
+    once = only_ids(kept, twice).dropDuplicates(["doc_id"])
+    return only_ids(kept, twice, "left_anti").select(*docs.columns).union(once.select(*docs.columns))

@@ -1,4 +1,9 @@
-"""Registered queries of the training-data operators and their SQL twins."""
+"""Registered queries of the training-data operators and their SQL twins.
+
+No operator here has an SQL form (trained models, iterative joins, files, or
+patterns that SQL dialects read differently), so none has a twin; the tests hold
+them against plain versions.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledger_spark.llm.line_quality import quality_scores
 from ledger_spark.llm.ngram_join import ngram_components
+from ledger_spark.llm.packing import packed
+from ledger_spark.llm.personal_data import personal_report
+from ledger_spark.llm.secrets import secret_report
+from ledger_spark.llm.templates import leaked_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +25,32 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op4_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_report(read(spark, folder, "documents"))
+
+
+def op5_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op6_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(read(spark, folder, "documents"))
+
+
+def op8_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(read(spark, folder, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read(spark, folder, "documents"), n=4, percent=85)
 
 
 def registry() -> dict[str, Query]:
-    return {"op9_ngram_jaccard": op9_ngram_jaccard}
+    return {name: function for name, function in globals().items() if name.startswith("op")}
 
 
 def statements() -> dict[str, str]:
