@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark.llm.hashing import texts
 
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 3_000
 TRAIN_LINES = 48
 STEPS = 120
 RATE = 0.15
