@@ -37,7 +37,8 @@ MEMO_PIECES = 400_000
 # Bytes of frames read at once.
 READ_BYTES = 8 << 20
 
-_HEAD, _TAIL, _NAME = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
+_HEAD, _TAIL, _NAME = "<QI", "<I", "<Bq"
+_NAME_BYTES = struct.calcsize(_NAME)
 # Fixed value: the constant of the usual checksum mask.
 _MASK = 0xA282EAD8
 _DOUBLE = re.compile(r"\s\s")
@@ -52,16 +53,16 @@ def masked(data: bytes) -> int:
 
 def frame(payload: bytes) -> bytes:
     length = struct.pack("<Q", len(payload))
-    return _HEAD.pack(len(payload), masked(length)) + payload + _TAIL.pack(masked(payload))
+    return struct.pack(_HEAD, len(payload), masked(length)) + payload + struct.pack(_TAIL, masked(payload))
 
 
 def unframe(data: memoryview) -> memoryview:
     """The payload of one whole frame; ValueError if a checksum or length is wrong."""
-    length, check = _HEAD.unpack_from(data)
+    length, check = struct.unpack_from(_HEAD, data)
     if check != masked(bytes(data[:8])) or len(data) != length + 16:
         raise ValueError("damaged record length")
     payload = data[12 : 12 + length]
-    if _TAIL.unpack_from(data, 12 + length)[0] != masked(payload):
+    if struct.unpack_from(_TAIL, data, 12 + length)[0] != masked(payload):
         raise ValueError("damaged record")
     return payload
 
@@ -131,12 +132,12 @@ def _write(folder: str, vocabulary: str):
                 out = store.open_output_stream(f"{name}.rec")
             ids = tool.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc, data in zip(batch.column(0).to_pylist(), ids):
-                data = frame(_NAME.pack(doc is not None, doc or 0) + data + end)
+                data = frame(struct.pack(_NAME, doc is not None, doc or 0) + data + end)
                 out.write(data)
                 offsets.append(at)
                 lengths.append(len(data))
                 at += len(data)
-                tokens += (len(data) - 16 - _NAME.size) // tool.width.itemsize
+                tokens += (len(data) - 16 - _NAME_BYTES) // tool.width.itemsize
         if out is None:
             return
         out.close()
@@ -198,8 +199,8 @@ class RecordFile:
 
     def _decode(self, data: memoryview) -> tuple[int | None, np.ndarray]:
         payload = unframe(data)
-        has, doc = _NAME.unpack_from(payload)
-        return (doc if has else None), np.frombuffer(payload[_NAME.size :], self.width)
+        has, doc = struct.unpack_from(_NAME, payload)
+        return (doc if has else None), np.frombuffer(payload[_NAME_BYTES :], self.width)
 
     def record(self, number: int) -> tuple[int | None, np.ndarray]:
         offset, length = self.index[number].tolist()
