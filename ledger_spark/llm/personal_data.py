@@ -27,6 +27,8 @@ LOOSE_KINDS = ["phone_local", "tax_id", "email_spelled", "person"]
 KINDS = BASE_KINDS + LOOSE_KINDS
 LABELERS = ["format", "check", "gazetteer", "context", "against", "edges"]
 CONFIDENT = 0.5
+# No labeler takes a longer span for well-formed.
+LONGEST = 120
 ROUNDS = 40
 STEPS = 150
 
@@ -116,7 +118,8 @@ def votes(s: Column) -> dict[str, Column]:
     digits = _digits(value)
     mail, number = kind.startswith("email"), kind.isin("phone", "phone_local")
     strict = (
-        F.when(mail, value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*.*[A-Za-z]{2,12}$"))
+        F.when(F.char_length(value) > LONGEST, F.lit(False))
+        .when(mail, value.rlike(r"^[A-Za-z0-9].*[A-Za-z]{2,12}$"))
         .when(kind == "ip", value.rlike(r"^[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}$"))
         .when(kind == "card", F.char_length(digits).isin(15, 16))
         .when(number, value.rlike(r"^(\+[1-9][0-9]{0,2}[\x20.-]?)?\(?[2-9][0-9]{2}\)?[\x20.-]?[2-9][0-9]{2}[\x20.-]?[0-9]{4}$"))
@@ -132,7 +135,7 @@ def votes(s: Column) -> dict[str, Column]:
         .otherwise(F.char_length(value) <= 40)
     )
     listed_value = (
-        F.when(mail, value.rlike(rf"[.\])\x20]{_one_of(DOMAINS)}$"))
+        F.when(mail, F.right(value, F.lit(LONGEST)).rlike(rf"[.\])\x20]{_one_of(DOMAINS)}$"))
         .when(kind == "card", digits.rlike(rf"^{_one_of(CARD_STARTS)}"))
         .when(kind == "phone", digits.rlike(rf"^{_one_of(COUNTRY_CODES)}"))
         .when(kind == "person", value.rlike(rf"\x20{_one_of(GIVEN_NAMES)}\b"))
@@ -172,8 +175,8 @@ def estimate(patterns: list[dict]) -> SpanModel:
     A pattern has ``kind``, ``size``, a vote per labeler and ``count``. The
     first guess of a pattern's probability is the share of its votes that are
     for; then each round estimates P(vote | true) and P(vote | false) of every
-    labeler and the share of true spans of every kind from the probabilities,
-    and the probabilities from these.
+    labeler, given that it votes, and the share of true spans of every kind from
+    the probabilities, and the probabilities from these.
     """
     if not patterns:
         return SpanModel()
@@ -183,12 +186,15 @@ def estimate(patterns: list[dict]) -> SpanModel:
     rate: dict[tuple[str, int], tuple[float, float]] = {}
     for _ in range(ROUNDS):
         for i, name in enumerate(LABELERS):
-            yes, no = {v: 0.5 for v in (-1, 0, 1)}, {v: 0.5 for v in (-1, 0, 1)}
+            yes, no = {-1: 0.5, 1: 1.0}, {-1: 1.0, 1: 0.5}
             for vs, c, t in zip(voted, count, true):
-                yes[vs[i]] += c * t
-                no[vs[i]] += c * (1 - t)
-            for v in (-1, 0, 1):
-                rate[name, v] = yes[v] / sum(yes.values()), no[v] / sum(no.values())
+                if vs[i]:
+                    yes[vs[i]] += c * t
+                    no[vs[i]] += c * (1 - t)
+            a, b = yes[1] / sum(yes.values()), no[1] / sum(no.values())
+            if a < b:  # a labeler is never taken for worse than chance
+                a = b = (yes[1] + no[1]) / (sum(yes.values()) + sum(no.values()))
+            rate[name, 1], rate[name, -1], rate[name, 0] = (a, b), (1 - a, 1 - b), (1.0, 1.0)
         share: dict[str, list[float]] = {}
         for p, c, t in zip(patterns, count, true):
             known = share.setdefault(p["kind"], [1.0, 1.0])
@@ -201,7 +207,7 @@ def estimate(patterns: list[dict]) -> SpanModel:
                 b += math.log(rate[name, v][1])
             true[k] = 1 / (1 + math.exp(min(max(b - a, -50), 50)))
 
-    active = [[("bias", 0), ("kind", p["kind"]), ("size", p["size"]), *zip(LABELERS, vs)] for p, vs in zip(patterns, voted)]
+    active = [[("bias", 0), ("kind", p["kind"]), ("size", p["size"]), *((n, v) for n, v in zip(LABELERS, vs) if v)] for p, vs in zip(patterns, voted)]
     total = sum(count)
     weights = {f: 0.0 for fs in active for f in fs}
     power = {f: 1e-9 for f in weights}

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledger_spark.llm.line_quality import quality_scores
 from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
+from ledger_spark.llm.records import record_report
 from ledger_spark.llm.secrets import secret_report
+from ledger_spark.llm.sharding import shard_documents
 from ledger_spark.llm.templates import leaked_items
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +28,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_label_propagation_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(read(spark, folder, "documents"), shards=8)
+
+
+def op2_binary_records(spark: SparkSession, folder: str) -> DataFrame:
+    return record_report(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
