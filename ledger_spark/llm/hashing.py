@@ -41,10 +41,10 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` word hashes, in text order."""
     count = len(words) - n + 1
     total = np.zeros(max(count, 0), np.uint64)
-    factor = _ODD
+    factor = 1
     for i in range(n if count > 0 else 0):
-        total = total * _ODD + words[i : i + count] * factor
-        factor = factor * _MIX + np.uint64(2 * i)
+        factor = (factor * int(_MIX) + 2 * i) % (1 << 64)
+        total = total * _ODD + words[i : i + count] * np.uint64(factor)
     return mix(total)
 
 

@@ -14,8 +14,10 @@ multiplied:
    that the remaining columns can add, stays below the size-derived bound are
    discarded.
 4. A large column first compares its rows with one pivot row only. Rows that are
-   thereby connected need no further comparison; only pairs that are still in
-   different components follow, under the same bound.
+   thereby connected need no further comparison. Pairs that are still in
+   different components are multiplied in blocks of bounded size: each row brings
+   a bitmap of its columns, and bits in which two bitmaps differ are columns that
+   the rows do not share, which bounds the overlap from above.
 5. Remaining pairs get their exact overlap from the whole rows.
 
 Links within one component that are not needed to connect it are never
@@ -48,7 +50,14 @@ EVEN = 8
 # Candidate ids up to this number are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
-_LOW = np.uint64((1 << 58) - 1)
+# Bits of a row's bitmap, and rows of one block of a large column.
+BITMAP = 2048
+BLOCK = 4096
+
+# A key holds the level in its upper 7 bits: four levels for each doubling of the count.
+_LEVELS = 4
+_SHIFT = 57
+_LOW = np.uint64((1 << _SHIFT) - 1)
 
 
 def _count_columns(n: int):
@@ -77,7 +86,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
             sums[part] = sums[part] + new if part in sums else new
     if sums:
-        levels = [np.log2(s + 1).astype(np.uint8).tobytes() for s in sums.values()]
+        levels = [(_LEVELS * np.log2(s + 1)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())}
         )
@@ -96,11 +105,18 @@ def _columns(text: bytes, n: int, memo: WordHashes, levels: np.ndarray) -> np.nd
     """A row's columns in the common order, as 64-bit keys: level, then hash."""
     found = shingles(text, n, memo)
     level = levels[(found & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
-    keys = (level << np.uint64(58)) | ((found >> np.uint64(6)) & _LOW)
+    keys = (level << np.uint64(_SHIFT)) | ((found >> np.uint64(64 - _SHIFT)) & _LOW)
     keys.sort()
     return keys
 
 
+def bitmap(keys: np.ndarray) -> bytes:
+    """``BITMAP`` bits, one set for each column of a row."""
+    bits = np.zeros(BITMAP, bool)
+    bits[(keys & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def required(size: int, percent: int) -> int:
     """Least overlap of a row of ``size`` columns with any linked row."""
     return (size * percent + 99) // 100
@@ -110,11 +126,12 @@ def _rows(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            sizes, sets, firsts = [], [], []
+            sizes, sets, firsts, maps = [], [], [], []
             for text in texts(batch.column(1)):
                 keys = _columns(text or b"", n, memo, order)
                 sizes.append(len(keys))
                 sets.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
+                maps.append(bitmap(keys) if len(keys) else None)
                 firsts.append(keys[: len(keys) - required(len(keys), percent) + 1].tobytes() if len(keys) else None)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -122,6 +139,7 @@ def _rows(n: int, percent: int, levels):
                     "size": pa.array(sizes, pa.int64()),
                     "set": pa.array(sets, pa.binary()),
                     "first": pa.array(firsts, pa.binary()),
+                    "bits": pa.array(maps, pa.binary()),
                 }
             )
 
@@ -252,20 +270,20 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     levels = column_levels(docs, n)
-    mean = np.exp2(np.frombuffer(levels, np.uint8)).mean()
-    large = int(np.ceil(np.log2(max(LARGE_COUNT, EVEN * mean))))
+    mean = np.exp2(np.frombuffer(levels, np.uint8) / _LEVELS).mean()
+    large = int(np.ceil(_LEVELS * np.log2(max(LARGE_COUNT, EVEN * mean))))
     shared = spark.sparkContext.broadcast(levels)
 
-    schema = "doc_id bigint, size bigint, set binary, first binary"
+    schema = "doc_id bigint, size bigint, set binary, first binary, bits binary"
     rows = stage(docs.mapInArrow(_rows(n, percent, shared), schema), "rows")
     reps = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(
-        F.min(F.struct("doc_id", "size", "first")).alias("r")
+        F.min(F.struct("doc_id", "size", "first", "bits")).alias("r")
     )
-    reps = reps.select(F.col("r.doc_id").alias("id"), "r.size", "r.first", "set")
+    reps = reps.select(F.col("r.doc_id").alias("id"), "r.size", "r.first", "r.bits", "set")
     reps = stage(reps, "reps")
     entries = reps.select("id", "size", "first").mapInArrow(_entries, "col bigint, id bigint, size int")
 
-    is_large = F.shiftrightunsigned("col", 58) >= large
+    is_large = F.shiftrightunsigned("col", _SHIFT) >= large
     sorted_columns = entries.filter(~is_large).repartition("col").sortWithinPartitions("col", "size", "id")
     products = stage(
         sorted_columns.mapInArrow(
@@ -292,7 +310,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
         wide = _undecided(wide, found)
         if wide is None:
             break
-        more = _with_pivot(wide, percent, turn).distinct() if turn == 1 else _across(wide, percent)
+        more = _with_pivot(wide, percent, turn).distinct() if turn == 1 else _across(wide, reps, percent)
         more = stage(more, "pairs")
         if more.isEmpty():
             continue
@@ -329,19 +347,60 @@ def _undecided(wide: DataFrame, found: DataFrame) -> DataFrame | None:
     return None if wide.isEmpty() else wide
 
 
-def _across(wide: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows of different components that share a large column."""
-    left = wide.select("col", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("at"))
-    right = wide.select("col", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("to"))
-    both = left.join(right, "col").filter((F.col("a") < F.col("b")) & (F.col("at") != F.col("to")) & _alike(percent))
-    summed = both.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("c"))
-    large = wide.groupBy("id", "size").agg(F.count("*").alias("n"))
-    large = large.select("id", "size", (_prefix("size", percent) - F.col("n")).alias("other"))
-    for end in "ab":
-        names = F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("other").alias(f"other_{end}")
-        summed = summed.join(large.select(*names), [end, f"size_{end}"])
-    other = F.least("other_a", "other_b")
-    return summed.filter(_may_link(F.col("c") + other, percent)).select("a", "b")
+def _across(wide: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of different components that share a large column and may link.
+
+    A column's rows are dealt over blocks of about ``BLOCK`` rows, and a row goes
+    to every pair of blocks that has its own; one pair of blocks is multiplied at
+    a time.
+    """
+    rows = wide.join(reps.select("id", "bits"), "id")
+    counts = wide.groupBy("col").agg(F.count("*").alias("n"))
+    rows = rows.join(counts, "col").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    rows = rows.select("col", "lo", "hi", "own", "size", "id", "component", "bits")
+    rows = rows.repartition("col", "lo", "hi").sortWithinPartitions("col", "lo", "hi", "size", "id")
+    return rows.mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
+
+
+def _block_pairs(percent: int):
+    def multiply(held: list[np.ndarray], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, lo, hi, own, size, ids, component = held
+        for i in range(len(ids) - 1):
+            # sizes ascend, so the rows that are not too large follow directly
+            end = np.searchsorted(size, size[i] * 100 // percent, "right")
+            j = np.arange(i + 1, max(end, i + 1))
+            j = j[component[j] != component[i]]
+            if lo[i] != hi[i]:
+                j = j[own[j] != own[i]]
+            if not len(j):
+                continue
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            total = size[j] + size[i]
+            need = -(-percent * total // (100 + percent))
+            j = j[apart <= total - 2 * need]
+            if len(j):
+                a, b = np.full(len(j), ids[i]), ids[j]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = [np.zeros(0, np.int64)] * 7, np.zeros((0, BITMAP // 64), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
+            more = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            held, bits = [np.concatenate(x) for x in zip(held, now)], np.concatenate([bits, more])
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+            starts = np.r_[0, new]
+            for x, y in zip(starts, new):
+                yield from multiply([h[x:y] for h in held], bits[x:y])
+            held, bits = [h[starts[-1] :] for h in held], bits[starts[-1] :]
+        yield from multiply(held, bits)
+
+    return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, levels) -> DataFrame:
