@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledger_spark.llm.line_quality import quality_scores
+from ledger_spark.llm.neighbours import nearest_neighbours
 from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
@@ -52,6 +54,10 @@ def op6_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(read(spark, folder, "documents"))
 
 
+def op7_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read(spark, folder, "documents"))
 
