@@ -19,6 +19,7 @@ from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
 from ledger_spark.llm.records import record_report
+from ledger_spark.llm.repeats import repeat_report
 from ledger_spark.llm.secrets import secret_report
 from ledger_spark.llm.sharding import shard_documents
 from ledger_spark.llm.templates import leaked_items
@@ -66,6 +67,10 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read(spark, folder, "documents"), n=4, percent=85)
 
 
+def op10_suffix_group_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_report(read(spark, folder, "documents"))
+
+
 def registry() -> dict[str, Query]:
     return {name: function for name, function in globals().items() if name.startswith("op")}
 
