@@ -7,7 +7,6 @@ keys is null-safe.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take before the key is split.
 ROWS_PER_TASK = 5_000_000
-# Upper bound on the number of keys that are ever treated as hot.
-MAX_HOT_KEYS = 100_000
+# Hot keys up to which their list is broadcast.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def join_on_keys(
@@ -33,29 +32,21 @@ def join_on_keys(
     return joined.drop(*[f"__{k}" for k in keys])
 
 
-def split_limit(total: int, rows_per_task: int) -> int:
-    """Row count above which a key is hot, for a table of ``total`` rows.
-
-    At most ``MAX_HOT_KEYS`` keys can exceed it, so a table of the hot keys has
-    a proven size and may be broadcast.
-    """
-    return max(rows_per_task, math.ceil(total / MAX_HOT_KEYS))
-
-
 def hot_keys(
     sizes: DataFrame, keys: Sequence[str], size_col: str, rows_per_task: int
 ) -> DataFrame | None:
     """Keys with more rows than one task should take, with size and part count.
 
-    ``sizes`` has one row per key. Only two numbers reach the driver. ``None``
-    when no key is hot.
+    ``sizes`` has one row per key. Only the number of hot keys reaches the
+    driver; their table is broadcast up to ``MAX_BROADCAST_KEYS`` and left to an
+    ordinary join beyond that. ``None`` when no key is hot.
     """
-    total, biggest = sizes.agg(F.sum(size_col), F.max(size_col)).first()
-    limit = split_limit(total or 0, rows_per_task)
-    if biggest is None or biggest <= limit:
+    parts = F.ceil(F.col(size_col) / F.lit(rows_per_task)).cast("bigint")
+    hot = sizes.filter(F.col(size_col) > rows_per_task).select(*keys, size_col, parts.alias("__parts"))
+    count = hot.count()
+    if not count:
         return None
-    parts = F.ceil(F.col(size_col) / F.lit(limit)).cast("bigint")
-    return sizes.filter(F.col(size_col) > limit).select(*keys, size_col, parts.alias("__parts"))
+    return F.broadcast(hot) if count <= MAX_BROADCAST_KEYS else hot
 
 
 def lookup_by_key(
@@ -77,7 +68,7 @@ def lookup_by_key(
     hot = hot_keys(table, keys, size_col, rows_per_task)
     if hot is None:
         return join_on_keys(rows, table, keys)
-    hot = F.broadcast(hot.select(*keys, "__parts"))
+    hot = hot.select(*keys, "__parts")
     part = F.when(
         F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*row_id), F.col("__parts"))
     ).otherwise(F.lit(0))

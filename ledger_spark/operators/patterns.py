@@ -19,10 +19,6 @@ LARGE_EXPENSES = 3
 OUTLIER_DEVIATIONS = 2
 SMALL_EXPENSE = -500
 
-# A record's category map is built up to this many labels; beyond it the map is
-# null and the labels are read from ``category_spending``, which has them all.
-MAX_MAP_LABELS = 10_000
-
 IS_INCOME = "amount > 0"
 IS_EXPENSE = "amount < 0"
 
@@ -137,6 +133,15 @@ def _entries(kind: str, *fields: str) -> Column:
     return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
 
 
+def _by_money(entries: Column) -> Column:
+    """Entries with the largest amount first; ties go by name."""
+    keyed = F.transform(
+        entries,
+        lambda e: F.struct((-e["money"]).alias("order"), e["label"].alias("label"), e["money"].alias("money")),
+    )
+    return F.array_sort(keyed)
+
+
 def _pairs(entries: Column) -> Column:
     return F.map_from_entries(
         F.transform(entries, lambda e: F.struct(e["label"].alias("key"), e["money"].alias("value")))
@@ -151,9 +156,11 @@ def pattern_record(
 ) -> DataFrame:
     """One row per key with all spending patterns as maps and short lists.
 
-    The four lists are cut to their bounded length first, then laid under each
-    other and gathered in one aggregation. That takes a single small shuffle
-    instead of a join per list, and a key that lacks a list gets an empty one.
+    The three short lists are cut to their bounded length first, then laid under
+    each other, with the category sums, and gathered in one aggregation. That
+    takes a single small shuffle instead of a join per list, and a key that lacks
+    a list gets an empty one. The category map is always whole: it is this
+    record's own value, and ``category_spending`` has the same rows as a table.
     """
     stats = stage(expense_stats(tx, keys), "expense-stats")
     source = rollup(tx, [*keys, "category"]) if cells is None else cells
@@ -172,9 +179,6 @@ def pattern_record(
         RECURRING,
         "rank",
     )
-    labels = first_per_key(
-        spent, keys, [F.desc("amount"), F.asc("category")], MAX_MAP_LABELS + 1, "rank"
-    )
     large = first_per_key(
         large_expenses(tx, keys, stats, rows_per_task),
         keys,
@@ -198,7 +202,7 @@ def pattern_record(
     parts = [
         rows(stats, "small", F.col("small_expenses"), none, none, none),
         rows(income, "income", rank, text, money, none),
-        rows(labels, "category", rank, F.col("category"), money, none),
+        rows(spent, "category", none, F.col("category"), money, none),
         rows(recurring, "recurring", rank, text, none, none),
         rows(large, "large", rank, text, money, F.col("date")),
     ]
@@ -215,9 +219,7 @@ def pattern_record(
     return gathered.select(
         *keys,
         _pairs(F.col("income")).alias("top_income_sources"),
-        F.when(F.size("category") <= MAX_MAP_LABELS, _pairs(F.col("category"))).alias(
-            "category_expenses"
-        ),
+        _pairs(_by_money(F.col("category"))).alias("category_expenses"),
         F.transform("recurring", lambda e: e["label"]).alias("recurring_expenses"),
         F.transform(
             "large",

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledger_spark.functions.parsing import as_double, savings_rate, zero_if_null
 from ledger_spark.functions.render import day_text
 from ledger_spark.operators.rollup import base_cells, has_flow, merged_measures
-from ledger_spark.schema import MONEY
 
 SUMMARY_COLUMNS = (
     "total_income",
@@ -45,7 +45,8 @@ def profile(
     label = ~monthly & F.col("category").isNotNull() & F.col("expense_sum").isNotNull()
     income = zero_if_null(F.col("income_sum"))
     expenses = F.abs(zero_if_null(F.col("expense_sum")))
-    rate = savings_rate(income, income - expenses).cast(MONEY)
+    # wide enough for any rate of two sums of money
+    rate = savings_rate(income, income - expenses).cast(T.DecimalType(38, 2))
 
     folded = grouped.groupBy(*keys).agg(
         F.sum(F.when(monthly, F.col("income_sum"))).alias("income"),

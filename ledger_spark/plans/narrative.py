@@ -1,4 +1,4 @@
-"""Insight records: decoded advice replies, or sentences from a template."""
+"""Insight records: decoded advice replies, or figures with a template's words."""
 
 from __future__ import annotations
 
@@ -15,96 +15,76 @@ from ledger_spark.sources.replies import decode_advice
 
 @dataclass(frozen=True)
 class Template:
-    """Wording of a narrative that no model has written."""
+    """What to say about an account that no model has described.
+
+    The caller words ``tips`` and ``advice``; the figures come first.
+    """
 
-    with_savings_rate: bool
     tips: tuple[str, ...]
     advice: str
+    with_savings_rate: bool = True
 
 
-# Used where the model service refused the request.
-REFUSED = Template(
-    with_savings_rate=True,
-    tips=(
-        "Note every expense for a month and look for ones you can drop",
-        "Give your largest spending categories a monthly limit",
-        "See where income could grow or optional spending could shrink",
-    ),
-    advice="Put aside three to six months of expenses as an emergency reserve.",
-)
-
-# Used where the request failed or its reply could not be read.
-FAILED = Template(
-    with_savings_rate=False,
-    tips=(
-        "Note your expenses as they happen",
-        "Plan next month with a budget",
-        "Keep a reserve for surprises",
-    ),
-    advice="Take a closer look at the category you spend most on.",
-)
-
-
-def _sentence(template: Template) -> Column:
-    net = F.col("net_flow")
+def _figures(template: Template) -> Column:
     parts = [
-        F.lit("In this period your income was "),
+        F.lit("in "),
         money_text(F.col("total_income")),
-        F.lit(" and your expenses were "),
+        F.lit(", out "),
         money_text(F.col("total_expenses")),
-        F.lit(", a "),
-        F.when(net > 0, F.lit("positive")).otherwise(F.lit("negative")),
-        F.lit(" cash flow of "),
-        money_text(F.abs(net)),
-        F.lit("."),
+        F.lit(", left "),
+        money_text(F.col("net_flow")),
     ]
     if template.with_savings_rate:
         rate = F.coalesce(percent_text(F.col("avg_savings_rate")), F.lit("n/a"))
-        parts += [F.lit(" Your savings rate was "), rate, F.lit(".")]
+        parts += [F.lit(", saved "), rate]
     return F.concat(*parts)
 
 
 def _insight(template: Template) -> Column:
     return F.struct(
-        _sentence(template).alias("summary"),
+        _figures(template).alias("summary"),
         F.array(*[F.lit(t) for t in template.tips]).alias("tips"),
         F.lit(template.advice).alias("custom_advice"),
     )
 
 
 def template_narrative(
-    summaries: DataFrame, keys: Sequence[str] = (), template: Template = REFUSED
+    summaries: DataFrame, template: Template, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Sentence, tips and advice per key, from the figures alone."""
+    """Figures, tips and advice per key."""
     insight = summaries.select(*keys, _insight(template).alias("insight"))
     return insight.select(*keys, "insight.*")
 
 
 def insights(
     facts: DataFrame,
+    refused: Template,
+    failed: Template,
     replies: DataFrame | None = None,
     keys: Sequence[str] = (),
-    refused: Template = REFUSED,
-    failed: Template = FAILED,
 ) -> DataFrame:
     """Insight record per key: summary, tips, health score, custom advice.
 
     ``facts`` holds the summary columns and ``health_score``. ``replies`` has
-    one row per key with ``status`` (HTTP code) and ``response``. A refused
+    the keys, ``attempt`` (number or time), ``status`` (HTTP code) and
+    ``response``; of several replies of a key the last attempt counts. A refused
     request and an unreadable or missing reply fall back to their templates.
     """
     if replies is None:
         chosen = _insight(failed)
         joined = facts
     else:
-        content = F.get_json_object("response", "$.choices[0].message.content")
-        answers = replies.select(
-            *keys, F.col("status").alias("__status"), decode_advice(content).alias("__advice")
+        last = F.max(F.struct("attempt", "status", "response")).alias("last")
+        latest = replies.groupBy(*keys).agg(last)
+        content = F.get_json_object("last.response", "$.choices[0].message.content")
+        answers = latest.select(
+            *keys, F.col("last.status").alias("__status"), decode_advice(content).alias("__advice")
         )
+        # without keys both sides have a single row
         joined = (
             join_on_keys(facts, answers, keys, "left")
             if keys
-            else facts.join(F.broadcast(answers.limit(1)), F.lit(True), "left")
+            else facts.crossJoin(F.broadcast(answers))
         )
         was_refused = F.col("__status").isNotNull() & (F.col("__status") != 200)
         chosen = F.when(was_refused, _insight(refused)).otherwise(

@@ -6,10 +6,7 @@ from collections.abc import Callable
 
 from ledger_spark.operators import patterns as p
 from ledger_spark.operators import score as s
-from ledger_spark.plans import requests as rq
-from ledger_spark.plans.narrative import FAILED, REFUSED, Template
 from ledger_spark.plans.queries import CUT, EXPLORE
-from ledger_spark.sources.pages import PAGES_PER_SECTION
 
 _MONTHS = "month(date) AS month, year(date) AS year, strftime(date, '%Y-%m') AS year_month"
 
@@ -171,7 +168,7 @@ def _profile(source: str, account: bool) -> str:
 means AS (
   SELECT {k} CAST(sum(income) AS DOUBLE) / count(*) AS avg_monthly_income,
     CAST(sum(expenses) AS DOUBLE) / count(*) AS avg_monthly_expenses,
-    CAST(sum(CAST({_RATE} AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_savings_rate
+    CAST(sum(CAST({_RATE} AS DECIMAL(38,2))) AS DOUBLE) / count(*) AS avg_savings_rate
   FROM months {_group(account)}),
 labels AS ({_ranked(_spent(source, by), account, 'amount DESC, category')}),
 tops AS (
@@ -363,46 +360,46 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _narrative(template: Template) -> Callable[[str, bool], str]:
+def _narrative(refused: bool) -> Callable[[str, bool], str]:
+    tips = "'first tip' || chr(10) || 'second tip'" if refused else "'only tip'"
+    advice = "advice after a refusal" if refused else "advice after a failure"
+
     def sql(source: str, account: bool) -> str:
-        return f"""SELECT {_pre(account)} {_sentence(template)} AS summary,
-  {_quoted(chr(10).join(template.tips))} AS tips, {_quoted(template.advice)} AS custom_advice
-FROM ({_profile(source, account)})"""
+        return f"""SELECT {_pre(account)} {_figures(refused)} AS summary, {tips} AS tips,
+  {_quoted(advice)} AS custom_advice FROM ({_profile(source, account)})"""
 
     return sql
 
 
-def _sentence(template: Template) -> str:
-    rate = (
-        " || ' Your savings rate was ' || coalesce(format('{:.1f}', avg_savings_rate) || '%', 'n/a') || '.'"
-        if template.with_savings_rate
-        else ""
-    )
-    return f"""'In this period your income was ' || {_money('total_income')}
-  || ' and your expenses were ' || {_money('total_expenses')} || ', a '
-  || CASE WHEN net_flow > 0 THEN 'positive' ELSE 'negative' END || ' cash flow of '
-  || {_money('abs(net_flow)')} || '.'{rate}"""
+def _figures(with_rate: bool) -> str:
+    rate = " || ', saved ' || coalesce(format('{:.1f}', avg_savings_rate) || '%', 'n/a')" if with_rate else ""
+    return f"""'in ' || {_money('total_income')} || ', out ' || {_money('total_expenses')}
+  || ', left ' || {_money('net_flow')}{rate}"""
 
 
 def facts_block(source: str, account: bool) -> str:
     parts = [
-        "'Summary'",
-        "'- Period: ' || coalesce(date_range, 'n/a')",
-        f"'- Income: ' || {_money('total_income')}",
-        f"'- Expenses: ' || {_money('total_expenses')}",
-        f"'- Net flow: ' || {_money('net_flow')}",
-        "'- Savings rate: ' || coalesce(format('{:.1f}', avg_savings_rate) || '%', 'n/a')",
-        f"'- Largest category: ' || coalesce(top_expense_category || ' (' || {_money('top_expense_amount')} || ')', 'n/a')",
-        "'- Health score: ' || CAST(health_score AS VARCHAR) || '/100'",
-        "'Income sources'",
-        "income_lines",
-        "'Expense categories'",
+        "'[Score]'",
+        "'points: ' || CAST(health_score AS VARCHAR)",
+        "'[Money]'",
+        f"'in: ' || {_money('total_income')}",
+        f"'out: ' || {_money('total_expenses')}",
+        f"'left: ' || {_money('net_flow')}",
+        "'saved: ' || coalesce(format('{:.1f}', avg_savings_rate) || '%', 'n/a')",
+        "'[Most spent on]'",
+        "'category: ' || coalesce(top_expense_category, 'n/a')",
+        f"'amount: ' || {_money('top_expense_amount')}",
+        "'[By category]'",
         "category_lines",
-        "'Recurring expenses'",
+        "'[From]'",
+        "income_lines",
+        "'[Again and again]'",
         "recurring_list",
-        "'Large expenses'",
+        "'[Out of line]'",
         "large_lines",
-        "'- Small expenses: ' || CAST(small_expense_count AS VARCHAR)",
+        "'below the small bound: ' || CAST(small_expense_count AS VARCHAR)",
+        "'[Days]'",
+        "coalesce(date_range, 'n/a')",
     ]
     join = _join(account)
     health = f"SELECT {_list(account, 'health_score')} FROM ({_health(source, account)})"
@@ -412,9 +409,9 @@ FROM ({_profile(source, account)}) JOIN ({_pattern_lines(source, account)}) {joi
 
 
 def advice_requests(source: str, account: bool) -> str:
-    temperature, length = rq.ADVICE_SETTINGS
-    return f"""SELECT {_pre(account)} {_quoted(rq.ADVICE_SYSTEM)} AS system_text,
-  facts || chr(10) || chr(10) || {_quoted(rq.ADVICE_TASK)} AS user_text,
+    temperature, length = 0.7, 2000
+    return f"""SELECT {_pre(account)} 'You explain account figures.' AS system_text,
+  facts || chr(10) || chr(10) || 'Reply as JSON.' AS user_text,
   CAST({temperature} AS DOUBLE) AS temperature, CAST({length} AS BIGINT) AS max_tokens,
   'json_object' AS response_format FROM ({facts_block(source, account)})"""
 
@@ -434,8 +431,14 @@ def _clean(text: str) -> str:
     return text
 
 
-_PAGES = f"""SELECT CAST(conv_id AS VARCHAR) AS statement_id,
-  CAST(floor(turn / {PAGES_PER_SECTION}) AS BIGINT) AS section,
+_EXTRACTION = (
+    "Give one record per booking as JSON. Columns: date timestamp_ntz; description string; "
+    "amount decimal(18,2); type string; category string; labels Income/Housing/Utilities/Food/"
+    "Transportation/Entertainment/Shopping/Health/Education/Personal/Travel/Insurance/Investments/"
+    "Transfers/Fees/Other"
+)
+
+_PAGES = """SELECT CAST(conv_id AS VARCHAR) AS statement_id,
   string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text
 FROM conversations GROUP BY ALL"""
 
@@ -453,15 +456,14 @@ FROM ({_REPLY_RECORDS}) WHERE {condition}"""
 
 
 def _insights() -> str:
-    tips_refused, tips_failed = (_quoted("\n".join(t.tips)) for t in (REFUSED, FAILED))
     return f"""SELECT account_id,
-  CASE account_id % 4 WHEN 0 THEN {_sentence(REFUSED)}
-    WHEN 1 THEN 'Account ' || CAST(account_id AS VARCHAR) ELSE {_sentence(FAILED)} END AS summary,
-  CASE account_id % 4 WHEN 0 THEN {tips_refused} WHEN 1 THEN 'one' || chr(10) || 'two'
-    ELSE {tips_failed} END AS tips,
+  CASE account_id % 4 WHEN 0 THEN {_figures(True)}
+    WHEN 1 THEN 'Account ' || CAST(account_id AS VARCHAR) ELSE {_figures(False)} END AS summary,
+  CASE account_id % 4 WHEN 0 THEN 'first tip' || chr(10) || 'second tip'
+    WHEN 1 THEN 'one' || chr(10) || 'two' ELSE 'only tip' END AS tips,
   health_score,
-  CASE account_id % 4 WHEN 0 THEN {_quoted(REFUSED.advice)} WHEN 1 THEN ''
-    ELSE {_quoted(FAILED.advice)} END AS custom_advice
+  CASE account_id % 4 WHEN 0 THEN 'advice after a refusal' WHEN 1 THEN ''
+    ELSE 'advice after a failure' END AS custom_advice
 FROM ({_profile(EVENTS, True)})
   JOIN (SELECT account_id, health_score FROM ({_health(EVENTS, True)})) USING (account_id)"""
 
@@ -483,7 +485,7 @@ def _report_set() -> str:
 
 def statements() -> dict[str, str]:
     """SQL by query name."""
-    temperature, length = rq.EXTRACTION_SETTINGS
+    temperature, length = 0.1, 8000
     marker = (
         "'Page ' || CAST(doc_id % 9 + 1 AS VARCHAR) || ' of 9' || chr(10) || chr(9) || 'l' || "
         "CAST(doc_id % 7 AS VARCHAR) || ' O' || CAST(doc_id % 5 AS VARCHAR) || '  '"
@@ -506,9 +508,8 @@ FROM ({_explored()})""",
         "page_assembly": _PAGES,
         "clean_statement_text": f"""SELECT doc_id, {_clean(f"({marker} || coalesce(text, ''))")}
   AS text FROM documents""",
-        "extraction_requests": f"""SELECT statement_id, section,
-  {_quoted(rq.EXTRACTION_SYSTEM)} AS system_text,
-  {_quoted(rq.EXTRACTION_USER)} || {_clean('text')} AS user_text,
+        "extraction_requests": f"""SELECT statement_id,
+  {_quoted(_EXTRACTION)} AS system_text, {_clean('text')} AS user_text,
   CAST({temperature} AS DOUBLE) AS temperature, CAST({length} AS BIGINT) AS max_tokens,
   'json_object' AS response_format FROM ({_PAGES})""",
         "parse_responses": _reply_rows("TRUE"),
@@ -552,8 +553,8 @@ SELECT DISTINCT category, FALSE FROM ({ORDERS})""",
         "pattern_lines": (EVENTS, _pattern_lines),
         "health_score": (EVENTS, _health),
         "health_bands": (ORDERS, health_bands),
-        "template_narrative": (ORDERS, _narrative(REFUSED)),
-        "template_narrative_failed": (ORDERS, _narrative(FAILED)),
+        "template_narrative": (ORDERS, _narrative(True)),
+        "template_narrative_failed": (ORDERS, _narrative(False)),
         "facts_block": (EVENTS, facts_block),
         "advice_requests": (EVENTS, advice_requests),
     }

@@ -35,6 +35,13 @@ EXPLORE = {
     "term": "cust 1",
 }
 
+# Neutral wording for requests and templates; users pass their own.
+EXTRACTION_TASK = "Give one record per booking as JSON. Columns: "
+ADVICE_ROLE = "You explain account figures."
+ADVICE_TASK = "Reply as JSON."
+REFUSED = narrative.Template(("first tip", "second tip"), "advice after a refusal")
+FAILED = narrative.Template(("only tip",), "advice after a failure", with_savings_rate=False)
+
 # Characters missing at the end of a truncated reply.
 CUT = 10
 
@@ -152,12 +159,12 @@ def _request_parts(requests_table: DataFrame, *carried: str) -> DataFrame:
 
 def _extraction_requests(spark: SparkSession, folder: str) -> DataFrame:
     texts = pages.clean_statements(_page_assembly(spark, folder))
-    made = requests.extraction_requests(texts)
-    return _request_parts(made, "statement_id", "section")
+    made = requests.extraction_requests(texts, EXTRACTION_TASK + requests.field_list())
+    return _request_parts(made, "statement_id")
 
 
 def _advice_requests(tx: DataFrame, keys=()) -> DataFrame:
-    made = requests.advice_requests(requests.account_facts(tx, keys), keys)
+    made = requests.advice_requests(requests.account_facts(tx, keys), ADVICE_ROLE, ADVICE_TASK, keys)
     return _request_parts(made, *keys)
 
 
@@ -193,7 +200,7 @@ def _reply_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def _narrative(template: narrative.Template) -> Callable[..., DataFrame]:
     def query(tx: DataFrame, keys=()) -> DataFrame:
-        made = narrative.template_narrative(summary.summary(tx, keys), keys, template)
+        made = narrative.template_narrative(summary.summary(tx, keys), template, keys)
         return made.select(
             *keys, "summary", F.array_join("tips", "\n").alias("tips"), "custom_advice"
         )
@@ -223,12 +230,15 @@ def _insights(spark: SparkSession, folder: str) -> DataFrame:
         .filter(kind != 3)
         .select(
             "account_id",
+            F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"),
             F.when(kind == 0, 429).otherwise(200).alias("status"),
             F.to_json(F.struct(F.array(message).alias("choices"))).alias("response"),
         )
     )
     facts = requests.account_facts(tx, ACCOUNT)
-    record = narrative.insights(facts, answers, ACCOUNT)
+    # every account was asked twice; the first answers were lost
+    answers = answers.withColumn("response", F.when(F.col("attempt") == 2, F.col("response")))
+    record = narrative.insights(facts, REFUSED, FAILED, answers, ACCOUNT)
     return record.withColumn("tips", F.array_join("tips", "\n"))
 
 
@@ -313,8 +323,8 @@ def registry() -> dict[str, Query]:
         "pattern_lines": (events, _pattern_lines),
         "health_score": (events, _health),
         "health_bands": (orders, _health_bands),
-        "template_narrative": (orders, _narrative(narrative.REFUSED)),
-        "template_narrative_failed": (orders, _narrative(narrative.FAILED)),
+        "template_narrative": (orders, _narrative(REFUSED)),
+        "template_narrative_failed": (orders, _narrative(FAILED)),
         "facts_block": (events, _facts_block),
         "advice_requests": (events, _advice_requests),
     }

@@ -23,32 +23,15 @@ from ledger_spark.operators.patterns import pattern_record
 from ledger_spark.operators.rollup import base_cells
 from ledger_spark.operators.score import score_expression
 from ledger_spark.operators.summary import profile
-from ledger_spark.schema import CATEGORIES
+from ledger_spark.schema import CATEGORIES, TRANSACTIONS
 from ledger_spark.staging import stage
 
 # Sampling temperature and reply length of the two requests.
 EXTRACTION_SETTINGS = (0.1, 8000)
 ADVICE_SETTINGS = (0.7, 2000)
 
-EXTRACTION_SYSTEM = (
-    "You read bank statements and list their transactions. Amounts are in Indian rupees (₹). "
-    "Answer with JSON only: an object whose key transactions holds one object per transaction, "
-    "with the keys date (YYYY-MM-DD), description, amount (a number, positive for money in and "
-    "negative for money out), type (credit or debit) and category (one of: "
-    + ", ".join(CATEGORIES)
-    + "). Use null for a value the text does not settle. Leave out balances and totals, and add "
-    "nothing that the text does not show."
-)
-EXTRACTION_USER = "List the transactions of this statement:\n\n"
-
-ADVICE_SYSTEM = (
-    "You are a warm personal-finance coach who explains account figures in plain words."
-)
-ADVICE_TASK = (
-    "Write to the account holder as you. Answer as JSON with the keys summary (three or four "
-    "sentences), tips (a list of three to five saving ideas that fit these figures) and "
-    "custom_advice (one suggestion for this account in particular)."
-)
+# Columns of a transaction that a reply has to give.
+REPLY_FIELDS = ("date", "description", "amount", "type", "category")
 
 
 def _body(system: Column, user: Column, settings: tuple[float, int]) -> Column:
@@ -67,51 +50,61 @@ def _body(system: Column, user: Column, settings: tuple[float, int]) -> Column:
     )
 
 
-def extraction_requests(
-    texts: DataFrame, system: str = EXTRACTION_SYSTEM, user: str = EXTRACTION_USER
-) -> DataFrame:
-    """One extraction request per statement section, as a JSON body."""
+def field_list() -> str:
+    """The columns that a reply's records should have, and the labels of a category."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in TRANSACTIONS.fields if f.name in REPLY_FIELDS]
+    return "; ".join(fields) + "; labels " + "/".join(CATEGORIES)
+
+
+def extraction_requests(texts: DataFrame, system: str, user: str = "") -> DataFrame:
+    """One extraction request per statement, as a JSON body.
+
+    The caller words the task; ``field_list`` describes the expected records.
+    """
     prompt = F.concat(F.lit(user), F.col("text"))
     return texts.select(
-        "statement_id", "section", _body(F.lit(system), prompt, EXTRACTION_SETTINGS).alias("body")
+        "statement_id", _body(F.lit(system), prompt, EXTRACTION_SETTINGS).alias("body")
     )
 
 
+# Parts of the facts text in order: heading and the record's columns shown below it.
+FACTS = (
+    ("Score", (("points", "health_score"),)),
+    ("Money", (("in", "total_income"), ("out", "total_expenses"), ("left", "net_flow"), ("saved", "avg_savings_rate"))),
+    ("Most spent on", (("category", "top_expense_category"), ("amount", "top_expense_amount"))),
+    ("By category", (("", "category_expenses"),)),
+    ("From", (("", "top_income_sources"),)),
+    ("Again and again", (("", "recurring_expenses"),)),
+    ("Out of line", (("", "large_transactions"), ("below the small bound", "small_expense_count"))),
+    ("Days", (("", "date_range"),)),
+)
+_MONEY_COLUMNS = ("total_income", "total_expenses", "net_flow", "top_expense_amount")
+_LISTS = {
+    "category_expenses": money_lines,
+    "top_income_sources": money_lines,
+    "recurring_expenses": comma_list,
+    "large_transactions": record_lines,
+}
+
+
 def facts_text(record: DataFrame) -> Column:
-    """Figures and patterns of one account as the text of an advice request.
+    """Figures and patterns of one account as text, laid out by ``FACTS``.
 
     ``record`` has the columns of ``account_facts``.
     """
 
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"- {label}: "), F.coalesce(value, F.lit("n/a")))
+    def shown(label: str, column: str) -> Column:
+        value = F.col(column)
+        if column in _LISTS:
+            return _LISTS[column](value)
+        text = percent_text(value) if column == "avg_savings_rate" else value.cast("string")
+        text = F.coalesce(money_text(value) if column in _MONEY_COLUMNS else text, F.lit("n/a"))
+        return F.concat(F.lit(f"{label}: "), text) if label else text
 
-    top = F.concat(
-        F.col("top_expense_category"), F.lit(" ("), money_text(F.col("top_expense_amount")), F.lit(")")
-    )
-    over_limit = F.concat(
-        F.lit("- "), F.col("expense_categories").cast("string"), F.lit(" categories, listed separately")
-    )
-    return F.concat_ws(
-        "\n",
-        F.lit("Summary"),
-        line("Period", F.col("date_range")),
-        line("Income", money_text(F.col("total_income"))),
-        line("Expenses", money_text(F.col("total_expenses"))),
-        line("Net flow", money_text(F.col("net_flow"))),
-        line("Savings rate", percent_text(F.col("avg_savings_rate"))),
-        line("Largest category", top),
-        line("Health score", F.concat(F.col("health_score").cast("string"), F.lit("/100"))),
-        F.lit("Income sources"),
-        money_lines(F.col("top_income_sources")),
-        F.lit("Expense categories"),
-        F.coalesce(money_lines(F.col("category_expenses")), over_limit),
-        F.lit("Recurring expenses"),
-        comma_list(F.col("recurring_expenses")),
-        F.lit("Large expenses"),
-        record_lines(F.col("large_transactions")),
-        line("Small expenses", F.col("small_expense_count").cast("string")),
-    )
+    parts = []
+    for heading, columns in FACTS:
+        parts += [F.lit(f"[{heading}]"), *(shown(label, column) for label, column in columns)]
+    return F.concat_ws("\n", *parts)
 
 
 def account_facts(
@@ -146,11 +139,8 @@ def facts_block(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def advice_requests(
-    facts: DataFrame,
-    keys: Sequence[str] = (),
-    system: str = ADVICE_SYSTEM,
-    task: str = ADVICE_TASK,
+    facts: DataFrame, system: str, task: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One advice request per key, as a JSON body."""
+    """One advice request per key, as a JSON body; the caller words it."""
     prompt = F.concat(facts_text(facts), F.lit("\n\n"), F.lit(task))
     return facts.select(*keys, _body(F.lit(system), prompt, ADVICE_SETTINGS).alias("body"))

@@ -7,25 +7,20 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.text import clean_text
 
-# Pages per output row. Any ordinary statement fits one section; a statement
-# with more pages continues in sections 1, 2, ... so no group grows unbounded.
-PAGES_PER_SECTION = 10_000
 
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """One text per statement: pages in order, each with a blank line.
 
-def assemble_pages(pages: DataFrame, pages_per_section: int = PAGES_PER_SECTION) -> DataFrame:
-    """One text per statement section: pages in order, each with a blank line.
-
-    Reading the sections of a statement in order gives its whole text.
-    ``(statement_id, page_num)`` identifies a page.
+    ``(statement_id, page_num)`` identifies a page. A statement's text is one
+    value and has to fit a row.
     """
-    section = F.floor(F.col("page_num") / F.lit(pages_per_section)).cast("bigint")
     ordered = F.array_sort(
         F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("text")))
     )
     text = F.array_join(
         F.transform(ordered, lambda p: F.concat(p["text"], F.lit("\n\n"))), ""
     )
-    return pages.groupBy("statement_id", section.alias("section")).agg(text.alias("text"))
+    return pages.groupBy("statement_id").agg(text.alias("text"))
 
 
 def clean_statements(texts: DataFrame, column: str = "text") -> DataFrame:

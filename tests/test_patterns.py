@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledger_spark.keyed import hot_keys, lookup_by_key, split_limit
+from ledger_spark import keyed
+from ledger_spark.keyed import hot_keys, lookup_by_key
 from ledger_spark.operators import patterns, score
 from ledger_spark.operators.normalize import normalize
 from tests.conftest import random_rows, row, rows_of
@@ -76,10 +77,11 @@ def test_hot_keys_are_split_and_bounded(table):
     hot = {r.account_id: (r.n, r["__parts"]) for r in hot_keys(sizes, ACCOUNT, "n", 100).collect()}
     assert list(hot) == [1] and hot[1][1] == -(-hot[1][0] // 100)
     assert hot_keys(sizes, ACCOUNT, "n", 1000) is None
-    assert split_limit(10**12, 5_000_000) * 100_000 >= 10**12
 
 
-def test_lookup_keeps_every_row_once(table):
+@pytest.mark.parametrize("broadcast_keys", [0, 100])
+def test_lookup_keeps_every_row_once(table, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(keyed, "MAX_BROADCAST_KEYS", broadcast_keys)
     tx = table(random_rows(23, 400))
     sizes = tx.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
     joined = lookup_by_key(tx, sizes, ACCOUNT, "n", ["statement_id", "seq"], rows_per_task=10)
@@ -129,11 +131,10 @@ def test_pattern_record_of_nothing(table):
     assert len(only) == 1 and only[0].small_expense_count == 0 and only[0].category_expenses == {}
 
 
-def test_category_map_is_whole_or_absent(table, monkeypatch):
-    tx = normalize(table([row(i, None, -1 - i, category=f"c{i}") for i in range(4)]))
-    assert len(patterns.pattern_record(tx).first().category_expenses) == 4
-    monkeypatch.setattr(patterns, "MAX_MAP_LABELS", 3)
-    assert patterns.pattern_record(tx).first().category_expenses is None
+def test_category_map_is_always_whole(table):
+    tx = normalize(table([row(i, None, -1 - i, category=f"c{i}") for i in range(10_500)]))
+    found = patterns.pattern_record(tx).first().category_expenses
+    assert len(found) == 10_500 and found["c10499"] == 10_500.0
 
 
 def points(spark, **facts):

@@ -121,16 +121,18 @@ def test_report_set(spark, table, tmp_path, fmt):
         assert reader.format(fmt).load(paths[name]).count() == df.count()
 
 
+REFUSED = narrative.Template(("a", "b"), "refused")
+FAILED = narrative.Template(("c",), "failed", with_savings_rate=False)
+
+
 def test_template_narrative(table):
     tx = normalize(table([row(0, "2024-01-01", 1234.5), row(1, "2024-01-02", -1500)]))
     facts = summary.summary(tx)
-    refused = narrative.template_narrative(facts).first()
-    assert refused.summary == (
-        "In this period your income was ₹1,234.50 and your expenses were ₹1,500.00, a negative "
-        "cash flow of ₹265.50. Your savings rate was -21.5%."
-    )
-    failed = narrative.template_narrative(facts, template=narrative.FAILED).first()
-    assert failed.summary.endswith("₹265.50.") and len(failed.tips) == 3
+    refused = narrative.template_narrative(facts, REFUSED).first()
+    assert refused.summary.startswith("in ₹1,234.50, out ₹1,500.00, left ")
+    assert refused.summary.endswith(", saved -21.5%") and refused.tips == ["a", "b"]
+    failed = narrative.template_narrative(facts, FAILED).first()
+    assert "saved" not in failed.summary and failed.custom_advice == "failed"
 
 
 def test_insights_fall_back_by_cause(spark, table):
@@ -142,28 +144,34 @@ def test_insights_fall_back_by_cause(spark, table):
         return json.dumps({"choices": [{"message": {"content": content}}]})
 
     answers = spark.createDataFrame(
-        [(1, 200, reply(good)), (2, 500, None), (3, 200, reply("junk"))],
-        "account_id long, status int, response string",
+        [
+            (1, 1, 500, None), (1, 2, 200, reply(good)), (2, 9, 500, None), (2, 1, 200, reply(good)),
+            (3, 1, 200, reply("junk")),
+        ],
+        "account_id long, attempt int, status int, response string",
     )
-    got = {r.account_id: r for r in narrative.insights(facts, answers, ACCOUNT).collect()}
+    got = {r.account_id: r for r in narrative.insights(facts, REFUSED, FAILED, answers, ACCOUNT).collect()}
+    assert len(got) == 4
     assert (got[1].summary, got[1].tips, got[1].custom_advice) == ("fine", ["t"], "c")
-    assert got[2].custom_advice == narrative.REFUSED.advice
-    assert got[3].custom_advice == got[4].custom_advice == narrative.FAILED.advice
+    assert got[2].custom_advice == REFUSED.advice
+    assert got[3].custom_advice == got[4].custom_advice == FAILED.advice
     assert all(r.health_score == 75 for r in got.values())
-    whole = narrative.insights(requests.account_facts(tx)).collect()
-    assert len(whole) == 1 and whole[0].custom_advice == narrative.FAILED.advice
+    last = narrative.insights(requests.account_facts(tx), REFUSED, FAILED, answers.filter("account_id = 1")).collect()
+    assert [r.summary for r in last] == ["fine"]
+    whole = narrative.insights(requests.account_facts(tx), REFUSED, FAILED).collect()
+    assert len(whole) == 1 and whole[0].custom_advice == FAILED.advice
 
 
 def test_requests_are_valid_json(spark, table):
     pages = spark.createDataFrame([("s", 1, 'He said "l5"\nPage 1 of 2')], PAGES)
-    body = json.loads(requests.extraction_requests(clean_statements(assemble_pages(pages))).first().body)
+    body = json.loads(requests.extraction_requests(clean_statements(assemble_pages(pages)), "task").first().body)
     assert [m["role"] for m in body["messages"]] == ["system", "user"]
     assert body["messages"][1]["content"].endswith('He said "15" ')
     assert (body["temperature"], body["max_tokens"]) == (0.1, 8000)
     assert body["response_format"] == {"type": "json_object"}
 
     tx = normalize(table([row(0, "2024-01-01", 10, "pay"), row(1, "2024-01-01", -3)]))
-    advice = json.loads(requests.advice_requests(requests.account_facts(tx)).first().body)
+    advice = json.loads(requests.advice_requests(requests.account_facts(tx), "role", "task").first().body)
     assert (advice["temperature"], advice["max_tokens"]) == (0.7, 2000)
     assert "- pay: ₹10.00" in advice["messages"][1]["content"]
     assert "None identified" in advice["messages"][1]["content"]
@@ -171,7 +179,7 @@ def test_requests_are_valid_json(spark, table):
 
 def test_facts_without_any_date(table):
     facts = requests.facts_block(requests.account_facts(normalize(table([row(0, None, None)])))).first()
-    assert "- Period: n/a" in facts.facts and "- Savings rate: n/a" in facts.facts
+    assert facts.facts.endswith("[Days]\nn/a") and "saved: n/a" in facts.facts
 
 
 def test_replies_to_report(spark):

@@ -234,3 +234,10 @@ def test_monthly_net_plus_undated_is_total_net(table):
 def test_date_bounds(months):
     only = summary.date_bounds(months).first()
     assert (str(only.min_date), str(only.max_date)) == ("2024-01-05", "2024-06-01")
+
+
+def test_extreme_savings_rate_does_not_end_the_job(table):
+    rows = [row(0, "2024-01-01", 0.01), row(1, "2024-01-02", -5 * 10**12), row(2, "2024-01-02", -5 * 10**12, account=2)]
+    got = summary.summary(normalize(table(rows)), ("account_id",)).collect()
+    assert {r.account_id for r in got} == {1, 2}
+    assert min(r.avg_savings_rate for r in got) < -4e16

@@ -49,15 +49,14 @@ def test_clean_text_on_random_strings(spark, values):
 
 def test_pages_are_joined_in_order(spark):
     rows = [("s", 10, "ten"), ("s", 2, "two"), ("t", 1, None), ("s", 1, "one")]
-    got = {r.statement_id: (r.section, r.text) for r in assemble_pages(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got == {"s": (0, "one\n\ntwo\n\nten\n\n"), "t": (0, "\n\n")}
+    got = {r.statement_id: r.text for r in assemble_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {"s": "one\n\ntwo\n\nten\n\n", "t": "\n\n"}
 
 
-def test_long_statements_continue_in_sections(spark):
-    rows = [("s", n, f"p{n}") for n in range(25)]
-    sections = assemble_pages(spark.createDataFrame(rows, PAGES), pages_per_section=10).orderBy("section").collect()
-    assert [r.section for r in sections] == [0, 1, 2]
-    assert "".join(r.text for r in sections) == "".join(f"p{n}\n\n" for n in range(25))
+def test_long_statements_stay_whole(spark):
+    rows = [("s", n, f"p{n}") for n in range(10_001)]
+    whole = assemble_pages(spark.createDataFrame(rows, PAGES)).collect()
+    assert [r.text for r in whole] == ["".join(f"p{n}\n\n" for n in range(10_001))]
 
 
 @pytest.mark.parametrize("value", [0.0, 5.0, -5.5, 1234.5, -1234567.891, 0.125, 2.675, 1e12])
