@@ -34,6 +34,8 @@ from ledger_spark.staging import new_path, stage
 END_ID = 0
 # Pieces of text whose ids a worker remembers, in each of two generations.
 MEMO_PIECES = 400_000
+# Characters of text encoded at once.
+SLICE = 1_000_000
 # Bytes of frames read at once.
 READ_BYTES = 8 << 20
 
@@ -43,6 +45,9 @@ _NAME_BYTES = struct.calcsize(_NAME)
 _MASK = 0xA282EAD8
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_LINES = re.compile(r"\S+(?:\n\S+)*")
+# A Latin letter and the punctuation after it; an apostrophe may bind to letters.
+_ENDED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?|*$%&#]+)")
 
 
 def masked(data: bytes) -> int:
@@ -67,11 +72,31 @@ def unframe(data: memoryview) -> memoryview:
     return payload
 
 
+class Memo:
+    """Ids of strings, in two generations: a full young one replaces the old one."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted``, none of them young, that are not old either; old ones become young."""
+        self.young |= {w: self.old[w] for w in wanted & self.old.keys()}
+        return [w for w in wanted if w not in self.young]
+
+
 class Encoder:
     """Token ids of texts, as bytes.
 
     The tokenizer splits before a space that stands between two other characters,
-    so the pieces between such spaces are encoded once and remembered.
+    so the pieces between such spaces are encoded once and remembered. Pieces in
+    turn are made of units: the tokenizer also splits around a single line break
+    and between a letter and the punctuation after it.
     """
 
     def __init__(self, path: str):
@@ -80,15 +105,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces, self.units = Memo(MEMO_PIECES), Memo(MEMO_PIECES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
 
     @staticmethod
-    def pieces(text: str) -> tuple[str, list[str]]:
+    def split(text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without their leading space."""
         if _DOUBLE.search(text):
             first, *others = _SAFE.split(text)
@@ -96,18 +120,44 @@ class Encoder:
         first, *others = text.split(" ")
         return first, others
 
+    @staticmethod
+    def parts(piece: str) -> list[str]:
+        """Units of a piece, its leading space included."""
+        if "<|" in piece or not _LINES.fullmatch(piece):
+            return [" " + piece]
+        out = []
+        for line in (" " + piece).split("\n"):
+            if out:
+                out.append("\n")
+            ended = _ENDED.fullmatch(line)
+            out += ended.groups() if ended else [line]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        if len(self.young) > MEMO_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        wanted = {p for _, others in split for p in others if p not in young}
-        known = {p: old[p] for p in wanted if p in old}
-        young |= known
-        missing = [p for p in wanted if p not in known]
-        young.update(zip(missing, self._ids([" " + p for p in missing])))
+        self.pieces.turn()
+        self.units.turn()
+        unit, piece = self.units.young, self.pieces.young
+        split = [self.split(t) for t in texts]
+        known = [list(map(piece.get, others)) for _, others in split]
+        short = [i for i, ids in enumerate(known) if None in ids]
+        missing = self.pieces.missing({p for i in short for p, ids in zip(split[i][1], known[i]) if ids is None})
+        parts = [self.parts(p) for p in missing]
+        units = self.units.missing({u for us in parts for u in us if u not in unit})
+        unit.update(zip(units, self._ids(units)))
+        piece.update((p, b"".join(map(unit.__getitem__, us))) for p, us in zip(missing, parts))
+        for i in short:
+            known[i] = map(piece.__getitem__, split[i][1])
         firsts = self._ids([f for f, _ in split])
-        return [f + b"".join(map(young.__getitem__, others)) for f, (_, others) in zip(firsts, split)]
+        return [f + b"".join(ids) for f, ids in zip(firsts, known)]
+
+    def in_slices(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """Number and ids of each text, encoding ``SLICE`` characters at a time."""
+        start, size = 0, 0
+        for at, text in enumerate(texts):
+            size += len(text)
+            if size >= SLICE or at == len(texts) - 1:
+                yield from enumerate(self.encode(texts[start : at + 1]), start)
+                start, size = at + 1, 0
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,8 +180,9 @@ def _write(folder: str, vocabulary: str):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{name}.rec")
-            ids = tool.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc, data in zip(batch.column(0).to_pylist(), ids):
+            docs = batch.column(0).to_pylist()
+            for number, data in tool.in_slices(batch.column(1).to_pylist()):
+                doc = docs[number]
                 data = frame(struct.pack(_NAME, doc is not None, doc or 0) + data + end)
                 out.write(data)
                 offsets.append(at)
