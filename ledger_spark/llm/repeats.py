@@ -8,10 +8,11 @@ same distance, so strings are compared only within one anchor:
    anchor hashes.
 2. Each other anchor brings its context, which is the bytes of all strings that
    it anchors. Of equal contexts the first stands for all.
-3. The different contexts of an anchor that may share a string are concatenated,
-   their suffixes sorted by linear grouping, and neighbours in suffix order that
-   agree in their first ``LENGTH`` bytes form the groups of equal strings. All
-   but the first of a group are removed.
+3. Contexts are cut to the parts that other contexts of the anchor may share, by
+   hashes. Of equal parts, again, the first stands for all. The different parts
+   are concatenated, their suffixes sorted by linear grouping, and neighbours in
+   suffix order that agree in their first ``LENGTH`` bytes form the groups of
+   equal strings. All but the first of a group are removed.
 
 Work is split by anchor, however long the texts are, and the suffix order is only
 built where copies differ: at the edges of repeated passages.
@@ -35,8 +36,10 @@ from ledger_spark.staging import stage
 LENGTH = 100
 REACH = 60
 ANCHOR = LENGTH - REACH
-# Bytes of a text that are searched at once, and bytes of contexts sorted at once.
+# Bytes of a text that are searched at once, of contexts that are compared at once,
+# and of contexts that are sorted at once.
 SLAB = 1 << 22
+DECIDED_BYTES = 1 << 20
 SORTED_BYTES = 1 << 17
 # Contexts remembered by one task before its memory is emptied.
 MEMO_CONTEXTS = 500_000
@@ -173,69 +176,100 @@ def repeated_starts(contexts: list[bytes]) -> list[tuple[int, int]]:
     return out + sorted(group)[1:]
 
 
-def _sharing(contexts: list[bytes]) -> list[bool]:
-    """Whether a context may share a string with another one, by hashes of all strings."""
-    hashes, owners = [], []
-    for number, data in enumerate(contexts):
-        grams = _grams(np.frombuffer(data, np.uint8))
-        count = len(data) - LENGTH + 1
-        total = np.zeros(count, np.uint64)
-        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            total = mix(total + grams[k : k + count])
-        hashes.append(np.unique(total))
-        owners.append(np.full(len(hashes[-1]), number))
-    whole, owner = np.concatenate(hashes), np.concatenate(owners)
-    _, at, times = np.unique(whole, return_inverse=True, return_counts=True)
-    out = np.zeros(len(contexts), bool)
-    out[owner[times[at] > 1]] = True
-    return out.tolist()
+Entry = tuple[int, int, int, bytes]
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (row, start, end); input sorted by anchor, row and first start."""
-    pending: list[tuple[int, int, bytes]] = []
-    size = 0
+def _shared_parts(entries: list[Entry]) -> Iterator[Entry]:
+    """The parts of contexts whose strings may also be in another context of the anchor.
 
-    def settle() -> pa.RecordBatch:
-        rows, starts, ends = [], [], []
-        for number, start in repeated_starts([data for *_, data in pending]):
-            row, first, _ = pending[number]
+    ``entries`` are (anchor number, row, start, bytes). Strings are compared by
+    hashes here, over all contexts at once.
+    """
+    data = np.frombuffer(b"".join(e[3] for e in entries), np.uint8)
+    sizes = np.array([len(e[3]) for e in entries])
+    ends = np.cumsum(sizes)
+    grams = _grams(data)
+    count = len(data) - LENGTH + 1
+    total = np.zeros(count, np.uint64)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        total = mix(total + grams[k : k + count])
+    owner = np.repeat(np.arange(len(entries)), sizes)[:count]
+    at = np.flatnonzero(np.arange(count) + LENGTH <= ends[owner])
+    number = np.array([e[0] for e in entries], np.uint64)[owner[at]]
+    _, same, times = np.unique(mix(total[at] + mix(number)), return_inverse=True, return_counts=True)
+    at = at[times[same] > 1]
+    if not len(at):
+        return
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
+    for first, last in zip(at[new].tolist(), at[np.r_[new[1:], len(at)] - 1].tolist()):
+        anchor, row, start, whole = entries[owner[first]]
+        a = first - int(ends[owner[first]] - sizes[owner[first]])
+        yield anchor, row, start + a, whole[a : a + last - first + LENGTH]
+
+
+def _settle(entries: list[Entry]) -> pa.RecordBatch:
+    """Stretches of the shared parts of whole anchors, earlier rows first.
+
+    Of equal parts the first stands for all; the different parts of an anchor
+    are put in suffix order.
+    """
+    rows, starts, ends = [], [], []
+    groups: dict[int, dict[bytes, tuple[int, int]]] = {}
+    for anchor, row, start, part in _shared_parts(entries) if entries else ():
+        group = groups.setdefault(anchor, {})
+        if part in group:
             rows.append(row)
-            starts.append(first + start)
-            ends.append(first + start + LENGTH)
-        pending.clear()
-        return _stretches(rows, starts, ends)
-
-    def close(group: list[tuple[int, int, bytes]]) -> None:
-        nonlocal size
-        if len(group) < 2:
-            return
-        for entry, wanted in zip(group, _sharing([data for *_, data in group])):
-            if wanted:
-                pending.append(entry)
-                size += len(entry[2])
-
-    anchor, group, seen = None, [], set()
+            starts.append(start)
+            ends.append(start + len(part))
+        else:
+            group[part] = row, start
+
+    def order(parts: list[tuple[bytes, tuple[int, int]]]) -> None:
+        for number, at in repeated_starts([part for part, _ in parts]):
+            row, start = parts[number][1]
+            rows.append(row)
+            starts.append(start + at)
+            ends.append(start + at + LENGTH)
+
+    pending: list[tuple[bytes, tuple[int, int]]] = []
+    for group in groups.values():
+        if len(group) > 1:
+            pending += group.items()
+            if sum(len(part) for part, _ in pending) > SORTED_BYTES:
+                order(pending)
+                pending = []
+    order(pending)
+    return _stretches(rows, starts, ends)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removed stretches (row, start, end); input sorted by anchor, row and first start."""
+    entries: list[Entry] = []
+    group: list[Entry] = []
+    size = number = 0
+    anchor, seen = None, set()
     for batch in batches:
         rows, starts, ends = [], [], []
         columns = [batch.column(i).to_pylist() for i in range(5)]
         for now, row, first, last, data in zip(*columns):
             if now != anchor:
-                close(group)
-                if size > SORTED_BYTES:
-                    yield settle()
-                    size = 0
+                if len(group) > 1:
+                    entries += group
+                    size += sum(len(e[3]) for e in group)
+                if size > DECIDED_BYTES:
+                    yield _settle(entries)
+                    entries, size = [], 0
                 anchor, group, seen = now, [], set()
+                number += 1
             if data is None or data in seen:
                 rows.append(row)
                 starts.append(first)
                 ends.append(last + LENGTH)
             else:
                 seen.add(data)
-                group.append((row, first, data))
+                group.append((number, row, first, data))
         yield _stretches(rows, starts, ends)
-    close(group)
-    yield settle()
+    yield _settle(entries + (group if len(group) > 1 else []))
 
 
 def _stretches(rows: list[int], starts: list[int], ends: list[int]) -> pa.RecordBatch:
