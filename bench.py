@@ -12,12 +12,14 @@ import os
 import pathlib
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from ledger_spark.plans.queries import registry
 from ledger_spark.session import build_session
+from ledger_spark.staging import release
 
 HEADLINE = (
     "normalized_transactions",
@@ -60,7 +62,11 @@ def main() -> None:
         "bench",
         master=f"local[{cpus}]",
         shuffle_partitions=cpus,
-        extra={"spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        extra={
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-stage-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry()
@@ -71,6 +77,7 @@ def main() -> None:
             started = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - started)
+            release(spark)
         times[name] = round(statistics.median(taken[1:]), 4)
     spark.stop()
     print(

@@ -19,6 +19,7 @@ from ledger_spark.staging import stage
 
 # Block sizes: the most rows a block should hold, and the fewest worth a task.
 ROWS_PER_BLOCK = 1_000_000
+MAX_BLOCKS = 20_000
 SMALL_BLOCK = 10_000
 
 
@@ -68,7 +69,13 @@ def _in_windows(
 
 
 def _block_count(rows: DataFrame, total: int, rows_per_block: int) -> int:
-    """Enough blocks to bound their size, and to use the cluster if worth it."""
+    """Enough blocks to bound their size, and to use the cluster if worth it.
+
+    There are at most ``MAX_BLOCKS``: beyond that, blocks grow with the table, so
+    that the number of tasks and the carry table stay bounded. Results are equal
+    for any number; blocks are about even, as their bounds come from a sample.
+    """
+    rows_per_block = max(rows_per_block, total / MAX_BLOCKS)
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(
         1, math.ceil(total / rows_per_block), min(usual, math.ceil(total / SMALL_BLOCK))

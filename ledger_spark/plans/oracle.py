@@ -528,6 +528,11 @@ SELECT DISTINCT category, FALSE FROM ({ORDERS})""",
         "balance_line": balance_line(),
     }
     assert CUT == 10  # the twins of truncated replies expect the last record to be cut
+    dated = ", ".join(
+        f"CASE WHEN seq % 7 <> 0 THEN {c} END AS {c}" for c in ("date", "month", "year", "year_month")
+    )
+    gaps = f"""SELECT * REPLACE ({dated}, CASE WHEN seq % 11 <> 0 THEN amount END AS amount,
+  CASE WHEN seq % 13 <> 0 THEN description END AS description) FROM ({EVENTS})"""
     both: dict[str, tuple[str, Callable[[str, bool], str]]] = {
         "monthly_cash_flow": (ORDERS, monthly_cash_flow),
         "monthly_income_vs_expenses": (ORDERS, monthly_income_vs_expenses),
@@ -541,6 +546,9 @@ SELECT DISTINCT category, FALSE FROM ({ORDERS})""",
         "summary": (ORDERS, summary),
         "running_balance": (EVENTS, running_balance),
         "balance_bounds": (EVENTS, balance_bounds),
+        "running_balance_with_gaps": (gaps, running_balance),
+        "monthly_cash_flow_with_gaps": (gaps, monthly_cash_flow),
+        "summary_with_gaps": (gaps, summary),
         "income_by_description": (EVENTS, income_by_description),
         "top_income_sources": (EVENTS, top_income_sources),
         "expense_category_map_rows": (EVENTS, category_spending),

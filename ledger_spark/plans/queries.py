@@ -60,6 +60,10 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return normalize(samples.event_transactions(spark, folder))
 
 
+def events_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return normalize(samples.with_gaps(samples.event_transactions(spark, folder)))
+
+
 def _over(source: Query, operator: Callable[..., DataFrame], **arguments) -> Query:
     return lambda spark, folder: operator(source(spark, folder), **arguments)
 
@@ -311,6 +315,9 @@ def registry() -> dict[str, Query]:
         "summary": (orders, summary.summary),
         "running_balance": (events, balance.running_balance),
         "balance_bounds": (events, balance.balance_bounds),
+        "running_balance_with_gaps": (events_with_gaps, balance.running_balance),
+        "monthly_cash_flow_with_gaps": (events_with_gaps, monthly.monthly_cash_flow),
+        "summary_with_gaps": (events_with_gaps, summary.summary),
         "income_by_description": (events, patterns.income_by_description),
         "top_income_sources": (events, patterns.top_income_sources),
         "expense_category_map_rows": (events, _category_map_rows),

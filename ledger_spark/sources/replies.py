@@ -105,11 +105,18 @@ def _lower_keys(record: Column) -> Column:
     return F.when(names == keys, record).otherwise(F.map_from_entries(pairs))
 
 
+def _too_large(value: Column) -> Column:
+    number = value.try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+    return F.coalesce(to_money(value).isNull() & finite, F.lit(False))
+
+
 def reply_transactions(read: DataFrame) -> DataFrame:
     """Transaction rows of the usable replies, numbered within their reply.
 
     Field names are lower-cased before values are converted, so ``Date`` and
-    ``Amount`` are converted too.
+    ``Amount`` are converted too. A number too large for an amount stays in
+    ``extras`` as the text it was.
     """
     carried = [c for c in ("statement_id", "account_id") if c in read.columns]
     # The outer form, and a filter on its output: a filter on ``records`` itself
@@ -127,7 +134,7 @@ def reply_transactions(read: DataFrame) -> DataFrame:
         to_money(record["amount"]).alias("amount"),
         record["type"].alias("type"),
         record["category"].alias("category"),
-        F.map_filter(record, lambda k, _: ~k.isin(*_FIELDS)).alias("extras"),
+        F.map_filter(record, lambda k, v: ~k.isin(*_FIELDS) | ((k == "amount") & _too_large(v))).alias("extras"),
     )
 
 

@@ -59,6 +59,12 @@ def event_transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_gaps(tx: DataFrame) -> DataFrame:
+    """The rows of ``tx`` with every 7th date, 11th amount and 13th description missing."""
+    every = {"date": 7, "amount": 11, "description": 13}
+    return tx.withColumns({c: F.when(F.col("seq") % n != 0, F.col(c)) for c, n in every.items()})
+
+
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as the pages of a statement."""
     return _read(spark, folder, "conversations").select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -41,6 +42,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/ledger_spark/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything that this application has staged; its staged tables end with it."""
+    app = spark.sparkContext.applicationId
+    store, path = fs.FileSystem.from_uri(f"{shared_folder(spark).rstrip('/')}/ledger_spark/{app}")
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     path = new_path(df.sparkSession, label)

@@ -183,3 +183,11 @@ def test_stream_of_replies(spark, tmp_path):
     assert [r.statement_id for r in spark.read.parquet(f"{out}/rejects").collect()] == ["s2"]
     batch = normalize(reply_transactions(read(spark, envelope(json.dumps(RECORDS)))))
     assert set(batch.columns) | {"batch"} == set(accepted.columns)
+
+
+def test_numbers_too_large_for_an_amount_leave_a_trace(spark):
+    content = json.dumps([{"date": "2024-01-05", "amount": "1" + "0" * 17}, {"date": "2024-01-05", "amount": "12"}, {"amount": "x"}])
+    response = json.dumps({"choices": [{"message": {"content": content}}]})
+    rows = reply_transactions(read_replies(spark.createDataFrame([("s", 1, response)], REPLIES))).orderBy("seq").collect()
+    assert [r.amount for r in rows] == [None, 12, None]
+    assert [r.extras.get("amount") for r in rows] == ["1" + "0" * 17, None, None]

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from ledger_spark.staging import new_path, shared_folder
+from ledger_spark.staging import new_path, release, shared_folder
 
 
 def session(master, folder=None, app="app-1"):
@@ -31,3 +31,12 @@ def test_local_session_gets_one_folder_of_its_own():
 def test_cluster_without_a_folder_is_refused():
     with pytest.raises(ValueError):
         shared_folder(session("yarn"))
+
+
+def test_release_deletes_what_was_staged(tmp_path):
+    app = session("yarn", str(tmp_path), "app-9")
+    folder = tmp_path / "ledger_spark" / "app-9" / "x"
+    folder.mkdir(parents=True)
+    release(app)
+    assert not folder.parent.exists() and tmp_path.exists()
+    release(app)
