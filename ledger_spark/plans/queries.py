@@ -234,13 +234,13 @@ def _insights(spark: SparkSession, folder: str) -> DataFrame:
         .filter(kind != 3)
         .select(
             "account_id",
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"),
             F.when(kind == 0, 429).otherwise(200).alias("status"),
             F.to_json(F.struct(F.array(message).alias("choices"))).alias("response"),
         )
     )
     facts = requests.account_facts(tx, ACCOUNT)
     # every account was asked twice; the first answers were lost
+    answers = answers.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
     answers = answers.withColumn("response", F.when(F.col("attempt") == 2, F.col("response")))
     record = narrative.insights(facts, REFUSED, FAILED, answers, ACCOUNT)
     return record.withColumn("tips", F.array_join("tips", "\n"))
