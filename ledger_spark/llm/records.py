@@ -45,9 +45,6 @@ _NAME_BYTES = struct.calcsize(_NAME)
 _MASK = 0xA282EAD8
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_LINES = re.compile(r"\S+(?:\n\S+)*")
-# A Latin letter and the punctuation after it; an apostrophe may bind to letters.
-_ENDED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?|*$%&#]+)")
 
 
 def masked(data: bytes) -> int:
@@ -94,9 +91,7 @@ class Encoder:
     """Token ids of texts, as bytes.
 
     The tokenizer splits before a space that stands between two other characters,
-    so the pieces between such spaces are encoded once and remembered. Pieces in
-    turn are made of units: the tokenizer also splits around a single line break
-    and between a letter and the punctuation after it.
+    so the pieces between such spaces are encoded once and remembered.
     """
 
     def __init__(self, path: str):
@@ -105,7 +100,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.units = Memo(MEMO_PIECES), Memo(MEMO_PIECES)
+        self.pieces = Memo(MEMO_PIECES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -120,31 +115,14 @@ class Encoder:
         first, *others = text.split(" ")
         return first, others
 
-    @staticmethod
-    def parts(piece: str) -> list[str]:
-        """Units of a piece, its leading space included."""
-        if "<|" in piece or not _LINES.fullmatch(piece):
-            return [" " + piece]
-        out = []
-        for line in (" " + piece).split("\n"):
-            if out:
-                out.append("\n")
-            ended = _ENDED.fullmatch(line)
-            out += ended.groups() if ended else [line]
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         self.pieces.turn()
-        self.units.turn()
-        unit, piece = self.units.young, self.pieces.young
+        piece = self.pieces.young
         split = [self.split(t) for t in texts]
         known = [list(map(piece.get, others)) for _, others in split]
         short = [i for i, ids in enumerate(known) if None in ids]
         missing = self.pieces.missing({p for i in short for p, ids in zip(split[i][1], known[i]) if ids is None})
-        parts = [self.parts(p) for p in missing]
-        units = self.units.missing({u for us in parts for u in us if u not in unit})
-        unit.update(zip(units, self._ids(units)))
-        piece.update((p, b"".join(map(unit.__getitem__, us))) for p, us in zip(missing, parts))
+        piece.update(zip(missing, self._ids([" " + p for p in missing])))
         for i in short:
             known[i] = map(piece.__getitem__, split[i][1])
         firsts = self._ids([f for f, _ in split])
