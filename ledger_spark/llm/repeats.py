@@ -34,7 +34,7 @@ from ledger_spark.llm.suffix_groups import suffix_array
 from ledger_spark.staging import stage
 
 LENGTH = 100
-REACH = 60
+REACH = 68
 ANCHOR = LENGTH - REACH
 # Bytes of a text that are searched at once, of contexts that are compared at once,
 # and of contexts that are sorted at once.
