@@ -133,14 +133,16 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     memo = Canonical()
     for batch in batches:
         memo.start()
-        out = {"item_id": [], "n": [], "at": [], "key": [], "slots": []}
+        out = {n: [] for n in _ITEM_ARROW.names}
         for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
             at = memo.numbers(text or b"")
             tokens, slots = canonical(at, memo.table())
             keys, usable, size = _windows(tokens, slots)
             good = np.flatnonzero(usable)
+            version = xxhash.xxh3_64_intdigest(tokens.tobytes() + slots.tobytes()) - (1 << 63)
             for i in good.tolist():
                 out["item_id"].append(item)
+                out["version"].append(version)
                 out["n"].append(len(good))
                 out["at"].append(i)
                 out["key"].append(int(_as_signed(keys)[i]))
@@ -149,7 +151,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _ITEM_ARROW = pa.schema(
-    [("item_id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))]
+    [(n, pa.int64()) for n in ("item_id", "version", "n", "at", "key")] + [("slots", pa.list_(pa.int64()))]
 )
 _DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
@@ -237,18 +239,18 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``text``; other columns are ignored. One row per document and item:
     ``doc_id``, ``item_id``, ``n_windows`` and ``coverage`` (windows found on the
     best alignment, and their share of the item's), ``agreement`` (of slots) and
-    ``same_values`` (no slot was changed). Items with equal canonical text count
-    as one, under the smallest item_id. Items with fewer than ``LITERALS``
+    ``same_values`` (no slot was changed). Items with equal canonical text and
+    equal values count as one, under the smallest item_id; items that differ in a
+    value are compared each. Items with fewer than ``LITERALS``
     literal words, null texts and rows without ids match nothing; rows that
     repeat a doc_id count as one document; empty tables give no rows.
     """
     spark = docs.sparkSession
-    schema = "item_id bigint, n bigint, at bigint, key bigint, slots array<bigint>"
+    schema = "item_id bigint, version bigint, n bigint, at bigint, key bigint, slots array<bigint>"
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id IS NOT NULL")
     items = items.mapInArrow(_item_windows, schema)
-    whole = items.groupBy("item_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    first = whole.groupBy("keys").agg(F.min("item_id").alias("item_id")).select("item_id")
-    items = stage(items.join(first, "item_id", "left_semi").distinct(), "items")
+    first = items.groupBy("version").agg(F.min("item_id").alias("item_id"))
+    items = stage(items.join(first, ["version", "item_id"], "left_semi").distinct(), "items")
     sizes = [r[0] for r in items.select(F.size("slots")).distinct().collect()]
     filters = None
     if items.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
@@ -257,10 +259,10 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     found = chosen.mapInArrow(_doc_windows(filters, sizes), "doc_id bigint, at bigint, key bigint, slots array<bigint>")
-    right = items.select("key", "item_id", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    right = items.select("key", "item_id", "version", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     both = found.join(right, "key").withColumn("shift", F.col("at") - F.col("item_at"))
     pair = F.struct(F.col("item_at").alias("at"), "item_slots", F.col("slots").alias("doc_slots"))
-    lines = both.groupBy("doc_id", "item_id", "n", "shift").agg(
+    lines = both.groupBy("doc_id", "item_id", "version", "n", "shift").agg(
         F.count_distinct("item_at").alias("n_windows"), F.collect_list(pair).alias("pairs")
     )
     lines = lines.withColumn("coverage", F.col("n_windows") / F.col("n")).filter(F.col("coverage") >= COVERAGE)

@@ -47,6 +47,14 @@ def test_odd_tables(spark):
     assert set(got) == {(1, 4)} or set(got) == {(1, 3), (1, 4)}
 
 
+def test_items_of_one_template_are_compared_each(spark):
+    one = "He packs {} boxes of blue ink, then {} pens of the best kind, then {} caps for the whole class."
+    items = [(1, one.format(3, 3, 3)), (2, one.format(4, 6, 9)), (3, one.format(4, 6, 9))]
+    got = found(spark, [(1, "Read this. " + one.format(4, 6, 9), None)], items)
+    assert set(got) == {(1, 2)}
+    assert got[1, 2]["same_values"] and got[1, 2]["coverage"] == 1.0
+
+
 def test_whole_tables_against_plain_search(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).collect()}
