@@ -1,16 +1,20 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
 Words become canonical tokens: numbers, units and names turn into typed
-placeholders, other words are lower-cased and lose outer punctuation. Windows of
-canonical tokens of documents and benchmark items meet in a hash join. Windows
-on one alignment (document position minus item position) of a document and an
-item are counted together, and the values in their slots are compared: a
-re-parameterised copy replaces each value in the same way wherever it stands.
+placeholders, other words are lower-cased and lose outer punctuation. Neighbours
+of one type are one placeholder, so a name or number may get more words. Every
+text has two forms, because a capitalised word that opens a sentence may or may
+not be a name. Windows of tokens of documents and benchmark items meet in a hash
+join, form by form. Windows on close alignments (document position minus item
+position) of a document and an item are counted together, and the values in
+their slots are compared: a re-parameterised copy replaces each value in the same
+way wherever it stands.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_spark.llm.hashing import texts, windows
+from ledger_spark.llm.hashing import mix, texts, windows
 from ledger_spark.llm.ngram_join import only_ids
 from ledger_spark.staging import stage
 
 WINDOW = 8
 # Words of a window, or of a shorter item, that must be literal.
 LITERALS = 4
-# An alignment counts from this share of the item's windows.
+# A copy counts from this share of the item's windows.
 COVERAGE = 0.5
 # Share of slots that must follow one replacement of values (or be unchanged).
 AGREEMENT = 0.8
@@ -51,12 +55,13 @@ UNITS = (
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{1,3})?$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _END = re.compile(r"[.!?:][\"')\]]*$")
+_STOP = re.compile(r"[.!?:,;)\]]+[\"']*$")
 _WORD, _NUM, _UNIT, _CAP = range(4)
 _PLACES = np.array([0, 11, 13, 17], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Canonical(dict):
-    """Number of each distinct word, with its hash, kind and whether it ends a sentence.
+    """Number of each distinct word, with its hash, kind, glued unit and how it ends.
 
     One per worker; ``start`` empties a full table, at the start of a batch only,
     so that numbers stay valid within it.
@@ -64,16 +69,21 @@ class Canonical(dict):
 
     def __init__(self):
         super().__init__()
-        self.values, self.kinds, self.ends = [], [], []
+        self.values, self.kinds, self.units, self.ends, self.stops = [], [], [], [], []
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
         bare = _EDGE.sub("", word)
         low = bare.lower()
+        number = _NUMBER.match(word.strip("\"'()[]{}.,;:!?").lower())
+        unit = ""
         if not bare:
             kind = -1
-        elif _NUMBER.match(word.strip("\"'()[]{}.,;:!?").lower()) or low in NUMBERS:
+        elif number or low in NUMBERS:
             kind = _NUM
+            if number and number[1] and (number[1] == "%" or number[1] in UNITS):
+                unit = number[1]
+                low = low.removesuffix(unit)
         elif low in UNITS:
             kind = _UNIT
         elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
@@ -83,46 +93,82 @@ class Canonical(dict):
         self[raw] = at = len(self.values)
         self.values.append(xxhash.xxh3_64_intdigest(low.encode()) | 1)
         self.kinds.append(kind)
+        self.units.append(xxhash.xxh3_64_intdigest(unit.encode()) | 1 if unit else 0)
         self.ends.append(bool(_END.search(word)))
+        self.stops.append(bool(_STOP.search(word)))
         return at
 
     def start(self) -> None:
         if len(self.values) > MEMO_WORDS:
             self.clear()
-            self.values, self.kinds, self.ends = [], [], []
+            self.values, self.kinds, self.units, self.ends, self.stops = [], [], [], [], []
 
     def numbers(self, text: bytes) -> np.ndarray:
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.values, np.uint64), np.array(self.kinds, np.int8), np.array(self.ends, bool)
+    def table(self) -> tuple[np.ndarray, ...]:
+        return (
+            np.array(self.values, np.uint64),
+            np.array(self.kinds, np.int8),
+            np.array(self.units, np.uint64),
+            np.array(self.ends, bool),
+            np.array(self.stops, bool),
+        )
+
+
+Form = tuple[np.ndarray, np.ndarray]
 
 
-def canonical(at: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes and slot values of one text from its word numbers.
+def canonical(at: np.ndarray, table) -> list[Form]:
+    """Token hashes and slot values of both forms of a text, from its word numbers.
 
-    A capitalised word is a name unless it starts the text or a sentence.
+    A capitalised word is a name; where it starts the text or a sentence it is
+    an ordinary word in the first form and a name in the second.
     """
-    values, kinds, ends = table
+    values, kinds, units, ends, stops = table
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    kind = kinds[at]
-    after = np.r_[True, ends[at[:-1]]]
-    kind = np.where((kind == _CAP) & after, _WORD, kind)
-    real = kind >= 0
-    kind, value = kind[real], values[at][real]
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 2
+    kind, value, unit, end = kinds[at], values[at], units[at], stops[at]
+    opens = (kind == _CAP) & np.r_[True, ends[at[:-1]]]
+    glued = np.flatnonzero(unit)
+    if len(glued):
+        # a number with a unit becomes two tokens
+        kind, opens = np.insert(kind, glued + 1, _UNIT), np.insert(opens, glued + 1, False)
+        value, end = np.insert(value, glued + 1, unit[glued]), np.insert(end, glued, False)
+    real = np.flatnonzero(kind >= 0)
+    if not len(real):
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 2
+    apart = np.r_[True, end[real[:-1]] | (np.diff(real) > 1)]
+    kind, value, opens = kind[real], value[real], opens[real]
+    return [_merged(np.where(opens, _WORD, kind), value, apart), _merged(kind, value, apart)]
+
+
+def _merged(kind: np.ndarray, value: np.ndarray, apart: np.ndarray) -> Form:
+    """One token for each run of placeholders of one type that no punctuation divides."""
     slot = kind > 0
-    return np.where(slot, _PLACES[kind], value), np.where(slot, value, np.uint64(0))
+    tokens = np.where(slot, _PLACES[kind], value)
+    joins = np.r_[False, slot[1:] & (kind[1:] == kind[:-1]) & ~apart[1:]]
+    if joins.any():
+        first = np.flatnonzero(~joins)
+        inside = np.arange(len(kind)) - np.repeat(first, np.diff(np.r_[first, len(kind)]))
+        value = np.where(joins, mix(value + inside.astype(np.uint64) * _PLACES[1]), value)
+        value, tokens, slot = np.add.reduceat(value, first), tokens[first], slot[first]
+    return tokens, np.where(slot, value, np.uint64(0))
 
 
-def _windows(tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _windows(form: int, tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Window hashes, whether each has enough literals, and the window length."""
     size = min(WINDOW, len(tokens))
     if not size:
         return tokens, np.zeros(0, bool), 0
     literal = np.r_[0, np.cumsum(slots == 0)]
-    return windows(tokens, size), literal[size:] - literal[:-size] >= LITERALS, size
+    return _keys(form, tokens, size), literal[size:] - literal[:-size] >= LITERALS, size
+
+
+def _keys(form: int, tokens: np.ndarray, size: int) -> np.ndarray:
+    """Window hashes; those of different forms never meet."""
+    return windows(tokens, size) + np.uint64(form) * _PLACES[3]
 
 
 def _as_signed(values: np.ndarray) -> np.ndarray:
@@ -134,24 +180,28 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         memo.start()
         out = {n: [] for n in _ITEM_ARROW.names}
-        for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            at = memo.numbers(text or b"")
-            tokens, slots = canonical(at, memo.table())
-            keys, usable, size = _windows(tokens, slots)
-            good = np.flatnonzero(usable)
-            version = xxhash.xxh3_64_intdigest(tokens.tobytes() + slots.tobytes()) - (1 << 63)
-            for i in good.tolist():
-                out["item_id"].append(item)
-                out["version"].append(version)
-                out["n"].append(len(good))
-                out["at"].append(i)
-                out["key"].append(int(_as_signed(keys)[i]))
-                out["slots"].append(_as_signed(slots[i : i + size]).tolist())
+        ats = [memo.numbers(t or b"") for t in texts(batch.column(1))]
+        table = memo.table()
+        for item, at in zip(batch.column(0).to_pylist(), ats):
+            forms = canonical(at, table)
+            version = xxhash.xxh3_64_intdigest(b"".join(part.tobytes() for form in forms for part in form)) - (1 << 63)
+            for form, (tokens, slots) in enumerate(forms):
+                keys, usable, size = _windows(form, tokens, slots)
+                good = np.flatnonzero(usable)
+                for i in good.tolist():
+                    out["item_id"].append(item)
+                    out["version"].append(version)
+                    out["form"].append(form)
+                    out["n"].append(len(good))
+                    out["length"].append(len(tokens))
+                    out["at"].append(i)
+                    out["key"].append(int(_as_signed(keys)[i]))
+                    out["slots"].append(_as_signed(slots[i : i + size]).tolist())
         yield pa.RecordBatch.from_pydict(out, _ITEM_ARROW)
 
 
 _ITEM_ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("item_id", "version", "n", "at", "key")] + [("slots", pa.list_(pa.int64()))]
+    [(n, pa.int64()) for n in ("item_id", "version", "form", "n", "length", "at", "key")] + [("slots", pa.list_(pa.int64()))]
 )
 _DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
@@ -164,8 +214,8 @@ def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _doc_windows(filters, sizes):
     """Windows of documents that the benchmark may hold.
 
-    ``sizes`` are the window lengths of the benchmark: the usual one, and those
-    of items that are shorter than it.
+    ``sizes`` are the forms and window lengths of the benchmark: the usual
+    length, and those of items that are shorter than it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +231,12 @@ def _doc_windows(filters, sizes):
             table = memo.table()
             docs, places, found, slots_out = [], [], [], []
             for doc, at in zip(batch.column(0).to_pylist(), ats):
-                tokens, slots = canonical(at, table)
-                for size in sizes:
+                forms = canonical(at, table)
+                for form, size in sizes:
+                    tokens, slots = forms[form]
                     if len(tokens) < size:
                         continue
-                    keys = windows(tokens, size)
+                    keys = _keys(form, tokens, size)
                     hit = np.arange(len(keys))
                     if seen is not None:
                         one, two = _probes(keys)
@@ -200,36 +251,104 @@ def _doc_windows(filters, sizes):
     return run
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Share of slots that fit one replacement, or are unchanged, per alignment."""
-    for batch in batches:
-        shares, same = [], []
-        for pairs in batch.column(4).to_pylist():
-            seen: dict[int, tuple[int, int]] = {}
-            for p in pairs:
-                for k, (x, y) in enumerate(zip(p["item_slots"], p["doc_slots"])):
+_PAIR = ["doc_id", "item_id", "version", "form", "n", "length"]
+_BEST = "doc_id bigint, item_id bigint, n_windows bigint, coverage double, agreement double, same_values boolean"
+_BEST_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64())]
+    + [("coverage", pa.float64()), ("agreement", pa.float64()), ("same_values", pa.bool_())]
+)
+
+
+def _agreement(slots: list[tuple[int, int]]) -> tuple[float, bool]:
+    """Share of slots that fit one replacement, or are unchanged, and whether all are unchanged."""
+    if not slots:
+        return 1.0, True
+    there, back = {}, {}
+    for x, y in slots:
+        there.setdefault(x, []).append(y)
+        back.setdefault(y, []).append(x)
+    most = lambda v: max(map(v.count, set(v)))
+    fits = min(sum(map(most, there.values())), sum(map(most, back.values())))
+    equal = sum(x == y for x, y in slots)
+    return max(fits, equal) / len(slots), equal == len(slots)
+
+
+class _Copies:
+    """Best copy of one form of an item in a document, from their common windows by ascending shift.
+
+    A copy with inserted or left-out words lies on several alignments. Around each
+    alignment the windows that it misses are taken from the others, nearest first,
+    that are not further off than the item is long; only those are held.
+    """
+
+    def __init__(self, n: int, length: int):
+        self.n, self.spread = n, max(length, WINDOW)
+        self.lines: deque[tuple[int, dict[int, tuple[list[int], list[int]]]]] = deque()
+        self.next = 0
+        self.best: tuple[float, float, bool, int] | None = None
+
+    def add(self, shift: int, at: int, item_slots: list[int], doc_slots: list[int]) -> None:
+        if not self.lines or self.lines[-1][0] != shift:
+            self.settle(shift)
+            self.lines.append((shift, {}))
+        self.lines[-1][1].setdefault(at, (item_slots, doc_slots))
+
+    def settle(self, shift: int | None = None) -> None:
+        """Judge the alignments to which windows from ``shift`` on add nothing."""
+        while self.next < len(self.lines) and (shift is None or self.lines[self.next][0] + self.spread < shift):
+            base = self.lines[self.next][0]
+            while self.lines[0][0] < base - self.spread:
+                self.lines.popleft()
+                self.next -= 1
+            self._judge(base)
+            self.next += 1
+
+    def _judge(self, base: int) -> None:
+        if self.best is not None and self.best[0] == 1.0 and self.best[2]:
+            return
+        near = [line for line in self.lines if abs(line[0] - base) <= self.spread]
+        if sum(len(found) for _, found in near) < COVERAGE * self.n:
+            return
+        places: set[int] = set()
+        slots: dict[int, tuple[int, int]] = {}
+        for _, found in sorted(near, key=lambda line: (abs(line[0] - base), line[0])):
+            new = found.keys() - places
+            places |= new
+            for at in sorted(new):
+                for k, (x, y) in enumerate(zip(*found[at])):
                     if x or y:
-                        seen[p["at"] + k] = (x, y)
-            there, back = {}, {}
-            for x, y in seen.values():
-                there.setdefault(x, []).append(y)
-                back.setdefault(y, []).append(x)
-            most = lambda v: max(map(v.count, set(v)))
-            total = len(seen) or 1
-            fits = min(sum(map(most, there.values())), sum(map(most, back.values()))) / total if seen else 1.0
-            equal = sum(x == y for x, y in seen.values()) / total if seen else 1.0
-            shares.append(max(fits, equal))
-            same.append(equal == 1.0)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": batch.column(0),
-                "item_id": batch.column(1),
-                "n_windows": batch.column(2),
-                "coverage": batch.column(3),
-                "agreement": pa.array(shares, pa.float64()),
-                "same_values": pa.array(same, pa.bool_()),
-            }
-        )
+                        slots.setdefault(at + k, (x, y))
+            if new and len(places) >= COVERAGE * self.n:
+                share, same = _agreement(list(slots.values()))
+                if share >= AGREEMENT:
+                    now = len(places) / self.n, share, same, len(places)
+                    self.best = now if self.best is None else max(self.best, now)
+            if len(places) == self.n:
+                break
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best copy of each document, item and form; input sorted by them and the shift."""
+    pair, copies = None, None
+    for batch in batches:
+        out = []
+        for *now, shift, at, item_slots, doc_slots in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != pair:
+                out += _closed(pair, copies)
+                pair, copies = now, _Copies(now[4], now[5])
+            copies.add(shift, at, item_slots, doc_slots)
+        yield pa.RecordBatch.from_pylist(out, _BEST_ARROW)
+    yield pa.RecordBatch.from_pylist(_closed(pair, copies), _BEST_ARROW)
+
+
+def _closed(pair: list[int] | None, copies: _Copies | None) -> list[dict]:
+    if copies is None:
+        return []
+    copies.settle()
+    if copies.best is None:
+        return []
+    coverage, share, same, n = copies.best
+    return [dict(zip(_BEST_ARROW.names, (pair[0], pair[1], n, coverage, share, same)))]
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -237,8 +356,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and
     ``text``; other columns are ignored. One row per document and item:
-    ``doc_id``, ``item_id``, ``n_windows`` and ``coverage`` (windows found on the
-    best alignment, and their share of the item's), ``agreement`` (of slots) and
+    ``doc_id``, ``item_id``, ``n_windows`` and ``coverage`` (windows found of
+    the best copy, and their share of the item's; at least ``COVERAGE``), ``agreement`` (of slots) and
     ``same_values`` (no slot was changed). Items with equal canonical text and
     equal values count as one, under the smallest item_id; items that differ in a
     value are compared each. Items with fewer than ``LITERALS``
@@ -246,12 +365,12 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeat a doc_id count as one document; empty tables give no rows.
     """
     spark = docs.sparkSession
-    schema = "item_id bigint, version bigint, n bigint, at bigint, key bigint, slots array<bigint>"
+    schema = "item_id bigint, version bigint, form bigint, n bigint, length bigint, at bigint, key bigint, slots array<bigint>"
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id IS NOT NULL")
     items = items.mapInArrow(_item_windows, schema)
     first = items.groupBy("version").agg(F.min("item_id").alias("item_id"))
     items = stage(items.join(first, ["version", "item_id"], "left_semi").distinct(), "items")
-    sizes = [r[0] for r in items.select(F.size("slots")).distinct().collect()]
+    sizes = [tuple(r) for r in items.select("form", F.size("slots")).distinct().collect()]
     filters = None
     if items.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
         keys = [r[0] for r in items.select("key").distinct().collect()]
@@ -259,18 +378,11 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     found = chosen.mapInArrow(_doc_windows(filters, sizes), "doc_id bigint, at bigint, key bigint, slots array<bigint>")
-    right = items.select("key", "item_id", "version", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    right = items.select("key", *_PAIR[1:], F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     both = found.join(right, "key").withColumn("shift", F.col("at") - F.col("item_at"))
-    pair = F.struct(F.col("item_at").alias("at"), "item_slots", F.col("slots").alias("doc_slots"))
-    lines = both.groupBy("doc_id", "item_id", "version", "n", "shift").agg(
-        F.count_distinct("item_at").alias("n_windows"), F.collect_list(pair).alias("pairs")
-    )
-    lines = lines.withColumn("coverage", F.col("n_windows") / F.col("n")).filter(F.col("coverage") >= COVERAGE)
-    lines = lines.select("doc_id", "item_id", "n_windows", "coverage", "pairs").mapInArrow(
-        _agreement,
-        "doc_id bigint, item_id bigint, n_windows bigint, coverage double, agreement double, same_values boolean",
-    )
-    best = lines.filter(F.col("agreement") >= AGREEMENT).groupBy("doc_id", "item_id").agg(
+    both = both.select(*_PAIR, "shift", "item_at", "item_slots", F.col("slots").alias("doc_slots"))
+    both = both.repartition("doc_id", "item_id").sortWithinPartitions(*_PAIR, "shift", "item_at")
+    best = both.mapInArrow(_copies, _BEST).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("coverage", "agreement", "same_values", "n_windows")).alias("m")
     )
     return best.select("doc_id", "item_id", "m.n_windows", "m.coverage", "m.agreement", "m.same_values")

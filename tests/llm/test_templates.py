@@ -55,6 +55,23 @@ def test_items_of_one_template_are_compared_each(spark):
     assert got[1, 2]["same_values"] and got[1, 2]["coverage"] == 1.0
 
 
+def test_changes_of_the_word_count(spark):
+    item = (
+        "The bakery at our corner sells warm bread for 5 coins and Anna buys some of it every "
+        "single morning before work, while her quiet neighbour carries 3kg of flour home to bake there."
+    )
+    longer = item.replace("Anna", "Mary Ann Miller").replace(" 5 ", " twenty five ").replace("3kg", "40 kg")
+    middle = item.replace("some of it", "quite some of it")
+    twice = item.replace("warm bread", "warm fresh bread").replace("quiet neighbour", "quiet old neighbour")
+    spread = item.replace("every single", "every, as I heard from them a few days ago, single")
+    opened = "Anna went out. Ben sang to us. Anna took a big cup of tea. Ben ate all the cake. Anna left the room then."
+    other = opened.replace("Anna", "Mary Ann").replace("Ben", "Tom")
+    docs = [(k, "It says so here. " + text + " So it ends.", None) for k, text in enumerate([longer, middle, twice, spread, other])]
+    got = found(spark, docs, [(1, item), (2, opened)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+    assert not got[0, 1]["same_values"] and got[1, 1]["same_values"] and got[2, 1]["same_values"]
+
+
 def test_whole_tables_against_plain_search(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).collect()}
