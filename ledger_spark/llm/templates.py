@@ -3,8 +3,9 @@
 Words become canonical tokens: numbers, units and names turn into typed
 placeholders, other words are lower-cased and lose outer punctuation. Neighbours
 of one type are one placeholder, so a name or number may get more words. Every
-text has two forms, because a capitalised word that opens a sentence may or may
-not be a name. Windows of tokens of documents and benchmark items meet in a hash
+text has two such forms, because a capitalised word that opens a sentence may or
+may not be a name, and a form of its real words, in which exact copies are found
+however few ordinary words they hold. Windows of tokens of documents and benchmark items meet in a hash
 join, form by form. Windows on close alignments (document position minus item
 position) of a document and an item are counted together, and the values in
 their slots are compared: a re-parameterised copy replaces each value in the same
@@ -28,7 +29,8 @@ from ledger_spark.llm.ngram_join import only_ids
 from ledger_spark.staging import stage
 
 WINDOW = 8
-# Words of a window, or of a shorter item, that must be literal.
+# Words of a window with placeholders, or of a shorter item, that must be literal;
+# and words of any kind that an item must have to be looked for in its exact form.
 LITERALS = 4
 # A copy counts from this share of the item's windows.
 COVERAGE = 0.5
@@ -121,14 +123,15 @@ Form = tuple[np.ndarray, np.ndarray]
 
 
 def canonical(at: np.ndarray, table) -> list[Form]:
-    """Token hashes and slot values of both forms of a text, from its word numbers.
+    """Token hashes and slot values of the forms of a text, from its word numbers.
 
-    A capitalised word is a name; where it starts the text or a sentence it is
-    an ordinary word in the first form and a name in the second.
+    The first form has no slots. In the others a capitalised word is a name; where
+    it starts the text or a sentence it is an ordinary word in the second form and
+    a name in the third.
     """
     values, kinds, units, ends, stops = table
     if not len(at):
-        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 2
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 3
     kind, value, unit, end = kinds[at], values[at], units[at], stops[at]
     opens = (kind == _CAP) & np.r_[True, ends[at[:-1]]]
     glued = np.flatnonzero(unit)
@@ -138,10 +141,11 @@ def canonical(at: np.ndarray, table) -> list[Form]:
         value, end = np.insert(value, glued + 1, unit[glued]), np.insert(end, glued, False)
     real = np.flatnonzero(kind >= 0)
     if not len(real):
-        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 2
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 3
     apart = np.r_[True, end[real[:-1]] | (np.diff(real) > 1)]
     kind, value, opens = kind[real], value[real], opens[real]
-    return [_merged(np.where(opens, _WORD, kind), value, apart), _merged(kind, value, apart)]
+    exact = value, np.zeros(len(value), np.uint64)
+    return [exact, _merged(np.where(opens, _WORD, kind), value, apart), _merged(kind, value, apart)]
 
 
 def _merged(kind: np.ndarray, value: np.ndarray, apart: np.ndarray) -> Form:
@@ -158,7 +162,11 @@ def _merged(kind: np.ndarray, value: np.ndarray, apart: np.ndarray) -> Form:
 
 
 def _windows(form: int, tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Window hashes, whether each has enough literals, and the window length."""
+    """Window hashes, whether each has enough literals, and the window length.
+
+    Without slots every word is a literal, so the exact form of an item of
+    ``LITERALS`` words or more has all its windows.
+    """
     size = min(WINDOW, len(tokens))
     if not size:
         return tokens, np.zeros(0, bool), 0
@@ -361,7 +369,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``same_values`` (no slot was changed). Items with equal canonical text and
     equal values count as one, under the smallest item_id; items that differ in a
     value are compared each. Items with fewer than ``LITERALS``
-    literal words, null texts and rows without ids match nothing; rows that
+    words of any kind (signs alone are none), null texts and rows without ids match nothing; rows that
     repeat a doc_id count as one document; empty tables give no rows.
     """
     spark = docs.sparkSession

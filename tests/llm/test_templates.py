@@ -72,6 +72,18 @@ def test_changes_of_the_word_count(spark):
     assert not got[0, 1]["same_values"] and got[1, 1]["same_values"] and got[2, 1]["same_values"]
 
 
+def test_items_with_few_ordinary_words(spark):
+    items = [
+        (1, "Compute 17 + 23 * 45 - 12"), (2, "Anna Ben Carla Dora Emil Franz Gerda Hans Ida Jan Karl Lena"),
+        (3, "price 4 5 6 7 8 9 10 11 12 13 14 15 km"), (4, "two"),
+    ]
+    docs = [(k, f"Here Otto says 3 {text} 8 Maria and two more words.", None) for k, text in items]
+    docs += [(5, "Compute 18 + 23 * 45 - 12 and more", None), (6, "Here is Anna Ben Carla Emil Dora Franz", None), (7, "price 9 8 7 6 5 4 3 2 1 9 8 7 6 km", None)]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert all(r["same_values"] and r["coverage"] == 1.0 for r in got.values())
+
+
 def test_whole_tables_against_plain_search(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).collect()}
