@@ -13,6 +13,9 @@ same distance, so strings are compared only within one anchor:
    are concatenated, their suffixes sorted by linear grouping, and neighbours in
    suffix order that agree in their first ``LENGTH`` bytes form the groups of
    equal strings. All but the first of a group are removed.
+4. An anchor with more different contexts than one task should hold gives the
+   128-bit hash of each of its strings instead; these are spread over all tasks,
+   and all but the first of equal hashes are removed.
 
 Work is split by anchor, however long the texts are, and the suffix order is only
 built where copies differ: at the edges of repeated passages.
@@ -41,6 +44,8 @@ ANCHOR = LENGTH - REACH
 SLAB = 1 << 22
 DECIDED_BYTES = 1 << 20
 SORTED_BYTES = 1 << 17
+# Bytes of different contexts from which an anchor is decided by string hashes.
+HOT_BYTES = 1 << 21
 # Contexts remembered by one task before its memory is emptied.
 MEMO_CONTEXTS = 500_000
 
@@ -242,24 +247,50 @@ def _settle(entries: list[Entry]) -> pa.RecordBatch:
     return _stretches(rows, starts, ends)
 
 
+_DECIDED = "row bigint, start bigint, end bigint, high bigint, low bigint"
+
+
+def _string_rows(group: list[Entry]) -> pa.RecordBatch:
+    """Every string of some contexts with its hash, to be decided elsewhere."""
+    data = np.frombuffer(b"".join(e[3] for e in group), np.uint8)
+    sizes = np.array([len(e[3]) for e in group])
+    ends = np.cumsum(sizes)
+    count = len(data) - LENGTH + 1
+    owner = np.repeat(np.arange(len(group)), sizes)[:count]
+    at = np.flatnonzero(np.arange(count) + LENGTH <= ends[owner])
+    owner = owner[at]
+    grams = _grams(data)
+    high, low = np.zeros(len(at), np.uint64), np.full(len(at), LENGTH, np.uint64)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        high, low = mix(high + grams[at + k]), mix((low ^ grams[at + k]) + np.uint64(2 * k + 1))
+    start = at - (ends - sizes)[owner] + np.array([e[2] for e in group])[owner]
+    return _decided(np.array([e[1] for e in group])[owner], start, start + LENGTH, high.view(np.int64), low.view(np.int64))
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (row, start, end); input sorted by anchor, row and first start."""
+    """Removed stretches (row, start, end); input sorted by anchor, row and first start.
+
+    Strings of an anchor beyond ``HOT_BYTES`` come with their hashes, undecided.
+    """
     entries: list[Entry] = []
     group: list[Entry] = []
-    size = number = 0
+    size = held = number = 0
+    hot = False
     anchor, seen = None, set()
     for batch in batches:
         rows, starts, ends = [], [], []
         columns = [batch.column(i).to_pylist() for i in range(5)]
         for now, row, first, last, data in zip(*columns):
             if now != anchor:
-                if len(group) > 1:
+                if hot and group:
+                    yield _string_rows(group)
+                elif len(group) > 1:
                     entries += group
-                    size += sum(len(e[3]) for e in group)
+                    size += held
                 if size > DECIDED_BYTES:
                     yield _settle(entries)
                     entries, size = [], 0
-                anchor, group, seen = now, [], set()
+                anchor, group, seen, held, hot = now, [], set(), 0, False
                 number += 1
             if data is None or data in seen:
                 rows.append(row)
@@ -268,14 +299,38 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 seen.add(data)
                 group.append((number, row, first, data))
+                held += len(data)
+                if held > (DECIDED_BYTES if hot else HOT_BYTES):
+                    # of what is let go here, equal strings meet by their hashes
+                    for at in range(0, len(group), 2048):
+                        yield _string_rows(group[at : at + 2048])
+                    hot, group, seen, held = True, [], set(), 0
         yield _stretches(rows, starts, ends)
+    if hot and group:
+        yield _string_rows(group)
+        group = []
     yield _settle(entries + (group if len(group) > 1 else []))
 
 
+def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings that follow an equal one; input sorted by hash, row and start."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        high, low = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        same = np.r_[(high[0], low[0]) == last, (high[1:] == high[:-1]) & (low[1:] == low[:-1])]
+        last = high[-1], low[-1]
+        yield batch.select([0, 1, 2]).filter(pa.array(same))
+
+
 def _stretches(rows: list[int], starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"row": pa.array(rows, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())}
-    )
+    nothing = [None] * len(rows)
+    return _decided(rows, starts, ends, nothing, nothing)
+
+
+def _decided(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "end", "high", "low"])
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +388,10 @@ def removed_stretches(rows: DataFrame) -> DataFrame:
     both = again.join(rows.select("row", "text"), "row").sortWithinPartitions("row")
     contexts = both.select("row", "starts", "text").mapInArrow(_contexts, _CONTEXT)
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "row", "first")
-    return contexts.mapInArrow(_decide, "row bigint, start bigint, end bigint")
+    decided = stage(contexts.mapInArrow(_decide, _DECIDED), "decided")
+    strings = decided.filter("high IS NOT NULL").repartition("high", "low").sortWithinPartitions("high", "low", "row", "start")
+    later = strings.mapInArrow(_later_strings, "row bigint, start bigint, end bigint")
+    return decided.filter("high IS NULL").select("row", "start", "end").union(later)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
+
+from ledger_spark.llm import repeats
 from ledger_spark.llm.repeats import repeat_report
 
 L = 100
@@ -79,3 +82,34 @@ def test_slabs(spark, monkeypatch):
     whole = {(int(h), p) for h, a, b in zip(*repeats.anchors(text.encode())) for p in range(a, b + 1)}
     monkeypatch.setattr(repeats, "SLAB", 1 << 22)
     assert whole == {(int(h), p) for h, a, b in zip(*repeats.anchors(text.encode())) for p in range(a, b + 1)}
+
+
+def test_line_with_very_many_surroundings(spark):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, ends = some(90), [some(15) for _ in range(3000)]
+    rows = [(i, some(60) + line + rng.choice(ends) + some(40)) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert got(docs) == plain(rows)
+
+
+def test_hot_anchor_is_not_held_in_one_task():
+    rng = random.Random(4)
+    count, size = 40_000, 140
+    parts = [rng.randbytes(20) + b"x" * 100 + rng.randbytes(size - 120) for _ in range(count)]
+    read = 0
+
+    def batches():
+        nonlocal read
+        for at in range(0, count, 1000):
+            read = at + 1000
+            here = parts[at : at + 1000]
+            columns = [[7] * 1000, list(range(at, at + 1000)), [0] * 1000, [size - 100] * 1000, here]
+            yield pa.RecordBatch.from_pydict(dict(zip(repeats._SCHEMA.names, columns)), repeats._SCHEMA)
+
+    seen = 0
+    for out in repeats._decide(batches()):
+        seen += out.num_rows
+        # what was read and not yet given on is bounded
+        assert (read - seen / 41) * size < 2 * repeats.HOT_BYTES
+    assert seen == 41 * count
