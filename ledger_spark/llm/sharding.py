@@ -2,11 +2,14 @@
 
 Documents with equal texts are linked. Balanced label propagation: every
 document starts in a shard by its hash; in each round, a group's documents that
-are elsewhere ask to move to the shard where most of their neighbours are.
+are in shards with fewer of its documents ask to move to the shard, of those with
+room, where most of their neighbours are. Rounds go on until nobody asks; every
+move adds links within shards, so that comes to an end.
 Documents of one group in one shard are interchangeable, so a round works on one
 row per group with its counts by shard, however large the group. Requests to a
-shard are sorted into a bounded number of priority buckets and granted, by a
-join with the buckets' running sums, while the shard's quota lasts. Documents
+shard are sorted into a bounded number of priority buckets, most links gained
+first, and granted, by a join with the buckets' running sums, while the shard's
+quota lasts; within the bucket that crosses the quota they are granted in order. Documents
 without links fill the shards up afterwards, so that counts differ by at most
 one.
 """
@@ -18,9 +21,10 @@ from pyspark.sql import functions as F
 
 from ledger_spark.staging import stage
 
-ROUNDS = 6
-# Priorities of requests: shares of the group that would move, and hashes.
-GAINS, HASHES = 8, 64
+# Rounds after which propagation is an error; it ends by itself before.
+ROUNDS = 1000
+# Priorities of requests: powers of two of the links a move gains, and hashes.
+GAINS, HASHES = 63, 64
 # Buckets of the final numbering for each shard; their counts are summed in one task.
 BUCKETS = 1024
 # Groups with over one part in so many of all rows are matched by broadcast.
@@ -54,65 +58,83 @@ def _loads(groups: DataFrame, shards: int) -> list[int]:
 def _requests(groups: DataFrame, room: list[int]) -> DataFrame:
     """Where each group wants its documents, how many would move, and with which priority.
 
-    The wanted shard holds most of the group among the shards with room. A
-    request is for half the room at most, so that a group larger than the room
-    moves in parts.
+    The wanted shard holds most of the group among the shards with room. Only
+    documents in shards that hold less of the group (of equal ones, in later
+    shards) ask, so that a group larger than the wanted shard's room fills it
+    and goes on to its next-best shard in the next round.
     """
     shards = len(room)
     options = [
-        F.struct(F.col("held")[s].alias("n"), F.lit(-s).alias("s"), F.lit(room[s]).alias("room"))
+        F.struct(F.col("held")[s].alias("n"), F.lit(-s).alias("s"), F.lit(room[s]).cast("bigint").alias("room"))
         for s in range(shards)
-        if room[s] > 1
+        if room[s] > 0
     ]
     best = F.array_max(F.array(*options))
     found = groups.withColumn("best", best).select(
-        "key", "held", "total", (-F.col("best.s")).alias("to"), F.col("best.n").alias("there"), F.col("best.room").alias("room")
+        "key", "held", (-F.col("best.s")).alias("to"), F.col("best.n").alias("there"), F.col("best.room").alias("room")
     )
-    away = F.col("total") - F.col("there")
-    found = found.withColumn("ask", F.least(away, F.floor(F.col("room") / 2)).cast("bigint"))
+    behind = _total(_behind(F.col("held"), F.col("to"), F.col("there")))
+    found = found.withColumn("ask", F.least(behind, F.col("room")))
     found = found.filter((F.col("there") > 0) & (F.col("ask") > 0))
-    # leaving a shard that holds more of the group than the wanted one gains nothing
-    gains = F.least(F.floor(away / F.col("total") * GAINS), F.lit(GAINS - 1))
-    bucket = gains * HASHES + F.pmod(F.xxhash64("key"), F.lit(HASHES))
+    bucket = (GAINS - 1 - F.floor(F.log2("there"))) * HASHES + F.pmod(F.xxhash64("key"), F.lit(HASHES))
     return found.withColumn("bucket", bucket.cast("int"))
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
+def _behind(held: Column, to: Column, there: Column) -> Column:
+    """Counts of the shards from which documents may move to shard ``to``; zero for the others."""
+    return F.transform(held, lambda n, s: F.when((n < there) | ((n == there) & (s > to)), n).otherwise(F.lit(0).cast("bigint")))
+
+
 def _granted(requests: DataFrame) -> DataFrame:
-    """Requests in buckets whose running sum of asked moves stays within the room.
+    """Requests in the order of their buckets until the room is used up; the last may be granted in part.
 
-    There are at most shards x ``GAINS`` x ``HASHES`` sums, so they are broadcast.
+    There are at most shards x ``GAINS`` x ``HASHES`` sums, so they are
+    broadcast. One bucket of each shard is sorted.
     """
-    sums = requests.groupBy("to", "bucket").agg(F.sum("ask").alias("asked"), F.max("room").alias("room"))
+    sums = requests.groupBy("to", "bucket").agg(F.sum("ask").alias("asked"), F.max("room").alias("most"))
     running = F.sum("asked").over(Window.partitionBy("to").orderBy("bucket"))
-    open_buckets = sums.withColumn("running", running).filter("running <= room").select("to", "bucket")
-    return requests.join(F.broadcast(open_buckets), ["to", "bucket"])
-
-
-def _moved(held: Column, to: Column, ask: Column, away: Column) -> Column:
-    """Counts by shard after ``ask`` documents went to shard ``to``, taken evenly from the others."""
-    left = F.transform(held, lambda n, s: F.when(s == to, n).otherwise(n - F.floor(n * ask / away)))
-    taken = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, n: a + n) - F.aggregate(
-        left, F.lit(0).cast("bigint"), lambda a, n: a + n
-    )
+    sums = sums.withColumn("running", running).withColumn("before", F.col("running") - F.col("asked")).filter("before < most")
+    sums = sums.select("to", "bucket", "before", (F.col("running") <= F.col("most")).alias("whole"))
+    open_requests = requests.join(F.broadcast(sums), ["to", "bucket"])
+    edge = open_requests.filter("NOT whole")
+    ahead = F.sum("ask").over(Window.partitionBy("to").orderBy(F.xxhash64("key"), "key")) - F.col("ask") + F.col("before")
+    left = F.col("room") - F.col("ahead")
+    edge = edge.withColumn("ahead", ahead).filter(left > 0).withColumn("ask", F.least(F.col("ask"), left))
+    names = ["key", "to", "ask", "there"]
+    return open_requests.filter("whole").select(*names).union(edge.select(*names))
+
+
+def _moved(held: Column, to: Column, ask: Column, there: Column) -> Column:
+    """Counts by shard after ``ask`` documents went to shard ``to``, taken evenly from those behind it."""
+    behind = _behind(held, to, there)
+    away = _total(behind)
+    # shares of the running counts, so that exactly ``ask`` are taken
+    share = lambda upto: F.floor(_total(F.slice(behind, F.lit(1), upto)) * ask / away).cast("bigint")
+    left = F.transform(held, lambda n, s: n - F.least(n, share(s + 1) - share(s)))
+    taken = _total(held) - _total(left)
     return F.transform(left, lambda n, s: F.when(s == to, n + taken).otherwise(n).cast("bigint"))
 
 
 def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Counts by shard of every group after the rounds of label propagation."""
+    """Counts by shard of every group when no document asks to move any more."""
     groups = stage(groups, "groups")
     for _ in range(rounds):
         room = [max(0, c - n) for c, n in zip(capacity, _loads(groups, len(capacity)))]
-        if max(room) < 2:
-            break
-        granted = _granted(_requests(groups, room)).select("key", "to", "ask", "there")
+        if max(room) < 1:
+            return groups
+        granted = _granted(_requests(groups, room))
         moved = groups.join(granted, "key", "left")
-        away = F.col("total") - F.col("there")
-        held = F.when(F.col("to").isNull(), F.col("held")).otherwise(_moved(F.col("held"), F.col("to"), F.col("ask"), away))
+        held = _moved(F.col("held"), F.col("to"), F.col("ask"), F.col("there"))
+        held = F.when(F.col("to").isNull(), F.col("held")).otherwise(held)
         moved = stage(moved.select("key", held.alias("held"), "total", F.col("to").isNotNull().alias("changed")), "groups")
         groups = moved.select("key", "held", "total")
         if moved.filter("changed").isEmpty():
-            break
-    return groups
+            return groups
+    raise RuntimeError(f"label propagation still moves documents after {rounds} rounds")
 
 
 def _placed(rows: DataFrame, groups: DataFrame, total: int, shards: int) -> DataFrame:

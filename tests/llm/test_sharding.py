@@ -43,6 +43,16 @@ def test_hot_group_is_split_and_the_rest_stays_together(spark):
     assert cut(pairs) < 0.1
 
 
+def test_hot_group_fills_as_few_shards_as_it_needs(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 8}" if i % 3 == 1 else f"single {i}") for i in range(12_000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    check(rows, got, 8)
+    hot = [r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"hot")]
+    held = sorted((hot.count(s) for s in range(8)), reverse=True)
+    # spread over all shards 0.55 of the group are in three; three shards of 1,500 could hold it
+    assert sum(held[:3]) > 0.8 * len(hot) and sum(n * n for n in held) > 0.23 * len(hot) ** 2
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, None), (3, ""), (4, ""), (None, "x"), (None, "x"), (5, "y"), (5, "y"), (6, "z" * 200_000)]
     docs = spark.createDataFrame([(a, b, "q") for a, b in rows], "doc_id bigint, text string, shard string")
