@@ -7,6 +7,7 @@ them against plain versions.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,6 +21,7 @@ from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
 from ledger_spark.llm.records import record_report
 from ledger_spark.llm.repeats import repeat_report
+from ledger_spark.llm.runs import run_report
 from ledger_spark.llm.secrets import secret_report
 from ledger_spark.llm.sharding import shard_documents
 from ledger_spark.llm.templates import leaked_items
@@ -71,6 +73,24 @@ def op10_suffix_group_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_report(read(spark, folder, "documents"))
 
 
+def planted_runs(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document; about one document in ten repeats a part of itself up to its end.
+
+    A row without doc_id keeps its words.
+    """
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_seed_extend_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_report(read(spark, folder, "documents"), planted_runs)
+
+
 def registry() -> dict[str, Query]:
     return {name: function for name, function in globals().items() if name.startswith("op")}
 
