@@ -19,6 +19,7 @@ from ledger_spark.llm.neighbours import nearest_neighbours
 from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
+from ledger_spark.llm.pieces import piece_report
 from ledger_spark.llm.records import record_report
 from ledger_spark.llm.repeats import repeat_report
 from ledger_spark.llm.runs import run_report
@@ -73,6 +74,10 @@ def op10_suffix_group_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_report(read(spark, folder, "documents"))
 
 
+def op11_offset_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_report(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def planted_runs(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document; about one document in ten repeats a part of itself up to its end.
 
