@@ -1,8 +1,8 @@
 """Registered queries of the training-data operators and their SQL twins.
 
-No operator here has an SQL form (trained models, iterative joins, files, or
-patterns that SQL dialects read differently), so none has a twin; the tests hold
-them against plain versions.
+Where an operator has no SQL form (trained models, iterative joins, files, or
+patterns that SQL dialects read differently) the tests hold it against a plain
+version instead.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ledger_spark.llm.neighbours import nearest_neighbours
 from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.llm.packing import packed
 from ledger_spark.llm.personal_data import personal_report
+from ledger_spark.llm.phrases import collocations
 from ledger_spark.llm.pieces import piece_report
 from ledger_spark.llm.records import record_report
 from ledger_spark.llm.repeats import repeat_report
@@ -27,6 +28,40 @@ from ledger_spark.llm.secrets import secret_report
 from ledger_spark.llm.sharding import shard_documents
 from ledger_spark.llm.templates import leaked_items
 
+# Words get a number within their piece, so sequences of two and three are joins of neighbours.
+PHRASES_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece,
+    regexp_extract_all(part, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+    FROM documents)),
+one AS (SELECT lang, unnest(w) AS phrase FROM pieces),
+two AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase
+  FROM pieces WHERE len(w) > 1),
+three AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM pieces WHERE len(w) > 2),
+totals AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM (
+    SELECT lang, phrase, 1 AS k FROM one UNION ALL SELECT lang, phrase, 2 FROM two
+    UNION ALL SELECT lang, phrase, 3 FROM three)
+  GROUP BY lang, phrase, k HAVING count(*) >= 10),
+cand AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_pairs AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM cand WHERE k = 3
+    UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM cand WHERE k = 3)
+  GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inner_pairs p ON c.lang = p.lang AND c.phrase = p.phrase
+  WHERE c.k = 3 OR p.longer IS NULL OR 100 * p.longer < 50 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM kept
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE k = 3),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.n AS l, y.n AS r,
+    CAST((1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -78,6 +113,10 @@ def op11_offset_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_report(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_son_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read(spark, folder, "documents"), least=10, percent=50, top=2000)
+
+
 def planted_runs(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document; about one document in ten repeats a part of itself up to its end.
 
@@ -101,4 +140,4 @@ def registry() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op12_son_phrases": PHRASES_SQL}
