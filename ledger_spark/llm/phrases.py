@@ -13,7 +13,7 @@ a collision can only add a candidate; the last pass counts the words themselves.
 Candidates travel to the tasks as a bitmap of bounded size, which may also let a
 sequence pass in vain but never holds one back.
 
-Tasks count blocks of about a million words at a time: words get block-local
+Tasks count blocks of a quarter of a million words at a time: words get block-local
 numbers, a sequence becomes three numbers of 21 bits in one integer, and only
 different sequences leave the block.
 """
@@ -35,7 +35,7 @@ from ledger_spark.staging import stage
 # Shards mined at lower support. Below ``least``, so that one occurrence is not enough.
 SHARDS = 4
 # Words counted at once; below 2^20, so that their numbers fit 21 bits.
-BLOCK = 1_000_000
+BLOCK = 250_000
 # Bits of the candidate bitmap: for each candidate, and at most (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
