@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import zero_if_null
+from ledger_spark.operators.moments import SMALL_EXPENSE, moment_measures
 
 
 def measures() -> list[Column]:
@@ -64,9 +65,26 @@ def rollup(tx: DataFrame, by: Sequence[str]) -> DataFrame:
     return source.groupBy(*by).agg(*measures())
 
 
-def base_cells(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Cells fine enough for every monthly, category and summary report."""
-    return rollup(tx, [*keys, "year_month", "category"])
+def base_cells(
+    tx: DataFrame, keys: Sequence[str] = (), moments: bool = False, small: float = SMALL_EXPENSE
+) -> DataFrame:
+    """Cells fine enough for every monthly, category and summary report.
+
+    With ``moments`` they serve the expense statistics too; an expense counts as
+    small above ``small``.
+    """
+    by = [*keys, "year_month", "category"]
+    more = moment_measures(small) if moments else []
+    return with_category(tx).groupBy(*by).agg(*measures(), *more)
+
+
+def description_cells(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Income sum and number of expenses of each description; rows without one are left out."""
+    amount = F.col("amount")
+    named = tx.filter(F.col("description").isNotNull() & (amount != 0))
+    return named.groupBy(*keys, "description").agg(
+        F.sum(F.when(amount > 0, amount)).alias("income_sum"), F.count_if(amount < 0).alias("frequency")
+    )
 
 
 def cells_by(tx: DataFrame | None, cells: DataFrame | None, by: Sequence[str]) -> DataFrame:

@@ -7,13 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_spark.keyed import ROWS_PER_TASK, first_per_key
-from ledger_spark.operators.patterns import (
-    IS_INCOME,
-    LARGE_EXPENSES,
-    expense_stats,
-    large_expenses,
-)
+from ledger_spark.keyed import ROWS_PER_TASK
+from ledger_spark.operators.patterns import LARGE_EXPENSES, expense_stats, large_expenses
+from ledger_spark.operators.rollup import base_cells, description_cells
 from ledger_spark.operators.summary import profile
 from ledger_spark.staging import stage
 
@@ -73,29 +69,25 @@ def score_expression(
 def health_score(
     tx: DataFrame,
     keys: Sequence[str] = (),
-    profiles: DataFrame | None = None,
+    cells: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Health score per key with the facts it rests on.
 
-    Only counts matter here, so no list is gathered: each fact is a narrow row
-    per key, and one aggregation over all of them feeds the rules. Kept large
-    expenses number at most three, hence "more than two" means three or more.
+    Only counts matter here, so no list is gathered and no row is ranked: each
+    fact is a narrow row per key, and one aggregation over all of them feeds the
+    rules. Kept large expenses number at most three, hence "more than two" means
+    three or more. The transactions are read three times, as in
+    ``pattern_record``; ``cells`` are ``base_cells`` with moments.
     """
-    profiles = profile(tx, keys) if profiles is None else profiles
-    stats = stage(expense_stats(tx, keys), "expense-stats")
-    sources = (
-        tx.filter(IS_INCOME)
-        .filter(F.col("description").isNotNull())
-        .groupBy(*keys, "description")
-        .agg(F.lit(1).cast("bigint").alias("income_sources"))
-    )
-    large = first_per_key(
-        large_expenses(tx, keys, stats, rows_per_task),
-        keys,
-        [F.asc("statement_id"), F.asc("seq")],
-        LARGE_EXPENSES,
-    ).withColumn("large_expenses", F.lit(1).cast("bigint"))
+    if cells is None:
+        cells = stage(base_cells(tx, keys, moments=True), "cells")
+    profiles = profile(keys=keys, cells=cells)
+    stats = stage(expense_stats(keys=keys, cells=cells), "expense-stats")
+    named = description_cells(tx, keys).filter(F.col("income_sum").isNotNull())
+    sources = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("income_sources"))
+    found = large_expenses(tx, keys, stats, rows_per_task).groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+    large = found.withColumn("large_expenses", F.least("found", F.lit(LARGE_EXPENSES)))
 
     facts = {
         "net_flow": "double",

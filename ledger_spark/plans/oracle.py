@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ledger_spark.operators import patterns as p
-from ledger_spark.operators import score as s
 from ledger_spark.plans.queries import CUT, EXPLORE
 
 _MONTHS = "month(date) AS month, year(date) AS year, strftime(date, '%Y-%m') AS year_month"
@@ -226,7 +224,7 @@ FROM ({_income(source, account)})"""
 
 def _top_income(source: str, account: bool) -> str:
     ranked = _ranked(_income(source, account), account, "amount DESC, description")
-    return f"SELECT * FROM ({ranked}) WHERE rank <= {p.INCOME_SOURCES}"
+    return f"SELECT * FROM ({ranked}) WHERE rank <= 3"
 
 
 def top_income_sources(source: str, account: bool) -> str:
@@ -243,7 +241,7 @@ WHERE amount < 0 AND description IS NOT NULL GROUP BY {by}"""
 def _recurring(source: str, account: bool) -> str:
     repeated = f"SELECT * FROM ({expense_frequency(source, account)}) WHERE frequency > 1"
     ranked = _ranked(repeated, account, "frequency DESC, description")
-    return f"SELECT * FROM ({ranked}) WHERE rank <= {p.RECURRING}"
+    return f"SELECT * FROM ({ranked}) WHERE rank <= 5"
 
 
 def recurring_expenses(source: str, account: bool) -> str:
@@ -251,28 +249,47 @@ def recurring_expenses(source: str, account: bool) -> str:
 FROM ({_recurring(source, account)})"""
 
 
-def expense_stats(source: str, account: bool) -> str:
-    return f"""SELECT {_pre(account)} count(*) AS rows, count(*) FILTER (amount < 0) AS expenses,
-  {_d('sum(amount) FILTER (amount < 0)', 'expense_sum')},
-  round(avg(CAST(amount AS DOUBLE)) FILTER (amount < 0), 4) AS expense_mean,
-  round(stddev_samp(CAST(amount AS DOUBLE)) FILTER (amount < 0), 4) AS expense_stddev,
-  count(*) FILTER (amount < 0 AND amount > {p.SMALL_EXPENSE}) AS small_expenses
+def _moments(source: str, account: bool) -> str:
+    """Counts, sums and sums of squares of expenses in whole cents."""
+    cents = "CAST(-amount * 100 AS HUGEINT)"
+    return f"""SELECT {_pre(account)} count(*) AS rows, count(*) FILTER (amount < 0) AS n,
+  sum(amount) FILTER (amount < 0) AS expense_sum,
+  sum({cents}) FILTER (amount < 0) AS s, sum({cents} * {cents}) FILTER (amount < 0) AS q,
+  count(*) FILTER (amount < 0 AND amount > -500) AS small_expenses
 FROM ({source}) {_group(account)}"""
 
 
+def expense_stats(source: str, account: bool) -> str:
+    n = "CAST(n AS DOUBLE)"
+    spread = "CAST(CAST(n * q - s * s AS VARCHAR) AS DOUBLE)"
+    # the lowest whole number of cents that is too large, less one: found by trial around the rounded root
+    by = "AND m.account_id IS NOT DISTINCT FROM t.account_id" if account else ""
+    return f"""WITH m AS ({_moments(source, account)}),
+tried AS (SELECT {_pre(account)} max(x) AS limit_cents FROM (
+    SELECT {_pre(account)} n, s, q, unnest(range(-3, 4)) + CAST(floor((s + sqrt(4.0 * n * (n * q - s * s) / (n - 1))) / n)
+      AS BIGINT) AS x FROM m WHERE n > 1)
+  WHERE n * x <= s OR CAST(n * x - s AS HUGEINT) * (n * x - s) * (n - 1) <= 4 * CAST(n AS HUGEINT) * (n * q - s * s)
+  {_group(account)})
+SELECT {', '.join('m.' + c for c in (['account_id'] if account else []) + ['rows'])}, n AS expenses,
+  {_d('expense_sum', 'expense_sum')},
+  CAST(expense_sum AS DOUBLE) / nullif({n}, 0) AS expense_mean,
+  sqrt({spread} / ({n} * nullif(CAST(n - 1 AS DOUBLE), 0))) / 100.0 AS expense_stddev, small_expenses,
+  -CAST(limit_cents AS DOUBLE) / 100.0 AS large_bound
+FROM m LEFT JOIN tried t ON TRUE {by}"""
+
+
 def small_expense_count(source: str, account: bool) -> str:
     return f"""SELECT {_pre(account)}
-  count(*) FILTER (amount < 0 AND amount > {p.SMALL_EXPENSE}) AS small_expenses
+  count(*) FILTER (amount < 0 AND amount > -500) AS small_expenses
 FROM ({source}) {_group(account)}"""
 
 
 def _large(source: str, account: bool) -> str:
     columns = _list(account, "statement_id", "seq", "date", "description", "amount")
+    excess = "(n * CAST(-amount * 100 AS HUGEINT) - s)"
     return f"""SELECT {columns} FROM (SELECT * FROM ({source}) WHERE amount < 0)
-JOIN (SELECT {_pre(account)} avg(CAST(amount AS DOUBLE)) - {p.OUTLIER_DEVIATIONS}
-    * stddev_samp(CAST(amount AS DOUBLE)) AS bound
-  FROM ({source}) WHERE amount < 0 {_group(account)}) {_join(account)}
-WHERE CAST(amount AS DOUBLE) < bound"""
+JOIN ({_moments(source, account)}) {_join(account)}
+WHERE n > 1 AND {excess} > 0 AND {excess} * {excess} * (n - 1) > 4 * n * (n * q - s * s)"""
 
 
 def large_expenses(source: str, account: bool) -> str:
@@ -282,7 +299,7 @@ FROM ({_large(source, account)})"""
 
 def _first_large(source: str, account: bool) -> str:
     ranked = _ranked(_large(source, account), account, "statement_id, seq")
-    return f"SELECT * FROM ({ranked}) WHERE rank <= {p.LARGE_EXPENSES}"
+    return f"SELECT * FROM ({ranked}) WHERE rank <= 3"
 
 
 def first_large_expenses(source: str, account: bool) -> str:
@@ -324,7 +341,7 @@ FROM keyed LEFT JOIN income {join} LEFT JOIN labels {join} LEFT JOIN repeated {j
 
 def _health(source: str, account: bool) -> str:
     k, join = _pre(account), _join(account)
-    step = " ".join(f"WHEN savings_rate > {b} THEN {v}" for b, v in s.SAVINGS_STEPS)
+    step = "WHEN savings_rate > 30 THEN 15 WHEN savings_rate > 20 THEN 10 WHEN savings_rate > 10 THEN 5"
     return f"""WITH profile AS ({_profile(source, account)}),
 sources AS (SELECT {k} count(*) AS n FROM ({_income(source, account)}) {_group(account)}),
 large AS (SELECT {k} count(*) AS n FROM ({_first_large(source, account)}) {_group(account)}),
@@ -333,27 +350,25 @@ facts AS (SELECT {k} net_flow, avg_savings_rate AS savings_rate, expense_categor
     coalesce(sources.n, 0) AS income_sources, coalesce(large.n, 0) AS large_expenses,
     small_expenses
   FROM profile LEFT JOIN sources {join} LEFT JOIN large {join} LEFT JOIN small {join})
-SELECT *, CAST(greatest(0, least(100, {s.START}
-  + CASE WHEN net_flow > 0 THEN {s.POSITIVE_NET} ELSE 0 END
-  + CASE {step} WHEN savings_rate < 0 THEN {s.NEGATIVE_SAVINGS} ELSE 0 END
-  + CASE WHEN income_sources > {s.MANY_SOURCES[0]} THEN {s.MANY_SOURCES[1]} ELSE 0 END
-  + CASE WHEN expense_categories > {s.MANY_CATEGORIES[0]} THEN {s.MANY_CATEGORIES[1]} ELSE 0 END
-  + CASE WHEN large_expenses > {s.MANY_LARGE[0]} THEN {s.MANY_LARGE[1]} ELSE 0 END
-  + CASE WHEN small_expenses > {s.MANY_SMALL[0]} THEN {s.MANY_SMALL[1]} ELSE 0 END))
+SELECT *, CAST(greatest(0, least(100, 50
+  + CASE WHEN net_flow > 0 THEN 10 ELSE 0 END
+  + CASE {step} WHEN savings_rate < 0 THEN -15 ELSE 0 END
+  + CASE WHEN income_sources > 2 THEN 5 ELSE 0 END
+  + CASE WHEN expense_categories > 8 THEN -5 ELSE 0 END
+  + CASE WHEN large_expenses > 2 THEN -5 ELSE 0 END
+  + CASE WHEN small_expenses > 20 THEN -5 ELSE 0 END))
   AS INTEGER) AS health_score
 FROM facts"""
 
 
-def _bands(bands) -> str:
-    return " ".join(
-        f"ELSE '{label}' END" if bound is None else f"WHEN health_score >= {bound} THEN '{label}'"
-        for bound, label in bands
-    )
-
-
 def health_bands(source: str, account: bool) -> str:
-    return f"""SELECT {_list(account, 'health_score')}, CASE {_bands(s.COLOURS)} AS health_color,
-  CASE {_bands(s.MESSAGES)} AS health_message FROM ({_health(source, account)})"""
+    return f"""SELECT {_list(account, 'health_score')},
+  CASE WHEN health_score >= 70 THEN '#28a745' WHEN health_score >= 40 THEN '#ffc107' ELSE '#dc3545' END AS health_color,
+  CASE WHEN health_score >= 80 THEN 'Excellent financial health! Keep it up!'
+    WHEN health_score >= 60 THEN 'Good financial standing with room for improvement.'
+    WHEN health_score >= 40 THEN 'Average financial health. Consider the tips below.'
+    WHEN health_score >= 20 THEN 'Financial warning signs. Action recommended.'
+    ELSE 'Immediate financial attention needed.' END AS health_message FROM ({_health(source, account)})"""
 
 
 def _quoted(text: str) -> str:

@@ -83,9 +83,10 @@ def _expense_stats(tx: DataFrame, keys=()) -> DataFrame:
         "rows",
         "expenses",
         as_double(F.col("expense_sum")).alias("expense_sum"),
-        F.round("expense_mean", 4).alias("expense_mean"),
-        F.round("expense_stddev", 4).alias("expense_stddev"),
+        "expense_mean",
+        "expense_stddev",
         "small_expenses",
+        as_double(F.col("large_bound")).alias("large_bound"),
     )
 
 
@@ -98,8 +99,8 @@ def _first_large(tx: DataFrame, keys=()) -> DataFrame:
 
 
 def _category_map_rows(tx: DataFrame, keys=()) -> DataFrame:
-    record = patterns.pattern_record(tx, keys)
-    return record.select(*keys, F.explode("category_expenses").alias("category", "amount"))
+    maps = patterns.category_map(tx, keys)
+    return maps.select(*keys, F.explode("category_expenses").alias("category", "amount"))
 
 
 def _pattern_lines(tx: DataFrame, keys=()) -> DataFrame:

@@ -108,14 +108,19 @@ def facts_text(record: DataFrame) -> Column:
 
 
 def account_facts(
-    tx: DataFrame, keys: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
+    tx: DataFrame,
+    keys: Sequence[str] = (),
+    cells: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Summary, patterns and health score side by side, one row per key.
 
-    The rollup is staged once and serves the summary and the category map; the
-    score takes its counts from the pattern record.
+    The rollup is staged once and serves the summary, the expense statistics and
+    the category map; the score takes its counts from the pattern record. In all
+    the transactions are read three times.
     """
-    cells = stage(base_cells(tx, keys), "cells")
+    if cells is None:
+        cells = stage(base_cells(tx, keys, moments=True), "cells")
     profiles = profile(keys=keys, cells=cells)
     patterns = pattern_record(tx, keys, cells, rows_per_task)
     if keys:
