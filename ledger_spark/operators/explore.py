@@ -24,14 +24,19 @@ def filter_transactions(
     category: str | None = ALL,
     type: str | None = ALL,
     term: str | None = None,
+    by_month: bool = False,
 ) -> DataFrame:
     """Rows that pass every active filter.
 
     The date range counts whole days, both ends included, and applies only when
     both are given. It is written as bounds on the timestamp itself, so it
-    reaches the Parquet scan. The search term is literal and ignores case.
+    reaches the Parquet scan. The search term is literal and ignores case. For a
+    table from ``read_by_month``, ``by_month`` limits the months as well, so that
+    only their folders are read.
     """
     if start is not None and end is not None:
+        if by_month:
+            tx = tx.filter(F.col("year_month").between(f"{start:%Y-%m}", f"{end:%Y-%m}"))
         after = dt.datetime.combine(end, dt.time()) + dt.timedelta(days=1)
         first = F.lit(dt.datetime.combine(start, dt.time()).isoformat(" "))
         tx = tx.filter(

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_spark.keyed import ROWS_PER_TASK, hot_keys, join_on_keys
+from ledger_spark.keyed import MAX_BROADCAST_KEYS, ROWS_PER_TASK, hot_keys, join_on_keys
 from ledger_spark.staging import stage
 
 # Block sizes: the most rows a block should hold, and the fewest worth a task.
@@ -36,7 +36,8 @@ def running_sum(
 
     ``order`` should identify a row within its key. Keys of ordinary size use
     one window over one shuffle; keys above ``rows_per_task`` rows, and a whole
-    table (``keys=()``), are cut into blocks.
+    table (``keys=()``), are cut into blocks. The rows of a whole table come out in
+    order: partition by partition, and within each.
     """
     if not keys:
         return _in_blocks(rows, value, order, out, keys, rows.count(), rows_per_block)
@@ -45,8 +46,10 @@ def running_sum(
     if hot is None:
         return _in_windows(rows, value, order, out, keys)
     hot = stage(hot, "hot-keys")
-    hot_rows = hot.agg(F.sum("__n")).first()[0]
-    marks = F.broadcast(hot.select(*keys))
+    hot_count, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    marks = hot.select(*keys)
+    if hot_count <= MAX_BROADCAST_KEYS:
+        marks = F.broadcast(marks)
     cold = _in_windows(join_on_keys(rows, marks, keys, "left_anti"), value, order, out, keys)
     split = _in_blocks(
         join_on_keys(rows, marks, keys, "left_semi"),

@@ -204,6 +204,42 @@ def balance_line() -> str:
     return f"SELECT date, running_balance FROM ({running_balance(ORDERS, False)})"
 
 
+def _opened_balance(source: str, account: bool) -> str:
+    opening = "CAST(account_id * 10 + 0.25 AS DECIMAL(28,2))" if account else "100.50"
+    order = "date ASC NULLS LAST, statement_id, seq"
+    partition = "PARTITION BY account_id" if account else ""
+    return f"""SELECT {_pre(account)} statement_id, seq, date, CAST(CASE WHEN amount IS NOT NULL THEN {opening}
+  + sum(coalesce(amount, 0)) OVER ({partition} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END
+  AS DOUBLE) AS running_balance FROM ({source})"""
+
+
+# Event transactions whose text is spoilt here and there; each case is spelled out.
+_DIRTY = f"""SELECT statement_id, seq, account_id, description, type, raw_category AS category,
+  CASE seq % 17 WHEN 0 THEN 'abc' WHEN 1 THEN '100000000000000000' WHEN 2 THEN '' WHEN 3 THEN NULL
+    WHEN 4 THEN ' -12.5 ' WHEN 5 THEN '1e400' WHEN 6 THEN 'nan' ELSE CAST(raw AS VARCHAR) END AS text,
+  CASE WHEN seq % 17 = 4 THEN -12.50 WHEN seq % 17 > 6 THEN raw END AS raw,
+  CASE WHEN seq % 13 = 4 THEN TIMESTAMP '2024-01-05 06:07:08'
+    WHEN seq % 13 > 5 THEN CAST(CAST(date AS DATE) AS TIMESTAMP) END AS date
+FROM ({_EVENTS_RAW})"""
+
+
+def _dirty_normalized() -> str:
+    return f"""SELECT statement_id, seq, account_id, description, type, category, date, {_MONTHS},
+  {_d("CASE type WHEN 'debit' THEN -abs(raw) WHEN 'credit' THEN abs(raw) ELSE raw END", 'amount')} FROM ({_DIRTY})"""
+
+
+def _rejected_amounts() -> str:
+    return f"""SELECT statement_id, seq, account_id, text AS amount,
+  CASE WHEN seq % 17 IN (1, 5) THEN 'too large' ELSE 'not a number' END AS reason
+FROM ({_DIRTY}) WHERE seq % 17 IN (0, 1, 2, 5, 6)"""
+
+
+def _amount_counts(source: str, account: bool) -> str:
+    return f"""SELECT {_pre(account)} count(*) AS rows, count(raw) AS amounts, count(*) FILTER (text IS NULL) AS missing,
+  count(*) FILTER (seq % 17 IN (0, 2, 6)) AS not_numbers, count(*) FILTER (seq % 17 IN (1, 5)) AS too_large
+FROM ({source}) {_group(account)}"""
+
+
 def balance_bounds(source: str, account: bool) -> str:
     return f"""SELECT {_pre(account)} min(date) AS start_date, max(date) AS end_date,
   CAST(0 AS DOUBLE) AS zero FROM ({source}) {_group(account)}"""
@@ -470,6 +506,30 @@ def _reply_rows(condition: str) -> str:
 FROM ({_REPLY_RECORDS}) WHERE {condition}"""
 
 
+def _dirty_replies() -> str:
+    amount = "CASE seq % 11 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 7.13 ELSE raw END"
+    return f"""SELECT reply_id AS statement_id, account_id, position AS seq,
+  CASE WHEN seq % 11 > 1 THEN CAST(CAST(date AS DATE) AS TIMESTAMP) END AS date, description, {_d(amount, 'amount')},
+  type, raw_category AS category, CAST(seq AS VARCHAR) AS order_number,
+  CASE WHEN seq % 11 = 2 THEN '300000000000000000000' END AS amount_text
+FROM ({_REPLY_RECORDS})"""
+
+
+def _rejected() -> str:
+    """Cut replies of one record, as the text they were."""
+
+    def field(name: str, value: str) -> str:
+        return f"""coalesce(',"{name}":"' || {value} || '"', '')"""
+
+    record = f"""'{{"Date":"' || strftime(date, '%Y-%m-%d') || '"' || {field('description', 'description')}
+    || ',"Amount":' || CAST(raw AS VARCHAR) || {field('type', 'type')} || {field('category', 'raw_category')}
+    || {field('order', 'CAST(seq AS VARCHAR)')} || '}}'"""
+    content = f"""CASE WHEN run % 2 = 0 THEN '{{"transactions":[' || {record} || ']}}' ELSE '[' || {record} || ']' END"""
+    return f"""SELECT reply_id AS statement_id, account_id, '{{"choices":[{{"message":{{"content":"'
+    || replace(left(content, length(content) - 10), '"', '\\"') || '"}},"finish_reason":"length"}}]}}' AS response
+FROM (SELECT *, {content} AS content FROM ({_REPLY_RECORDS}) WHERE n = 1)"""
+
+
 def _insights() -> str:
     return f"""SELECT account_id,
   CASE account_id % 4 WHEN 0 THEN {_figures(True)}
@@ -530,8 +590,14 @@ FROM ({_explored()})""",
         "parse_responses": _reply_rows("TRUE"),
         "repair_truncated": _reply_rows("position < n - 1"),
         "response_status": cut_status,
-        "rejected_responses": f"""SELECT reply_id AS statement_id, account_id
-FROM ({_REPLY_RECORDS}) WHERE n = 1""",
+        "rejected_responses": _rejected(),
+        "written_responses": _reply_rows("position < n - 1"),
+        "parse_dirty_responses": _dirty_replies(),
+        "loaded_csv": f"SELECT {money_out} FROM ({ORDERS})",
+        "loaded_parquet": f"SELECT {money_out} FROM ({ORDERS})",
+        "normalized_dirty": _dirty_normalized(),
+        "rejected_amounts": _rejected_amounts(),
+        "explore_stored": f"SELECT {money_out} FROM ({_explored()})",
         "reports_from_responses": monthly_income_vs_expenses(ORDERS, False),
         "insight_records_by_account": _insights(),
         "csv_export": f"SELECT {money_out} FROM ({EVENTS})",
@@ -560,6 +626,9 @@ SELECT DISTINCT category, FALSE FROM ({ORDERS})""",
         "category_trend": (LINES, category_trend),
         "summary": (ORDERS, summary),
         "running_balance": (EVENTS, running_balance),
+        "running_balance_with_opening": (EVENTS, _opened_balance),
+        "required_monthly_cash_flow": (EVENTS, monthly_cash_flow),
+        "amount_counts": (_DIRTY, _amount_counts),
         "balance_bounds": (EVENTS, balance_bounds),
         "running_balance_with_gaps": (gaps, running_balance),
         "monthly_cash_flow_with_gaps": (gaps, monthly_cash_flow),
@@ -581,6 +650,12 @@ SELECT DISTINCT category, FALSE FROM ({ORDERS})""",
         "facts_block": (EVENTS, facts_block),
         "advice_requests": (EVENTS, advice_requests),
     }
+    for fmt in ("parquet", "csv"):
+        plain[f"report_set_{fmt}_transactions"] = f"SELECT {money_out} FROM ({ORDERS})"
+        plain[f"report_set_{fmt}_monthly_cash_flow"] = monthly_cash_flow(ORDERS, False)
+        plain[f"report_set_{fmt}_income_vs_expenses"] = monthly_income_vs_expenses(ORDERS, False)
+        plain[f"report_set_{fmt}_category_spending"] = category_spending(ORDERS, False)
+        plain[f"report_set_{fmt}_summary"] = summary(ORDERS, False)
     for name, (source, sql) in both.items():
         plain[name] = sql(source, False)
         plain[f"{name}_by_account"] = sql(source, True)

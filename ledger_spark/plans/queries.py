@@ -19,9 +19,9 @@ from ledger_spark.operators import (
     score,
     summary,
 )
-from ledger_spark.operators.normalize import normalize
+from ledger_spark.operators.normalize import amount_counts, normalize, rejected_amounts
 from ledger_spark.plans import narrative, reports, requests
-from ledger_spark.sources import pages, replies, samples
+from ledger_spark.sources import pages, replies, samples, tables
 from ledger_spark.staging import new_path
 
 ACCOUNT = ("account_id",)
@@ -42,6 +42,14 @@ ADVICE_TASK = "Reply as JSON."
 REFUSED = narrative.Template(("first tip", "second tip"), "advice after a refusal")
 FAILED = narrative.Template(("only tip",), "advice after a failure", with_savings_rate=False)
 
+REPORT_TABLES = (
+    reports.TRANSACTIONS,
+    reports.MONTHLY_CASH_FLOW,
+    reports.INCOME_VS_EXPENSES,
+    reports.CATEGORY_SPENDING,
+    reports.SUMMARY,
+)
+
 # Characters missing at the end of a truncated reply.
 CUT = 10
 
@@ -173,13 +181,80 @@ def _advice_requests(tx: DataFrame, keys=()) -> DataFrame:
     return _request_parts(made, *keys)
 
 
+def _reply_out(rows: DataFrame, *extras: str) -> DataFrame:
+    names = {"order_number": "order"} | {f"{e}_text": e for e in extras}
+    shown = {name: F.try_element_at("extras", F.lit(key)) for name, key in names.items()}
+    return _money_out(rows.withColumns(shown).drop("extras"))
+
+
 def _reply_rows(cut: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         read = replies.read_replies(samples.order_replies(spark, folder, cut))
-        rows = replies.reply_transactions(read)
-        return _money_out(
-            rows.withColumn("order_number", F.try_element_at("extras", F.lit("order"))).drop("extras")
-        )
+        return _reply_out(replies.reply_transactions(read))
+
+    return query
+
+
+def _dirty_replies(spark: SparkSession, folder: str) -> DataFrame:
+    read = replies.read_replies(samples.order_replies(spark, folder, dirty=True))
+    return _reply_out(replies.reply_transactions(read), "amount")
+
+
+def _both_sinks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    path = new_path(spark, "replies")
+    replies.write_replies(replies.read_replies(samples.order_replies(spark, folder, CUT)), path)
+    return replies.read_written(spark, path)
+
+
+def _written_responses(spark: SparkSession, folder: str) -> DataFrame:
+    return _reply_out(_both_sinks(spark, folder)[0])
+
+
+def _loaded(fmt: str) -> Query:
+    """Orders written as files, loaded as a transaction table and normalised."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        tx = samples.order_transactions(spark, folder)
+        path = new_path(spark, "transactions")
+        if fmt == "csv":
+            tx = tx.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+            reports.write_csv(tx, path)
+            loaded = tables.load_transactions(spark, path, "csv", tx.schema)
+        else:
+            tx.write.parquet(path)
+            loaded = tables.load_transactions(spark, path)
+        return _money_out(normalize(loaded))
+
+    return query
+
+
+def _dirty_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    return _money_out(normalize(samples.dirty_transactions(spark, folder)))
+
+
+def _required(tx: DataFrame, keys=()) -> DataFrame:
+    return reports.analyse(tx, keys, require_rows=True).monthly_cash_flow()
+
+
+def _opened_balance(tx: DataFrame, keys=()) -> DataFrame:
+    return balance.running_balance(tx, keys, F.col("account_id") * F.lit(10) + F.lit(0.25) if keys else F.lit(100.5))
+
+
+def _explore_stored(spark: SparkSession, folder: str) -> DataFrame:
+    tx, path = orders(spark, folder), new_path(spark, "by-month")
+    tables.write_by_month(tx, path)
+    kept = explore.filter_transactions(tables.read_by_month(spark, path), **EXPLORE, by_month=True)
+    return _money_out(kept.select(tx.columns))
+
+
+def _report_table(name: str, fmt: str) -> Query:
+    """One table of a report set, written, verified and read back."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "reports")
+        reports.write_report_set(reports.analyse(orders(spark, folder)), path, fmt)
+        table = reports.read_report_set(spark, path, verify=True)[name]
+        return _money_out(table) if name == reports.TRANSACTIONS else table
 
     return query
 
@@ -192,9 +267,7 @@ def _reply_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rejected(spark: SparkSession, folder: str) -> DataFrame:
-    read = replies.read_replies(samples.order_replies(spark, folder, CUT))
-    rejected = replies.rejected_replies(read)
-    return rejected.select("statement_id", "account_id")
+    return _both_sinks(spark, folder)[1]
 
 
 def _reply_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,6 +367,13 @@ def registry() -> dict[str, Query]:
         "repair_truncated": _reply_rows(CUT),
         "response_status": _reply_status,
         "rejected_responses": _rejected,
+        "written_responses": _written_responses,
+        "parse_dirty_responses": _dirty_replies,
+        "loaded_csv": _loaded("csv"),
+        "loaded_parquet": _loaded("parquet"),
+        "normalized_dirty": _dirty_normalized,
+        "rejected_amounts": _over(samples.dirty_transactions, rejected_amounts),
+        "explore_stored": _explore_stored,
         "reports_from_responses": _reply_reports,
         "insight_records_by_account": _insights,
         "csv_export": _csv_export,
@@ -302,6 +382,9 @@ def registry() -> dict[str, Query]:
         "date_bounds": _over(orders, summary.date_bounds),
         "balance_line": _over(orders, balance.balance_line),
     }
+    for fmt in ("parquet", "csv"):
+        for name in REPORT_TABLES:
+            plain[f"report_set_{fmt}_{name.lower().replace(' ', '_')}"] = _report_table(name, fmt)
     # Name -> source and operator; each runs whole-table and per account.
     both = {
         "monthly_cash_flow": (orders, monthly.monthly_cash_flow),
@@ -315,6 +398,9 @@ def registry() -> dict[str, Query]:
         "category_trend": (lines, categories.category_trend),
         "summary": (orders, summary.summary),
         "running_balance": (events, balance.running_balance),
+        "running_balance_with_opening": (events, _opened_balance),
+        "required_monthly_cash_flow": (events, _required),
+        "amount_counts": (samples.dirty_transactions, amount_counts),
         "balance_bounds": (events, balance.balance_bounds),
         "running_balance_with_gaps": (events_with_gaps, balance.running_balance),
         "monthly_cash_flow_with_gaps": (events_with_gaps, monthly.monthly_cash_flow),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.parsing import to_money
@@ -65,6 +65,25 @@ def with_gaps(tx: DataFrame) -> DataFrame:
     return tx.withColumns({c: F.when(F.col("seq") % n != 0, F.col(c)) for c, n in every.items()})
 
 
+def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Event transactions as text, with dates and amounts that cannot be read here and there."""
+    tx = event_transactions(spark, folder)
+
+    def instead(column: Column, every: int, values: dict[int, str | None]) -> Column:
+        for rest, text in values.items():
+            column = F.when(F.col("seq") % every == rest, F.lit(text)).otherwise(column)
+        return column
+
+    amounts = {0: "abc", 1: "1" + "0" * 17, 2: "", 3: None, 4: " -12.5 ", 5: "1e400", 6: "nan"}
+    dates = {0: "2024", 1: "05/01/2024", 2: "soon", 3: None, 4: "2024-01-05T06:07:08", 5: "2024-02-30"}
+    return tx.withColumns(
+        {
+            "amount": instead(F.col("amount").cast("string"), 17, amounts),
+            "date": instead(F.date_format("date", "yyyy-MM-dd"), 13, dates),
+        }
+    )
+
+
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as the pages of a statement."""
     return _read(spark, folder, "conversations").select(
@@ -90,19 +109,25 @@ def document_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_replies(spark: SparkSession, folder: str, cut: int = 0) -> DataFrame:
+def order_replies(spark: SparkSession, folder: str, cut: int = 0, dirty: bool = False) -> DataFrame:
     """Model replies that hold an account's orders as JSON records.
 
     A reply covers one account and a run of 1,000 order numbers, so its size is
     bounded. Even replies wrap the list in an object, odd ones are bare arrays.
     With ``cut`` the last characters are missing and the model reports that it
-    ran out of length.
+    ran out of length. With ``dirty`` some dates and amounts cannot be read.
     """
     tx = order_transactions(spark, folder)
+    date, amount = F.date_format("date", "yyyy-MM-dd"), F.col("amount")
+    if dirty:
+        rest = F.col("seq") % 11
+        date = F.when(rest == 0, "2024").when(rest == 1, "5 May 2024").otherwise(date)
+        amount = amount.cast("string")
+        amount = F.when(rest == 1, "abc").when(rest == 2, "3" + "0" * 20).when(rest == 3, " 7.125 ").otherwise(amount)
     record = F.struct(
-        F.date_format("date", "yyyy-MM-dd").alias("Date"),
+        date.alias("Date"),
         F.col("description"),
-        F.col("amount").alias("Amount"),
+        amount.alias("Amount"),
         F.col("type"),
         F.col("category"),
         F.col("seq").cast("string").alias("order"),

@@ -50,3 +50,24 @@ def by_date(df: DataFrame) -> DataFrame:
     """Transactions in date order, missing dates last; for output only."""
     ties = [c for c in ("statement_id", "seq") if c in df.columns]
     return df.orderBy(F.col("date").asc_nulls_last(), *ties)
+
+
+def write_by_month(tx: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Store a normalised table by month, its files sorted by category and date.
+
+    A filter on the month reads its folders only, and one on category or date
+    skips files and row groups by their bounds. Rows are dealt by ranges of month,
+    category and date, so a month that holds most of the table is still written by
+    many tasks. Rows without a date share one folder, dealt by category.
+    """
+    order = ["year_month", "category", "date"]
+    placed = tx.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.mode(mode).partitionBy("year_month").parquet(folder)
+
+
+def read_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that ``write_by_month`` stored."""
+    stored = spark.read.parquet(folder)
+    if stored.schema["year_month"].dataType != T.StringType():
+        raise ValueError("months must be text; check partition column type inference")
+    return stored

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledger_spark.operators.normalize import normalize
 from ledger_spark.schema import REPLIES
-from ledger_spark.sources.replies import read_replies, rejected_replies, reply_transactions
+from ledger_spark.sources.replies import read_replies, write_replies
 
 
 def reply_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -23,19 +23,14 @@ def reply_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 def start_intake(replies: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Write normalised transactions and rejects of a reply stream as Parquet.
 
-    Each micro-batch has its own folder and overwrites it, so a batch that is
-    replayed after a failure leaves no second copy.
+    Both go out in one pass, so nothing is parsed twice or kept; ``read_written``
+    reads them. Each micro-batch has its own folder and overwrites it, so a batch
+    that is replayed after a failure leaves no second copy.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        read = read_replies(batch).persist()
-        try:
-            accepted = normalize(reply_transactions(read))
-            accepted.write.mode("overwrite").parquet(f"{folder}/transactions/batch={number}")
-            rejected = rejected_replies(read)
-            rejected.write.mode("overwrite").parquet(f"{folder}/rejects/batch={number}")
-        finally:
-            read.unpersist()
+        path = f"{folder}/batch={number}"
+        write_replies(read_replies(batch), path, mode="overwrite", prepare=normalize)
 
     writer = replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

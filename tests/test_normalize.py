@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledger_spark.functions.parsing import to_money, to_moment
-from ledger_spark.operators.normalize import NoTransactions, normalize
+from ledger_spark.operators.normalize import amount_counts, normalize, rejected_amounts, require_transactions
 from ledger_spark.schema import CATEGORIES
 from ledger_spark.sources.tables import accept_table, by_date, load_transactions
-from tests.conftest import row
+from tests.conftest import row, rows_of
 
 
 def test_sign_rule(table):
@@ -45,8 +45,29 @@ def test_missing_columns_skip_their_rules(table):
 def test_empty_input_is_refused_on_request(table):
     empty = table([])
     assert normalize(empty).count() == 0
-    with pytest.raises(NoTransactions):
-        normalize(empty, require_rows=True)
+    refused = normalize(empty, require_rows=True)  # nothing runs yet
+    for use in (refused.count, refused.collect, refused.select("seq").collect, refused.filter("amount > 0").collect):
+        with pytest.raises(Exception, match="no transactions to analyse"):
+            use()
+    full = table([row(0, "2024-03-09", 5), row(1, None, None)])
+    assert rows_of(normalize(full, require_rows=True)) == rows_of(normalize(full))
+    assert rows_of(require_transactions(full).filter("seq = 7")) == []
+
+
+def test_amounts_that_do_not_fit_are_listed(spark, table):
+    texts = ["1" + "0" * 17, "1e400", "abc", None, "12.345", "", "nan", "-9" + "9" * 15 + ".99", "9" * 16 + ".995"]
+    tx = spark.createDataFrame([("s", i, t, "2024-01-01") for i, t in enumerate(texts)], "statement_id string, seq bigint, amount string, date string")
+    rejected = {r.seq: (r.amount, r.reason) for r in rejected_amounts(tx).collect()}
+    assert rejected == {
+        0: (texts[0], "too large"), 1: ("1e400", "too large"), 2: ("abc", "not a number"), 5: ("", "not a number"),
+        6: ("nan", "not a number"), 8: (texts[8], "too large"),
+    }
+    counts = amount_counts(tx).first().asDict()
+    assert counts == {"rows": 9, "amounts": 2, "missing": 1, "not_numbers": 3, "too_large": 3}
+    assert normalize(tx).filter("amount is not null").count() == counts["amounts"]
+    numbers = spark.createDataFrame([(1.5,), (1e17,), (float("nan"),), (float("inf"),), (None,)], "amount double").selectExpr("*", "date'2024-01-01' as date")
+    assert amount_counts(numbers).first().asDict() == {"rows": 5, "amounts": 1, "missing": 1, "not_numbers": 1, "too_large": 2}
+    assert rejected_amounts(table([row(0, None, 1), row(1, None, None)])).collect() == []
 
 
 @pytest.mark.parametrize(

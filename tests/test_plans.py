@@ -8,12 +8,15 @@ import re
 
 import pytest
 
-from ledger_spark.operators import balance, categories, explore, monthly, patterns, summary
+from pyspark.sql import functions as F
+
+from ledger_spark.operators import balance, categories, explore, monthly, patterns, score, summary
 from ledger_spark.operators.normalize import normalize
 from ledger_spark.plans import narrative, reports, requests
 from ledger_spark.schema import PAGES, REPLIES
 from ledger_spark.sources.pages import assemble_pages, clean_statements
 from ledger_spark.sources.replies import read_replies, reply_transactions
+from ledger_spark.sources.tables import read_by_month, write_by_month
 from ledger_spark.staging import new_path, shared_folder, stage
 from tests.conftest import random_rows, row, rows_of
 
@@ -88,6 +91,59 @@ def test_whole_table_balance_never_gathers_its_rows(stored):
     assert "shufflepartitionidpassthrough" in plan
 
 
+def test_balance_line_is_in_order_without_another_sort(spark, stored, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr("ledger_spark.operators.running.stage", lambda df, label: made.append(plan_of(df)) or stage(df, label))
+    monkeypatch.setattr("ledger_spark.operators.running.SMALL_BLOCK", 100)
+    line = balance.balance_line(stored)
+    assert plan_of(line).count("rangepartitioning") == 0 and sum(p.count("rangepartitioning") for p in made) == 1
+    ordered = stored.orderBy(F.col("date").asc_nulls_last(), "statement_id", "seq").select("date").collect()
+    assert [r.date for r in line.collect()] == [r.date for r in ordered]
+    line.write.parquet(str(tmp_path / "line"))
+    files = sorted(str(p) for p in (tmp_path / "line").glob("*.parquet"))
+    assert len(files) > 1
+    assert [r.date for f in files for r in spark.read.parquet(f).collect()] == [r.date for r in ordered]
+
+
+def test_months_and_categories_prune_a_stored_layout(spark, stored, tmp_path):
+    path = str(tmp_path / "by-month")
+    write_by_month(stored, path)
+    back = read_by_month(spark, path)
+    assert rows_of(back.select(stored.columns)) == rows_of(stored)
+    filters = (dt.date(2024, 1, 10), dt.date(2024, 2, 3), "Food")
+    kept = explore.filter_transactions(back, *filters, by_month=True)
+    assert rows_of(kept.select(stored.columns)) == rows_of(explore.filter_transactions(stored, *filters))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = kept._jdf.queryExecution().explainString(mode)
+    assert "2024-01" in re.search(r"PartitionFilters: \[(.*)\]", text).group(1)
+    assert "EqualTo(category,Food)" in re.search(r"PushedFilters: \[(.*)\]", text).group(1)
+    read = {r[0].split("year_month=")[1][:7] for r in kept.select(F.input_file_name()).distinct().collect()}
+    assert read == {"2024-01", "2024-02"}
+
+
+def test_analysis_offers_every_report(table):
+    tx = normalize(table(random_rows(33, 300)))
+    for keys in ([], ACCOUNT):
+        report = reports.analyse(tx, keys)
+        assert rows_of(report.health_score()) == rows_of(score.health_score(tx, keys))
+        assert rows_of(report.large_expenses()) == rows_of(patterns.large_expenses(tx, keys))
+        assert rows_of(report.patterns().select("recurring_expenses")) == rows_of(patterns.pattern_record(tx, keys).select("recurring_expenses"))
+        assert rows_of(report.balance_line()) == rows_of(balance.balance_line(tx, keys))
+        assert report.health_bands().count() == report.insights(REFUSED, FAILED).count() == report.summary().count()
+        assert rows_of(report.balance_bounds()) == rows_of(balance.balance_bounds(tx, keys))
+
+
+def test_reports_of_nothing_are_refused_when_they_are_read(table, tmp_path):
+    report = reports.analyse(normalize(table([])), require_rows=True)
+    for made in (report.summary(), report.monthly_cash_flow(), report.category_spending()):
+        with pytest.raises(Exception, match="no transactions to analyse"):
+            made.collect()
+    with pytest.raises(Exception, match="no transactions to analyse"):
+        reports.write_report_set(report, str(tmp_path))
+    assert not (tmp_path / "manifest").exists()
+    assert reports.analyse(normalize(table([]))).summary().first().transaction_count == 0
+
+
 def test_stage_uses_the_configured_folder(spark, table):
     folder = shared_folder(spark)
     assert folder == spark.conf.get("spark.checkpoint.dir")
@@ -116,9 +172,36 @@ def test_report_set(spark, table, tmp_path, fmt):
         "Category Spending",
         "Summary",
     ]
+    back = reports.read_report_set(spark, str(tmp_path), verify=True)
     for name, df in reports.report_tables(analysis).items():
-        reader = spark.read.schema(df.schema).option("header", True)
-        assert reader.format(fmt).load(paths[name]).count() == df.count()
+        assert rows_of(back[name]) == rows_of(df)
+
+
+def test_a_report_set_is_seen_whole_or_not_at_all(spark, table, tmp_path, monkeypatch):
+    folder = str(tmp_path / "set")
+    first = reports.analyse(normalize(table([row(0, "2024-01-01", 5)])))
+    second = reports.analyse(normalize(table([row(0, "2024-01-01", 7), row(1, "2024-02-01", 7)])))
+    count = lambda: reports.read_report_set(spark, folder)["Transactions"].count()
+    with pytest.raises(FileNotFoundError):
+        count()
+    reports.write_report_set(first, folder)
+    with pytest.raises(FileExistsError):
+        reports.write_report_set(second, folder)
+    whole = reports.report_tables
+
+    def broken(analysis):
+        return whole(analysis) | {"Summary": analysis.summary().selectExpr("raise_error('lost') AS x")}
+
+    monkeypatch.setattr(reports, "report_tables", broken)
+    with pytest.raises(Exception, match="lost"):
+        reports.write_report_set(second, folder, mode="overwrite")
+    assert count() == 1
+    monkeypatch.setattr(reports, "report_tables", whole)
+    paths = reports.write_report_set(second, folder, mode="overwrite")
+    assert count() == 2
+    spark.read.parquet(paths["Transactions"]).limit(1).write.mode("append").parquet(paths["Transactions"])
+    with pytest.raises(ValueError, match="Transactions"):
+        reports.read_report_set(spark, folder, verify=True)
 
 
 REFUSED = narrative.Template(("a", "b"), "refused")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -13,8 +14,10 @@ from ledger_spark.sources.replies import (
     close_truncated,
     decode_advice,
     read_replies,
+    read_written,
     rejected_replies,
     reply_transactions,
+    write_replies,
 )
 from ledger_spark.streaming.intake import reply_stream, start_intake
 
@@ -139,10 +142,34 @@ def test_rejects_keep_their_raw_text(spark):
     assert sorted(map(tuple, rejected_replies(df).collect()), key=repr) == [("s0", 0, "junk"), ("s2", 2, None)]
 
 
-def test_no_filter_reaches_below_the_parsing(spark):
-    df = reply_transactions(read(spark, envelope("[]")))
+def parses(df):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("from_json") <= 2
+    return len(re.findall(r"(?i)(?<!try_)parse_?json", plan)), len(re.findall(r"(?i)from_?json|get_?json_?object", plan))
+
+
+def test_each_text_is_parsed_once(spark):
+    """The reply, its content, and the content as mended if it was cut off."""
+    df = read(spark, envelope("[]"))
+    for table in (df, reply_transactions(df), rejected_replies(df)):
+        assert parses(table) == (3, 0)
+
+
+def test_both_sinks_in_one_pass(spark, tmp_path):
+    whole = json.dumps({"transactions": RECORDS})
+    replies_ = [envelope(whole), "junk", envelope("{}"), envelope(whole[:-30], "length"), envelope(whole[:-30]), None]
+    df = read(spark, *replies_)
+    write_replies(df, str(tmp_path / "out"))
+    accepted, rejected = read_written(spark, str(tmp_path / "out"))
+    expected = reply_transactions(df)
+    assert accepted.columns == expected.columns
+    text = [c for c in expected.columns if c != "extras"]
+    assert sorted(map(tuple, accepted.select(text).collect()), key=repr) == sorted(map(tuple, expected.select(text).collect()), key=repr)
+    assert {r.response for r in rejected.collect()} == {"junk", replies_[4], None} and rejected.count() == 3
+
+
+def test_elements_that_are_no_objects(spark):
+    df = read(spark, envelope("[5]"), envelope('{"transactions": [{"a": 1}, "x"]}'), envelope('[{"a": 1}, null]'), envelope('{"transactions": {"a": 1}}'))
+    assert statuses(df) == [("rejected", None), ("rejected", None), ("parsed", 2), ("parsed", 0)]
 
 
 def test_decode_advice(spark):
@@ -178,9 +205,9 @@ def test_stream_of_replies(spark, tmp_path):
     deliver("three.json", "s3", json.dumps({"transactions": RECORDS[:1]}))
     run()
     run()  # nothing new
-    accepted = spark.read.parquet(f"{out}/transactions")
+    accepted, rejected = read_written(spark, out)
     assert sorted((r.statement_id, r.seq) for r in accepted.collect()) == [("s1", 0), ("s1", 1), ("s1", 2), ("s3", 0)]
-    assert [r.statement_id for r in spark.read.parquet(f"{out}/rejects").collect()] == ["s2"]
+    assert [tuple(r) for r in rejected.collect()] == [("s2", 1, envelope("junk"))]
     batch = normalize(reply_transactions(read(spark, envelope(json.dumps(RECORDS)))))
     assert set(batch.columns) | {"batch"} == set(accepted.columns)
 
