@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_spark.llm.spans import count_of, listed, matches, no_spans
+from ledger_spark.llm.spans import cleared, count_of, listed, matches, no_spans
 from ledger_spark.staging import stage
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -229,7 +229,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id`` and ``text``. Positions count code points, the end
     is exclusive. A null text is empty; ids may be null or repeat, since every
-    row stands for itself. Without candidates nothing is trained or added.
+    row stands for itself; other columns are left out. Without candidates nothing
+    is trained or added; an empty table gives no rows. A text of any length, with
+    any number of matches, is searched whole.
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", F.concat(*candidate_spans(text)).alias("found"))
@@ -251,13 +253,14 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s["base"])
     split = rows.select("doc_id", "found", base.alias("base"))
 
-    def added(s: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~s["base"] & (model.probability(s) > CONFIDENT) & apart
+    def sure(s: Column) -> Column:
+        return ~s["base"] & (model.probability(s) > CONFIDENT)
 
     brief = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
-    kept = F.concat("base", F.filter("found", added)) if model.weights else F.col("base")
-    return split.select("doc_id", F.transform(kept, brief).alias("spans"))
+    own = F.transform("base", brief)
+    if model.weights:
+        own = F.concat(own, cleared(F.transform(F.filter("found", sure), brief), own))
+    return split.select("doc_id", own.alias("spans"))
 
 
 def personal_report(docs: DataFrame) -> DataFrame:

@@ -18,33 +18,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm.ngram_join import BROADCAST_IDS
-from ledger_spark.llm.spans import count_of, listed, matches, no_spans
+from ledger_spark.llm.spans import count_of, listed, masked, matches, no_spans
 from ledger_spark.staging import stage
 
 # Strings that one clause of a query may list.
 MAX_STRINGS = 24
 MASK = "[SECRET]"
+# Trigrams asked for each string.
+KEPT = 2
+# Fixed value: letters from common to rare in running text; other characters are rarer.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its pattern, and a least length of the match or of one group.
-
-    ``probe`` is a quick pattern that every text with a match of that length fits.
-    """
+    """A kind of secret: its pattern, and a least length of the match or of one group."""
 
     kind: str
     pattern: str
     length: int = 0
     group: int = 0
-    probe: str | None = None
 
 
-# The three base rules.
+# The three base rules. Where a run is the whole match its least length stands in the pattern.
 BASE_RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
-    Rule("access", r"AKIA[A-Z0-9]+", 16),
-    Rule("hex", r"[0-9a-f]+", 32, probe="[0-9a-f]{32}"),
+    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 # Published formats of service tokens and keys.
 MORE_RULES = (
@@ -126,6 +126,17 @@ def trigrams(string: str) -> set[str]:
     return {string[i : i + 3] for i in range(len(string) - 2)}
 
 
+def asked_trigrams(strings: set[str]) -> list[list[str]]:
+    """The trigrams that stand for each string of a clause: its ``KEPT`` rarest ones.
+
+    A string that holds another one of the clause says nothing more than that one
+    and is left out. Rarity goes by how common the letters are.
+    """
+    shortest = [s for s in strings if not any(t != s and t in s for t in strings)]
+    common = lambda gram: (sum(len(LETTERS) - LETTERS.index(c) for c in gram if c in LETTERS), gram)
+    return [sorted(trigrams(s), key=common)[:KEPT] for s in sorted(shortest)]
+
+
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """One row per document and wanted trigram that its lower-cased text holds."""
     low = F.lower("text")
@@ -143,8 +154,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     for rule in rules:
         parts = clauses(rule.pattern)
         for c, strings in enumerate(parts):
-            for s, string in enumerate(sorted(strings)):
-                grams = sorted(trigrams(string))
+            for s, grams in enumerate(asked_trigrams(strings)):
                 asked += [(rule.kind, c, s, len(grams), len(parts), g) for g in grams]
     if not asked:
         return None
@@ -169,21 +179,15 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.filter(found, lambda s: F.char_length(s["value"]) >= rule.length)
 
 
-def with_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``docs`` and ``secret_spans`` (kind, start, end, value).
-
-    ``docs`` needs ``doc_id`` and ``text``. Positions count code points, the end
-    is exclusive. A null text has no spans; a null or repeated doc_id only makes
-    more candidates. An existing column ``secret_spans`` is replaced.
-    """
-    docs = docs.drop("secret_spans")
+def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
+    """``docs`` and its spans under ``name``, which it does not have."""
     full = [r for r in rules if not clauses(r.pattern)]
     asked = [r for r in rules if clauses(r.pattern)]
     found = candidates(docs, rules)
     text = F.coalesce("text", F.lit(""))
     spans = []
     for rule in full:
-        spans.append(F.when(text.rlike(rule.probe or rule.pattern), _spans(text, rule)).otherwise(no_spans()))
+        spans.append(F.when(text.rlike(rule.pattern), _spans(text, rule)).otherwise(no_spans()))
     if found is not None:
         found = stage(found.select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules")), "candidates")
         few = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -191,7 +195,19 @@ def with_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for rule in asked:
             chosen = F.array_contains("__rules", rule.kind)
             spans.append(F.when(chosen, _spans(text, rule)).otherwise(no_spans()))
-    return docs.withColumn("secret_spans", F.concat(*spans)).drop("__id", "__rules")
+    return docs.withColumn(name, F.concat(*spans)).drop("__id", "__rules")
+
+
+def with_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All columns of ``docs`` and ``secret_spans`` (kind, start, end, value).
+
+    ``docs`` needs ``doc_id`` and ``text``. Positions count code points, the end
+    is exclusive. A null text has no spans; a null or repeated doc_id only makes
+    more candidates; an empty table gives no rows; a text of any length, with any
+    number of matches, is searched whole. An existing column ``secret_spans`` is
+    replaced.
+    """
+    return _with_spans(docs.drop("secret_spans"), rules, "secret_spans")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
@@ -212,25 +228,14 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask.
 
     Overlapping spans share one mask. A column ``n_chars``, if there is one,
-    follows the new text. Null texts stay null.
+    follows the new text. Null texts stay null. All other columns stay as they
+    are, whatever their names; the spans themselves are not returned.
     """
-    found = with_secrets(docs)
-    text = F.col("text")
-    ordered = F.array_sort(
-        F.transform("secret_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        masked = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), masked.alias("out"))
-
-    clean = F.aggregate(ordered, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    clean = F.when(F.size("secret_spans") > 0, clean).otherwise(text)
-    found = found.withColumn("text", clean)
+    found = _with_spans(docs, RULES, "__secret_spans")
+    touched = F.size("__secret_spans") > 0
+    found = found.withColumn("__masked", F.when(touched, masked(F.col("text"), F.col("__secret_spans"), MASK)).otherwise(F.col("text")))
+    changed = {"text": F.col("__masked")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        touched = F.size("secret_spans") > 0
-        found = found.withColumn("n_chars", F.when(touched, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        changed["n_chars"] = F.when(touched, F.char_length("__masked").cast(kind)).otherwise(F.col("n_chars"))
+    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from ledger_spark.llm import personal_data as d
+from ledger_spark.llm.spans import cleared
 
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -104,3 +108,25 @@ def test_em_finds_the_reliable_labelers():
     model = d.estimate([{"kind": "email", "size": 1, "count": c, **dict(zip(d.LABELERS, vs))} for vs, c in sorted(patterns.items())])
     hit = [model.reliability[n, 1][0] for n in d.LABELERS]
     assert hit[0] > hit[5] > hit[3] and abs(hit[0] - 0.95) < 0.05
+
+
+def test_many_matches_in_one_text(spark):
+    rows = [
+        (1, " ".join(f"u{i}@mail.com" for i in range(100_000))),
+        (2, " ".join(f"call 212-555-{1000 + i % 9000} or 10.0.{i % 256}.1" for i in range(30_000))),
+    ]
+    started = time.perf_counter()
+    check(rows, d.personal_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert time.perf_counter() - started < 60
+
+
+def test_spans_that_overlap_none(spark):
+    rng = random.Random(8)
+    made = lambda n: [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(400) for _ in range(n))]
+    rows = [(i, made(rng.choice([0, 1, 5, 300])), made(rng.choice([0, 1, 5, 60, 700]))) for i in range(60)]
+    kind = "array<struct<start:int,end:int>>"
+    docs = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}")
+    got = docs.select("i", cleared(F.col("a"), F.col("b")).alias("c")).collect()
+    for i, kept in got:
+        _, a, b = rows[i]
+        assert sorted(map(tuple, kept)) == sorted(s for s in a if not any(x < s[1] and s[0] < y for x, y in b))

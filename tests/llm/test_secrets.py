@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from ledger_spark.llm import secrets as s
 
@@ -63,8 +65,8 @@ def test_odd_rows(spark):
 
 
 def test_queries_are_sound():
-    assert s.clauses(r"[0-9a-f]+") == []
-    assert s.clauses(r"AKIA[A-Z0-9]+") == [{"akia"}]
+    assert s.clauses(r"[0-9a-f]+") == s.clauses(s.BASE_RULES[2].pattern) == []
+    assert s.clauses(r"AKIA[A-Z0-9]+") == s.clauses(s.BASE_RULES[1].pattern) == [{"akia"}]
     words = {"password", "passwd", "secret", "token", "api_key", "apikey"}
     assert s.clauses(s.BASE_RULES[0].pattern)[0] == {w + q for w in words for q in ("", "'", '"')}
     assert s.clauses(r"ab?cd[xy]ef\d+ghi") == [{"abcdxef", "acdxef", "abcdyef", "acdyef"}, {"ghi"}]
@@ -78,3 +80,69 @@ def test_masking(spark):
     assert got == {
         1: (1, "a [SECRET] z", 12, "k"), 2: rows[1], 3: rows[2], 4: (4, "é [SECRET]!", 11, "k"),
     }
+
+
+def test_rare_trigrams_stand_for_a_string():
+    for rule in s.RULES:
+        for strings in s.clauses(rule.pattern):
+            asked = s.asked_trigrams(strings)
+            # whatever holds a string of the clause holds all trigrams of one entry
+            assert all(any(all(g in string for g in grams) for grams in asked) for string in strings)
+            assert all(1 <= len(grams) <= s.KEPT for grams in asked)
+
+
+def test_random_strings(spark):
+    """Full scans of every rule against what the index lets through."""
+    rng = random.Random(9)
+    parts = ["token", "Secret", "api_key", "apikey", "PASSWORD", "passwd", "=", ":", " ", '"', "'", "abcdefgh", "x1", "AKIA", "ABCD1234EFGH", "0" * 31, "f" * 33, "g", "ghp_", "Z" * 36, "xoxb-", "0123456789", "AIza", "_" * 35, "sk_live_", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "://u:pass@", "é𝄞"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = s.secret_report(docs).collect()
+    check(rows, got)
+    more = {r.kind: re.compile(r.pattern) for r in s.MORE_RULES}
+    texts = dict(rows)
+    for r in got:
+        found = {x for x in r["spans"].split(",") if x and x.split(":")[0] in more}
+        assert found == {f"{k}:{m.start()}:{m.end()}" for k, p in more.items() for m in p.finditer(texts[r["doc_id"]])}
+
+
+def test_many_matches_in_one_text(spark):
+    """Work that grows with the number of matches, not with its square."""
+    rows = [
+        (1, " ".join(f"token=abcdefgh{i}" for i in range(100_000))),
+        (2, "0a1 " * 50_000 + "token: " + "f" * 40),
+        (3, ("AKIA" + "B" * 12 + " ") * 30_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    started = time.perf_counter()
+    check(rows, s.secret_report(docs).collect())
+    clean = {r["doc_id"]: r["text"] for r in s.without_secrets(docs).collect()}
+    assert time.perf_counter() - started < 60
+    assert clean[1] == " ".join(["[SECRET]"] * 100_000) and clean[3] == "[SECRET] " * 30_000
+    # the secret in hexadecimal digits lies within the assigned one
+    assert clean[2] == "0a1 " * 50_000 + "[SECRET]"
+
+
+def test_masks_over_long_texts(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [rng.choice(["é", "𝄞x", "plain", "token=abcdefgh", "f" * 40, "\n", "password:" + "1" * 40, "x" * 3000]) for _ in range(rng.randrange(1, 60))]
+        rows.append((i, " ".join(words)))
+
+    def hidden(text):
+        out, done = [], 0
+        for start, _, end, _ in plain(text):
+            if start >= done:
+                out += [text[done:start], "[SECRET]"]
+            done = max(done, end)
+        return "".join(out) + text[done:]
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in s.without_secrets(docs).collect()} == {i: hidden(t) for i, t in rows}
+
+
+def test_a_column_of_the_same_name_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdefgh z", "mine", 7)], "doc_id bigint, text string, secret_spans string, kind int")
+    assert tuple(s.without_secrets(docs).first()) == (1, "a [SECRET] z", "mine", 7)
+    assert s.without_secrets(docs.limit(0)).collect() == []
