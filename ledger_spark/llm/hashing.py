@@ -14,7 +14,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 
 # Words remembered by one Python worker before its memory is emptied.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 
 class WordHashes(dict):

@@ -40,6 +40,8 @@ AGREEMENT = 0.8
 FILTER_WINDOWS = 1_000_000
 FILTER_BITS = 22
 MEMO_WORDS = 400_000
+# Bytes of text canonicalised at once.
+SLICE = 4 << 20
 
 # Spelled numbers and units of measure.
 NUMBERS = (
@@ -62,19 +64,33 @@ _WORD, _NUM, _UNIT, _CAP = range(4)
 _PLACES = np.array([0, 11, 13, 17], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+_TABLE = (np.uint64, np.int8, np.uint64, bool, bool)
+_LISTED = frozenset([*NUMBERS, *UNITS])
+
+
 class Canonical(dict):
     """Number of each distinct word, with its hash, kind, glued unit and how it ends.
 
-    One per worker; ``start`` empties a full table, at the start of a batch only,
-    so that numbers stay valid within it.
+    One per task; ``start`` empties a full table, at the start of a slice of text
+    only, so that numbers stay valid within it.
     """
 
     def __init__(self):
         super().__init__()
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
         self.values, self.kinds, self.units, self.ends, self.stops = [], [], [], [], []
+        self.arrays = tuple(np.zeros(0, kind) for kind in _TABLE)
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and (low := core.lower()) not in _LISTED:
+            # letters, perhaps with a mark behind them: a word or a name
+            kind = _CAP if len(core) > 1 and core[0].isupper() and core[1:].islower() else _WORD
+            return self._add(raw, low.encode(), kind, "", word[-1] in ".!?:", core != word)
         bare = _EDGE.sub("", word)
         low = bare.lower()
         number = _NUMBER.match(word.strip("\"'()[]{}.,;:!?").lower())
@@ -92,31 +108,31 @@ class Canonical(dict):
             kind = _CAP
         else:
             kind = _WORD
+        return self._add(raw, low.encode(), kind, unit, bool(_END.search(word)), bool(_STOP.search(word)))
+
+    def _add(self, raw: bytes, low: bytes, kind: int, unit: str, end: bool, stop: bool) -> int:
         self[raw] = at = len(self.values)
-        self.values.append(xxhash.xxh3_64_intdigest(low.encode()) | 1)
+        self.values.append(xxhash.xxh3_64_intdigest(low) | 1)
         self.kinds.append(kind)
         self.units.append(xxhash.xxh3_64_intdigest(unit.encode()) | 1 if unit else 0)
-        self.ends.append(bool(_END.search(word)))
-        self.stops.append(bool(_STOP.search(word)))
+        self.ends.append(end)
+        self.stops.append(stop)
         return at
 
     def start(self) -> None:
         if len(self.values) > MEMO_WORDS:
-            self.clear()
-            self.values, self.kinds, self.units, self.ends, self.stops = [], [], [], [], []
+            self._empty()
 
     def numbers(self, text: bytes) -> np.ndarray:
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def table(self) -> tuple[np.ndarray, ...]:
-        return (
-            np.array(self.values, np.uint64),
-            np.array(self.kinds, np.int8),
-            np.array(self.units, np.uint64),
-            np.array(self.ends, bool),
-            np.array(self.stops, bool),
-        )
+        """The words' properties as arrays; only new words are added to those of the call before."""
+        old = len(self.arrays[0])
+        lists = (self.values, self.kinds, self.units, self.ends, self.stops)
+        self.arrays = tuple(np.r_[a, np.array(new[old:], a.dtype)] for a, new in zip(self.arrays, lists))
+        return self.arrays
 
 
 Form = tuple[np.ndarray, np.ndarray]
@@ -219,6 +235,20 @@ def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys & mask).astype(np.int64), ((keys >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and texts of a batch, ``SLICE`` bytes or one text at a time."""
+    docs, data, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+        docs.append(doc)
+        data.append(text or b"")
+        size += len(data[-1])
+        if size >= SLICE:
+            yield docs, data
+            docs, data, size = [], [], 0
+    if docs:
+        yield docs, data
+
+
 def _doc_windows(filters, sizes):
     """Windows of documents that the benchmark may hold.
 
@@ -234,27 +264,43 @@ def _doc_windows(filters, sizes):
             for probe in _probes(np.frombuffer(filters.value, np.uint64)):
                 seen[probe] = True
         for batch in batches:
-            memo.start()
-            ats = [memo.numbers(t or b"") for t in texts(batch.column(1))]
-            table = memo.table()
-            docs, places, found, slots_out = [], [], [], []
-            for doc, at in zip(batch.column(0).to_pylist(), ats):
-                forms = canonical(at, table)
-                for form, size in sizes:
-                    tokens, slots = forms[form]
-                    if len(tokens) < size:
-                        continue
-                    keys = _keys(form, tokens, size)
-                    hit = np.arange(len(keys))
-                    if seen is not None:
-                        one, two = _probes(keys)
-                        hit = np.flatnonzero(seen[one] & seen[two])
-                    for i in hit.tolist():
-                        docs.append(doc)
-                        places.append(i)
-                        found.append(int(keys[i : i + 1].view(np.int64)[0]))
-                        slots_out.append(_as_signed(slots[i : i + size]).tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": docs, "at": places, "key": found, "slots": slots_out}, _DOC_ARROW)
+            for docs, data in _slices(batch):
+                memo.start()
+                ats = [memo.numbers(t) for t in data]
+                table = memo.table()
+                counts, places, found, slots_out, lengths = [], [], [], [], []
+                for at in ats:
+                    forms = canonical(at, table)
+                    hits = 0
+                    for form, size in sizes:
+                        tokens, slots = forms[form]
+                        if len(tokens) < size:
+                            continue
+                        keys = _keys(form, tokens, size)
+                        hit = np.arange(len(keys))
+                        if seen is not None:
+                            one, two = _probes(keys)
+                            hit = np.flatnonzero(seen[one])
+                            hit = hit[seen[two[hit]]]
+                        if len(hit):
+                            hits += len(hit)
+                            places.append(hit)
+                            found.append(_as_signed(keys[hit]))
+                            slots_out.append(np.lib.stride_tricks.sliding_window_view(_as_signed(slots), size)[hit].ravel())
+                            lengths.append(np.full(len(hit), size, np.int32))
+                    counts.append(hits)
+                if not places:
+                    continue
+                offsets = np.r_[np.int32(0), np.cumsum(np.concatenate(lengths), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
+                        pa.array(np.concatenate(places), pa.int64()),
+                        pa.array(np.concatenate(found)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots_out))),
+                    ],
+                    schema=_DOC_ARROW,
+                )
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 
+from ledger_spark.llm import templates as t
 from ledger_spark.llm.templates import leaked_items, without_leaks
 
 FOLDER = "/root/testdata/sf0.01"
@@ -95,3 +96,23 @@ def test_whole_tables_against_plain_search(spark):
     kept = without_leaks(docs, items)
     assert kept.columns == docs.columns
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()} - {d for d, _ in want}
+
+
+def test_plain_words_are_read_like_all_others(monkeypatch):
+    """The short way for small letters gives what the general one gives."""
+    words = "the one, kg. word word. word, word; word: word?! word... éa Word wor-d word's (word word) x2 5kg hundred".encode().split()
+    short = t.Canonical()
+    numbers = [short.numbers(b" ".join(words))]
+    monkeypatch.setattr(t, "_LISTED", frozenset(w.decode().rstrip(".,;:!?").lower() for w in words))
+    general = t.Canonical()
+    numbers.append(general.numbers(b" ".join(words)))
+    assert (numbers[0] == numbers[1]).all()
+    assert all((a == b).all() for a, b in zip(short.table(), general.table()))
+
+
+def test_slices_give_the_same_result(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    whole = sorted(map(tuple, t.leaked_items(docs, items).collect()))
+    monkeypatch.setattr(t, "SLICE", 3000)
+    monkeypatch.setattr(t, "MEMO_WORDS", 200)
+    assert sorted(map(tuple, t.leaked_items(docs, items).collect())) == whole and whole
