@@ -39,7 +39,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Columns ``id`` and ``component`` (smallest id reachable) of all linked ids.
 
     ``links`` has bigint columns ``a`` and ``b``. Each partition first shrinks
@@ -52,7 +52,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     forest = clean.mapInArrow(_forest, _ENDS).filter("a <> b")
     both = stage(forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = labels.select(F.col("id").alias("b"), "component")
         heard = both.join(near, "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
         told = labels.join(heard, "id").select(
@@ -66,4 +66,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("id", "component")
         if moved.filter("before <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components still change after {max_rounds} rounds")

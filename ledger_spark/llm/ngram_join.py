@@ -14,14 +14,16 @@ multiplied:
    that the remaining columns can add, stays below the size-derived bound are
    discarded.
 4. A large column first compares its rows with one pivot row only. Rows that are
-   thereby connected need no further comparison. Pairs that are still in
-   different components are multiplied in blocks of bounded size: each row brings
-   a bitmap of its columns, and bits in which two bitmaps differ are columns that
-   the rows do not share, which bounds the overlap from above.
+   thereby connected need no further comparison. Columns whose rows are still in
+   different components are taken together where they share rows, so that each
+   row comes once, with its whole set. Such a group is multiplied in blocks of
+   bounded size, inside tasks: a bitmap of each row's columns bounds the overlap of
+   two rows from above, then the sets are compared. A block keeps a forest of what
+   it has linked and gives out the links of the forest only, fewer than its rows.
 5. Remaining pairs get their exact overlap from the whole rows.
 
 Links within one component that are not needed to connect it are never
-enumerated, so a group of thousands of near copies costs about its size.
+given out, so a group of thousands of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm.graph import components
-from ledger_spark.llm.hashing import WordHashes, shingles, texts
+from ledger_spark.llm.hashing import WordHashes, mix, shingles, texts
 from ledger_spark.staging import stage
 
 # Counters of the column sketch (a power of two) and rows in which it travels.
@@ -50,9 +52,9 @@ EVEN = 8
 # Candidate ids up to this number are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
-# Bits of a row's bitmap, and rows of one block of a large column.
+# Bits of a row's bitmap, and rows of one block of a group.
 BITMAP = 2048
-BLOCK = 4096
+BLOCK = 2048
 
 # A key holds the level in its upper 7 bits: four levels for each doubling of the count.
 _LEVELS = 4
@@ -264,8 +266,8 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     A null or blank text has an empty set and no links. Rows without doc_id come
     back with their set size and a null component. Rows that repeat a doc_id are
     separate rows of one document: they share the smallest of their components.
-    An empty table gives an empty result. Sets are compared by 64-bit hashes of
-    their n-grams (58 bits for overlaps).
+    An empty table gives an empty result; a text of any length takes part whole.
+    Sets are compared by 64-bit hashes of their n-grams (58 bits for overlaps).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -306,19 +308,28 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     links = stage(_verified(docs, pairs, n, percent, shared), "links")
     found = components(links)
 
-    for turn in (1, 2):
-        wide = _undecided(wide, found)
-        if wide is None:
-            break
-        more = _with_pivot(wide, percent, turn).distinct() if turn == 1 else _across(wide, reps, percent)
-        more = stage(more, "pairs")
-        if more.isEmpty():
-            continue
+    wide = _undecided(wide, found)
+    if wide is not None:
+        more = stage(_with_pivot(wide, percent, 1).distinct(), "pairs")
         links = stage(links.union(_verified(docs, more, n, percent, shared)), "links")
         found = components(links)
+        wide = _undecided(wide, found)
+    turn = 0
+    while wide is not None:
+        more = stage(_within_groups(docs, wide, n, percent, shared, turn), "pairs")
+        right = stage(_verified(docs, more, n, percent, shared).distinct(), "right")
+        links = stage(links.union(right), "links")
+        found = components(links)
+        if right.count() == more.count():
+            break
+        # shortened hashes took a pair for linked that is not: again with other bits
+        wide, turn = _undecided(wide, found), turn + 1
 
     named = reps.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
-    joined = rows.select("doc_id", F.col("size").alias("n_shingles"), "set").join(named, "set", "left")
+    # rows without a set are linked with nothing and would all meet in one task
+    linked = rows.filter("set IS NOT NULL").select("doc_id", F.col("size").alias("n_shingles"), "set").join(named, "set", "left")
+    alone = rows.filter("set IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    joined = linked.drop("set").unionByName(alone)
     whole = joined.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
@@ -347,58 +358,97 @@ def _undecided(wide: DataFrame, found: DataFrame) -> DataFrame | None:
     return None if wide.isEmpty() else wide
 
 
-def _across(wide: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows of different components that share a large column and may link.
+def _within_groups(docs: DataFrame, wide: DataFrame, n: int, percent: int, levels, turn: int) -> DataFrame:
+    """Links that join rows of different components in undecided columns, most likely right.
 
-    A column's rows are dealt over blocks of about ``BLOCK`` rows, and a row goes
-    to every pair of blocks that has its own; one pair of blocks is multiplied at
-    a time.
+    Undecided columns that share rows form a group. A group's rows are dealt over
+    blocks of about ``BLOCK`` rows, and a row goes to every pair of blocks that has
+    its own; one pair of blocks is multiplied at a time. Sets travel as 32 bits of
+    each column's hash, other ones in each ``turn``: that may take two rows for
+    more alike than they are, never for less.
     """
-    rows = wide.join(reps.select("id", "bits"), "id")
-    counts = wide.groupBy("col").agg(F.count("*").alias("n"))
-    rows = rows.join(counts, "col").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
+    first = wide.groupBy("col").agg(F.min("id").alias("b"))
+    links = wide.join(first, "col").select(F.col("id").alias("a"), "b")
+    group = components(links).withColumnRenamed("component", "group")
+    members = stage(wide.select("id", "component").distinct().join(group, "id"), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        for batch in batches:
+            keys = [_columns(text or b"", n, memo, order) for text in texts(batch.column(1))]
+            short = [np.unique(mix(k + np.uint64(turn)).astype(np.uint32)).tobytes() for k in keys]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "id": batch.column(0),
+                    "size": pa.array([len(k) for k in keys], pa.int64()),
+                    "bits": pa.array([bitmap(k) for k in keys], pa.binary()),
+                    "cols": pa.array(short, pa.binary()),
+                }
+            )
+
+    # a repeated id brings each of its texts
+    held = only_ids(docs, stage(members.select(F.col("id").alias("doc_id")), "ids"))
+    whole = held.mapInArrow(sets, "id bigint, size bigint, bits binary, cols binary").filter("size > 0").distinct()
+    rows = members.join(whole, "id")
+    counts = members.groupBy("group").agg(F.count("*").alias("n"))
+    rows = rows.join(counts, "group").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    rows = rows.select("col", "lo", "hi", "own", "size", "id", "component", "bits")
-    rows = rows.repartition("col", "lo", "hi").sortWithinPartitions("col", "lo", "hi", "size", "id")
-    return rows.mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
+    rows = rows.select("group", "lo", "hi", "own", "size", "id", "component", "bits", "cols")
+    rows = rows.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "size", "id")
+    return rows.mapInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+
 
+def _block_links(percent: int):
+    """The links of a forest over the rows of each pair of blocks."""
 
-def _block_pairs(percent: int):
-    def multiply(held: list[np.ndarray], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def multiply(held: list[np.ndarray], bits: np.ndarray, cols: list[bytes]) -> Iterator[pa.RecordBatch]:
         _, lo, hi, own, size, ids, component = held
+        # rows that are known to be linked have one label
+        label = np.unique(component, return_inverse=True)[1]
+        sets = [np.frombuffer(c, np.uint32) for c in cols]
+        left, right = [], []
         for i in range(len(ids) - 1):
             # sizes ascend, so the rows that are not too large follow directly
             end = np.searchsorted(size, size[i] * 100 // percent, "right")
             j = np.arange(i + 1, max(end, i + 1))
-            j = j[component[j] != component[i]]
+            j = j[label[j] != label[i]]
             if lo[i] != hi[i]:
                 j = j[own[j] != own[i]]
             if not len(j):
                 continue
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            total = size[j] + size[i]
-            need = -(-percent * total // (100 + percent))
-            j = j[apart <= total - 2 * need]
-            if len(j):
-                a, b = np.full(len(j), ids[i]), ids[j]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            need = -(-percent * (size[j] + size[i]) // (100 + percent))
+            likely = apart <= size[j] + size[i] - 2 * need
+            for k, least in zip(j[likely].tolist(), need[likely].tolist()):
+                if label[k] == label[i]:
+                    continue
+                # shared columns whose shortened hashes are equal count once
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True)) + size[i] - len(sets[i])
+                if both >= least:
+                    label[label == label[k]] = label[i]
+                    left.append(min(ids[i], ids[k]))
+                    right.append(max(ids[i], ids[k]))
+        if left:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = [np.zeros(0, np.int64)] * 7, np.zeros((0, BITMAP // 64), np.uint64)
+        held, bits, cols = [np.zeros(0, np.int64)] * 7, np.zeros((0, BITMAP // 64), np.uint64), []
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
             more = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
             held, bits = [np.concatenate(x) for x in zip(held, now)], np.concatenate([bits, more])
+            cols += batch.column(8).to_pylist()
             new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
             starts = np.r_[0, new]
             for x, y in zip(starts, new):
-                yield from multiply([h[x:y] for h in held], bits[x:y])
-            held, bits = [h[starts[-1] :] for h in held], bits[starts[-1] :]
-        yield from multiply(held, bits)
+                yield from multiply([h[x:y] for h in held], bits[x:y], cols[x:y])
+            held, bits, cols = [h[starts[-1] :] for h in held], bits[starts[-1] :], cols[starts[-1] :]
+        if len(held[0]):
+            yield from multiply(held, bits, cols)
 
     return run
 

@@ -6,7 +6,9 @@ import random
 
 import pytest
 
+from ledger_spark.llm import ngram_join as nj
 from ledger_spark.llm.ngram_join import ngram_components
+from ledger_spark.staging import stage
 from tests.llm.brute import jaccard_components
 
 
@@ -66,3 +68,69 @@ def test_rows_of_one_document_are_linked(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "p q r s t"), (3, "p q r s t"), (4, "u v w x y")]
     got = {r[0]: r[2] for r in ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def all_large(monkeypatch, block):
+    for name, value in (("SMALL_COLUMN", 2), ("LARGE_COUNT", 8), ("EVEN", 0), ("BLOCK", block)):
+        monkeypatch.setattr(f"ledger_spark.llm.ngram_join.{name}", value)
+
+
+def brought_out(monkeypatch):
+    """Links that blocks give out, and rows that they take in."""
+    found, whole = [], nj._within_groups
+
+    def watched(*given):
+        out = stage(whole(*given), "watched")
+        found.append((out.count(), given[1].select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(nj, "_within_groups", watched)
+    return found
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_large_columns_whose_rows_are_not_linked(spark, monkeypatch, block):
+    """Texts that share most of a long passage, but too little to be linked."""
+    all_large(monkeypatch, block)
+    found = brought_out(monkeypatch)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        words = list(passage)
+        for _ in range(rng.choice([1, 2, 3, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, 3, 88).collect()}
+    assert got == jaccard_components(rows, 3, 88)
+    assert len({c for _, c in got.values()}) > 40
+    assert found and all(links <= taken * max(1, -(-240 // block)) for links, taken in found)
+
+
+def test_a_chain_of_documents(spark, monkeypatch):
+    """Each text is like the next one only."""
+    all_large(monkeypatch, 64)
+    words = [f"w{i}" for i in range(260)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(200)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r[2] for r in ngram_components(docs, 4, 90).collect()} == {0}
+
+
+def test_a_wrong_link_is_found_again(spark, monkeypatch):
+    """Shortened hashes that make everything look alike in the first turn."""
+    all_large(monkeypatch, 2048)
+    true, seen = nj._verified, []
+
+    def doubting(docs, pairs, *more):
+        seen.append(pairs.count())
+        out = true(docs, pairs, *more)
+        # the first links of the blocks are taken for wrong ones
+        return out.limit(0) if len(seen) == 3 else out
+
+    monkeypatch.setattr(nj, "_verified", doubting)
+    rows = list(enumerate(texts_with_copies(7, 200)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, 3, 70).collect()}
+    assert got == jaccard_components(rows, 3, 70) and len(seen) > 3
