@@ -13,7 +13,7 @@ a collision can only add a candidate; the last pass counts the words themselves.
 Candidates travel to the tasks as a bitmap of bounded size, which may also let a
 sequence pass in vain but never holds one back.
 
-Tasks count blocks of a quarter of a million words at a time: words get block-local
+Tasks count blocks of half a million words at a time: words get block-local
 numbers, a sequence becomes three numbers of 21 bits in one integer, and only
 different sequences leave the block.
 """
@@ -35,7 +35,7 @@ from ledger_spark.staging import stage
 # Shards mined at lower support. Below ``least``, so that one occurrence is not enough.
 SHARDS = 4
 # Words counted at once; below 2^20, so that their numbers fit 21 bits.
-BLOCK = 250_000
+BLOCK = 500_000
 # Bits of the candidate bitmap: for each candidate, and at most (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
@@ -62,16 +62,18 @@ def marked_words(text: bytes) -> list[bytes]:
 
 
 class _Numbers(dict):
-    """Numbers of one language's words within a block, from 1."""
+    """Numbers of one language's words within a block, from 1.
 
-    def __init__(self, block: Block, language: str):
+    It knows the block's words but not the block, so that a block is freed at once.
+    """
+
+    def __init__(self, words: list[tuple[str, bytes]], language: str):
         self[_MARK] = 0
-        self.block, self.language = block, language
+        self.words, self.language = words, language
 
     def __missing__(self, word: bytes) -> int:
-        words = self.block.words
-        words.append((self.language, word))
-        number = self[word] = len(words)
+        self.words.append((self.language, word))
+        number = self[word] = len(self.words)
         return number
 
 
@@ -84,12 +86,11 @@ class Block:
         self.parts: list[np.ndarray] = []
         self.firsts: list[np.ndarray] = []
         self.size = 0
-        self.values: np.ndarray | None = None
 
     def add(self, language: str, words: list[bytes], firsts: int) -> None:
         """Add words, of which only the first ``firsts`` begin sequences."""
         if language not in self.numbers:
-            self.numbers[language] = _Numbers(self, language)
+            self.numbers[language] = _Numbers(self.words, language)
         number = self.numbers[language].__getitem__
         self.parts.append(np.fromiter(map(number, words), np.int64, len(words)))
         self.parts.append(np.zeros(_LONGEST - 1, np.int64))
@@ -98,31 +99,32 @@ class Block:
         self.firsts.append(begin)
         self.size += firsts
 
-    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different sequences of one to three words as packed numbers, and how often each occurs."""
+    def columns(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All word numbers, and where a sequence of one, two and three words begins."""
         numbers = np.concatenate(self.parts)
-        last = len(numbers) - (_LONGEST - 1)
-        numbers_at = [numbers[i : last + i] for i in range(_LONGEST)]
-        going = np.concatenate(self.firsts)[:last]
-        packed, found = np.zeros(last, np.int64), []
-        for i, following in enumerate(numbers_at):
-            going = going & (following > 0)
-            packed = packed | following << _WIDTH * (_LONGEST - 1 - i)
-            found.append(packed[going])
-        return np.unique(np.concatenate(found), return_counts=True)
-
-    def hashes(self, packed: np.ndarray, start: int = 0, length: int = _LONGEST) -> np.ndarray:
-        """Hash of the words ``start`` to ``start + length`` of each packed sequence, and its language."""
-        if self.values is None:
-            seeds = {name: xxhash.xxh3_64_intdigest(name.encode()) for name in self.numbers}
-            own = (xxhash.xxh3_64_intdigest(word, seeds[name]) for name, word in self.words)
-            self.values = np.fromiter(own, np.uint64, len(self.words))
-        values, total = self.values, np.zeros(len(packed), np.uint64)
-        for i in range(start, start + length):
-            number = unpacked(packed, i)
-            there = number > 0
-            total[there] = mix(total[there] * _JOIN + values[number[there] - 1])
-        return total
+        going, begins = np.concatenate(self.firsts), []
+        for i in range(_LONGEST):
+            following = np.zeros(len(numbers), bool)
+            following[: len(numbers) - i] = numbers[i:] > 0
+            going = going & following
+            begins.append(going)
+        return numbers, begins
+
+    def word_hashes(self) -> np.ndarray:
+        """Hash of each word and its language, by number; number 0 is no word."""
+        seeds = {name: xxhash.xxh3_64_intdigest(name.encode()) for name in self.numbers}
+        own = (xxhash.xxh3_64_intdigest(word, seeds[name]) for name, word in self.words)
+        return np.r_[np.uint64(0), mix(np.fromiter(own, np.uint64, len(self.words)))]
+
+
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of a sequence and of the word behind it."""
+    return mix(first[: len(second)] * _JOIN + second)
+
+
+def _packed(numbers: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The words of the sequences that begin at ``at``, in one integer each."""
+    return sum(numbers[at + i] << _WIDTH * (_LONGEST - 1 - i) for i in range(length))
 
 
 def unpacked(packed: np.ndarray, place: int) -> np.ndarray:
@@ -201,32 +203,49 @@ def _mined(shards: int, pairs=None):
         known = Bitmap(pairs.value) if pairs else None
         shard = TaskContext.get().partitionId() % shards
         for block in _blocks(batches):
-            packed, counts = block.sequences()
-            three = unpacked(packed, _LONGEST - 1) > 0
-            wanted = three if known else ~three
-            packed, counts = packed[wanted], counts[wanted]
+            numbers, begins = block.columns()
+            words = block.word_hashes()
+            one = words[numbers]
+            two = joined(one, one[1:])
             if known:
-                wanted = known.has(block.hashes(packed, 0, 2)) & known.has(block.hashes(packed, 1, 2))
-                packed, counts = packed[wanted], counts[wanted]
-            hashes = block.hashes(packed).view(np.int64)
+                at = np.flatnonzero(begins[2])
+                at = at[known.has(two[at])]
+                at = at[known.has(two[at + 1])]
+                hashes, counts = np.unique(mix(two[at] * _JOIN + one[at + 2]), return_counts=True)
+            else:
+                single = np.bincount(numbers[begins[0]], minlength=len(words))
+                hashes, counts = np.unique(two[np.flatnonzero(begins[1])], return_counts=True)
+                hashes, counts = np.r_[words[1:], hashes], np.r_[single[1:], counts]
+                hashes, counts = hashes[counts > 0], counts[counts > 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes), pa.array(counts)], ["shard", "hash", "n"]
+                [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
+                ["shard", "hash", "n"],
             )
 
     return run
 
 
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
 def _counted(candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Bitmap(c.value) for c in candidates]
+        short, long = (Bitmap(c.value) for c in candidates)
         for block in _blocks(batches):
-            packed, counts = block.sequences()
-            hashes = block.hashes(packed)
-            wanted = np.logical_or.reduce([k.has(hashes) for k in known])
-            numbers = [unpacked(packed[wanted], i).tolist() for i in range(_LONGEST)]
+            numbers, begins = block.columns()
+            hashes = [block.word_hashes()[numbers]]
+            hashes += [joined(hashes[0], hashes[0][1:])]
+            hashes += [joined(hashes[1], hashes[0][2:])]
+            found = []
+            for length, known in ((1, short), (2, short), (3, long)):
+                at = np.flatnonzero(begins[length - 1])
+                at = at[known.has(hashes[length - 1][at])]
+                found.append(_packed(numbers, at, length))
+            packed, counts = np.unique(np.concatenate(found), return_counts=True)
+            numbers_of = [unpacked(packed, i).tolist() for i in range(_LONGEST)]
             words = [(None, None), *block.words]
             languages, phrases = [], []
-            for a, b, c in zip(*numbers):
+            for a, b, c in zip(*numbers_of):
                 language, phrase = words[a]
                 if b:
                     phrase += b" " + words[b][1]
@@ -234,25 +253,18 @@ def _counted(candidates):
                     phrase += b" " + words[c][1]
                 languages.append(language)
                 phrases.append(phrase)
-            lengths = sum((np.array(n, np.int64) > 0).astype(np.int32) for n in numbers)
+            lengths = sum((np.array(n, np.int64) > 0).astype(np.int32) for n in numbers_of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(languages, pa.string()), pa.array(phrases, pa.string()), pa.array(lengths), pa.array(counts[wanted])],
-                ["lang", "phrase", "words", "n"],
+                [pa.array(languages, pa.string()), pa.array(phrases, pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())],
+                schema=_COUNTS,
             )
             # all words of a language, as a sequence of none
-            single = unpacked(packed, 1) == 0
-            owner = [block.words[i - 1][0] for i in unpacked(packed[single], 0).tolist()]
+            single = np.bincount(numbers[begins[0]], minlength=len(words))
             totals: dict[str, int] = {}
-            for name, count in zip(owner, counts[single].tolist()):
+            for (name, _), count in zip(block.words, single[1:].tolist()):
                 totals[name] = totals.get(name, 0) + count
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(totals), pa.string()),
-                    pa.array([""] * len(totals), pa.string()),
-                    pa.array(np.zeros(len(totals), np.int32)),
-                    pa.array(list(totals.values()), pa.int64()),
-                ],
-                ["lang", "phrase", "words", "n"],
+            yield pa.RecordBatch.from_pydict(
+                {"lang": list(totals), "phrase": [""] * len(totals), "words": [0] * len(totals), "n": list(totals.values())}, _COUNTS
             )
 
     return run
