@@ -13,7 +13,7 @@ a collision can only add a candidate; the last pass counts the words themselves.
 Candidates travel to the tasks as a bitmap of bounded size, which may also let a
 sequence pass in vain but never holds one back.
 
-Tasks count blocks of half a million words at a time: words get block-local
+Tasks count blocks of a million words at a time: words get block-local
 numbers, a sequence becomes three numbers of 21 bits in one integer, and only
 different sequences leave the block.
 """
@@ -35,7 +35,7 @@ from ledger_spark.staging import stage
 # Shards mined at lower support. Below ``least``, so that one occurrence is not enough.
 SHARDS = 4
 # Words counted at once; below 2^20, so that their numbers fit 21 bits.
-BLOCK = 500_000
+BLOCK = 1_000_000
 # Bits of the candidate bitmap: for each candidate, and at most (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
@@ -225,47 +225,40 @@ def _mined(shards: int, pairs=None):
     return run
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+def _counted(candidates):
+    """Exact counts of candidates and, as sequences of no words, of all words of a language.
 
+    A sequence and its language are one value, parted by a line end, which no word holds.
+    """
 
-def _counted(candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = (Bitmap(c.value) for c in candidates)
         for block in _blocks(batches):
             numbers, begins = block.columns()
-            hashes = [block.word_hashes()[numbers]]
-            hashes += [joined(hashes[0], hashes[0][1:])]
-            hashes += [joined(hashes[1], hashes[0][2:])]
-            found = []
-            for length, known in ((1, short), (2, short), (3, long)):
+            one = block.word_hashes()[numbers]
+            two = joined(one, one[1:])
+            three = joined(two, one[2:])
+            text = [b"", *(word for _, word in block.words)]
+            tail = [b"", *(b"\n" + name.encode() for name, _ in block.words)]
+            phrases, counts = [], []
+            for length, known, hashes in ((1, short, one), (2, short, two), (3, long, three)):
                 at = np.flatnonzero(begins[length - 1])
-                at = at[known.has(hashes[length - 1][at])]
-                found.append(_packed(numbers, at, length))
-            packed, counts = np.unique(np.concatenate(found), return_counts=True)
-            numbers_of = [unpacked(packed, i).tolist() for i in range(_LONGEST)]
-            words = [(None, None), *block.words]
-            languages, phrases = [], []
-            for a, b, c in zip(*numbers_of):
-                language, phrase = words[a]
-                if b:
-                    phrase += b" " + words[b][1]
-                if c:
-                    phrase += b" " + words[c][1]
-                languages.append(language)
-                phrases.append(phrase)
-            lengths = sum((np.array(n, np.int64) > 0).astype(np.int32) for n in numbers_of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(languages, pa.string()), pa.array(phrases, pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())],
-                schema=_COUNTS,
-            )
-            # all words of a language, as a sequence of none
-            single = np.bincount(numbers[begins[0]], minlength=len(words))
-            totals: dict[str, int] = {}
-            for (name, _), count in zip(block.words, single[1:].tolist()):
+                at = at[known.has(hashes[at])]
+                packed, n = np.unique(_packed(numbers, at, length), return_counts=True)
+                a, b, c = (unpacked(packed, i).tolist() for i in range(_LONGEST))
+                if length == 1:
+                    phrases += [text[x] + tail[x] for x in a]
+                elif length == 2:
+                    phrases += [b"%b %b%b" % (text[x], text[y], tail[x]) for x, y in zip(a, b)]
+                else:
+                    phrases += [b"%b %b %b%b" % (text[x], text[y], text[z], tail[x]) for x, y, z in zip(a, b, c)]
+                counts.append(n)
+            single = np.bincount(numbers[begins[0]], minlength=len(text))
+            totals: dict[bytes, int] = {}
+            for name, count in zip(tail[1:], single[1:].tolist()):
                 totals[name] = totals.get(name, 0) + count
-            yield pa.RecordBatch.from_pydict(
-                {"lang": list(totals), "phrase": [""] * len(totals), "words": [0] * len(totals), "n": list(totals.values())}, _COUNTS
-            )
+            counted = pa.array(np.concatenate([*counts, np.fromiter(totals.values(), np.int64, len(totals))]))
+            yield pa.RecordBatch.from_arrays([pa.array([*phrases, *totals], pa.string()), counted], ["entry", "n"])
 
     return run
 
@@ -287,9 +280,14 @@ def frequent_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> DataF
         counted = local.groupBy("shard", "hash").agg(F.sum("n").alias("n"))
         kept = stage(counted.filter(F.col("n") >= enough).select("hash"), "candidates")
         candidates.append(spark.sparkContext.broadcast(bitmap_of(kept)))
-    found = rows.mapInArrow(_counted(candidates), "lang string, phrase string, words int, n bigint")
-    total = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    result = stage(total.filter((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    found = rows.mapInArrow(_counted(candidates), "entry string, n bigint")
+    total = found.groupBy("entry").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("entry", "\n", 1)
+    words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))
+    total = total.filter((F.col("n") >= least) | F.startswith("entry", F.lit("\n"))).select(
+        F.expr("substr(entry, instr(entry, '\n') + 1)").alias("lang"), phrase.alias("phrase"), words.alias("words"), "n"
+    )
+    result = stage(total, "phrases")
     for candidate in candidates:
         candidate.unpersist()
     return result
