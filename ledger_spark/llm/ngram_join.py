@@ -52,6 +52,9 @@ EVEN = 8
 # Candidate ids up to this number are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
+# Rows whose columns a task handles, and gives out, at once.
+OUT_ROWS = 500
+
 # Bits of a row's bitmap, and rows of one block of a group.
 BITMAP = 2048
 BLOCK = 2048
@@ -65,9 +68,9 @@ _LOW = np.uint64((1 << _SHIFT) - 1)
 def _count_columns(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            found = [shingles(text or b"", n, memo) for text in texts(batch.column(0))]
-            if found:
+        for whole in batches:
+            for at in range(0, whole.num_rows, OUT_ROWS):
+                found = [shingles(text or b"", n, memo) for text in texts(whole.column(0).slice(at, OUT_ROWS))]
                 slots = (np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64)
                 counts += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
         parts = counts.reshape(SKETCH_ROWS, -1)
@@ -127,7 +130,7 @@ def required(size: int, percent: int) -> int:
 def _rows(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
             sizes, sets, firsts, maps = [], [], [], []
             for text in texts(batch.column(1)):
                 keys = _columns(text or b"", n, memo, order)
@@ -149,12 +152,13 @@ def _rows(n: int, percent: int, levels):
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sizes = batch.column(1).to_numpy(zero_copy_only=False)
-        parts = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(2)]
-        lengths = [len(p) for p in parts]
-        if parts:
+    for whole in batches:
+        for at in range(0, whole.num_rows, OUT_ROWS):
+            batch = whole.slice(at, OUT_ROWS)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            sizes = batch.column(1).to_numpy(zero_copy_only=False)
+            parts = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(2)]
+            lengths = [len(p) for p in parts]
             yield pa.RecordBatch.from_pydict(
                 {
                     "col": pa.array(np.concatenate(parts)),
@@ -164,7 +168,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-
 def _products(percent: int, small: int):
     """Row pairs of small columns; entries of larger columns pass on.
 
@@ -374,7 +377,7 @@ def _within_groups(docs: DataFrame, wide: DataFrame, n: int, percent: int, level
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
             keys = [_columns(text or b"", n, memo, order) for text in texts(batch.column(1))]
             short = [np.unique(mix(k + np.uint64(turn)).astype(np.uint32)).tobytes() for k in keys]
             yield pa.RecordBatch.from_pydict(
@@ -459,7 +462,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, levels) -
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
             found = [_columns(text or b"", n, memo, order).tobytes() for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cols": pa.array(found, pa.binary())})
 
