@@ -6,8 +6,8 @@ score. Forward-backward gives each line's probability of being good, and the
 mean weighted by line length, calibrated on the training rows, is the document's
 score.
 
-The model is fitted on the driver from a bounded sample of labelled documents
-(``TRAIN_DOCS`` documents, the first ``TRAIN_LINES`` lines of each). Scoring
+The model is fitted on the driver from a bounded sample of whole labelled
+documents (``TRAIN_DOCS`` documents with ``TRAIN_LINES`` lines in all). Scoring
 reads every line of every document, in one pass without a shuffle.
 """
 
@@ -23,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm.hashing import texts
+from ledger_spark.staging import stage
 
+# Bounds of the training sample: whole documents, and the lines that all of them hold.
 TRAIN_DOCS = 3_000
-TRAIN_LINES = 48
+TRAIN_LINES = 300_000
+# Lines of a training chain; longer documents are trained on as several chains.
+CHAIN = 48
 STEPS = 120
 RATE = 0.15
 PENALTY = 1e-3
@@ -156,19 +160,22 @@ def fit(lines: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model
 
     After half the steps the lines of bad documents that look good with more
     than even odds are taken as good, because such documents also hold ordinary
-    lines. With labels of one kind only, every score is that label; without
-    labels it is 1.
+    lines. A long text is trained on in chains of ``CHAIN`` lines, which leaves
+    out only the ties between two chains; the calibration sees each text as one.
+    With labels of one kind only, every score is that label; without labels it
+    is 1.
     """
     ties = np.zeros((2, 2))
     if len(set(labels.tolist())) < 2:
         return Model(None, ties, 0.0, float(labels[0]) if len(labels) else 1.0)
-    sizes = np.array([len(own) for own, _ in lines])
-    order = np.argsort(-sizes, kind="stable")
-    sizes, labels = sizes[order], labels[order]
-    lines = [lines[i] for i in order]
-    x = np.concatenate([with_neighbours(own) for own, _ in lines])
-    length = np.concatenate([n for _, n in lines]).astype(float)
-    bad = np.repeat(labels == 0, sizes)
+    chains = []
+    for (own, _), label in zip(lines, labels):
+        full = with_neighbours(own)
+        chains += [(full[at : at + CHAIN], label) for at in range(0, len(full), CHAIN)]
+    chains.sort(key=lambda chain: -len(chain[0]))
+    sizes = np.array([len(full) for full, _ in chains])
+    x = np.concatenate([full for full, _ in chains])
+    bad = np.repeat([label == 0 for _, label in chains], sizes)
     y = 1.0 - bad
     inner = np.ones(len(y), bool)
     inner[np.cumsum(sizes) - 1] = False
@@ -211,8 +218,8 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         own, length = [], []
         for text in texts(batch.column(1)):
             features, sizes = line_features(text or b"")
-            own.append(features[:TRAIN_LINES].tobytes())
-            length.append(sizes[:TRAIN_LINES].tobytes())
+            own.append(features.tobytes())
+            length.append(sizes.tobytes())
         yield pa.RecordBatch.from_pydict(
             {
                 "quality": batch.column(0),
@@ -223,13 +230,27 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most ``TRAIN_DOCS`` labelled documents, picked by the hash of their id."""
+    """Fit on whole labelled documents, taken in the order of the hash of their id.
+
+    At most ``TRAIN_DOCS`` documents, and of these as many as hold ``TRAIN_LINES``
+    lines together. Of several rows with one id the smallest text is taken.
+    """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     usable = usable.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text", "doc_id")
-    found = rows.select("quality", "text").mapInArrow(_training_lines, "quality int, own binary, length binary")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = stage(rows.withColumn("lines", breaks + 1).withColumn("turn", F.xxhash64("doc_id")), "training")
+    # one number per sampled document
+    chosen, left = [], TRAIN_LINES
+    for doc, size in rows.orderBy("turn", "doc_id").select("doc_id", "lines").collect():
+        if size <= left:
+            chosen.append(doc)
+            left -= size
+    rows = rows.filter(F.col("doc_id").isin(chosen)).select("quality", "text")
+    found = rows.mapInArrow(_training_lines, "quality int, own binary, length binary")
     found = sorted(((r["quality"], bytes(r["own"]), bytes(r["length"])) for r in found.collect()))
     lines = [(np.frombuffer(o, np.float32).reshape(-1, OWN), np.frombuffer(n, np.float32)) for _, o, n in found]
     return fit(lines, np.array([q for q, _, _ in found], float))
@@ -242,7 +263,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``quality`` (0 or 1; other values are ignored, of several labels of one
     document the lowest counts). One row per input row: ``doc_id``, ``held_out``
     (False without id), ``score`` (0 to 1, higher is better) and ``predicted``
-    (1 from 0.3). A null text is scored as an empty one, which is one blank line.
+    (1 from 0.3). A null text is scored as an empty one, which is one blank line;
+    long texts are scored whole. Repeated rows get the same score each. An empty
+    table gives no rows, and without usable labels every score is 1. Other
+    columns of ``docs``, whatever their names, are ignored.
     """
     model = train(docs, labels)
 
@@ -264,7 +288,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose predicted quality is 1."""
+    """Rows of ``docs``, with all their columns, whose predicted quality is 1.
+
+    Nulls, empty and long texts, repeated rows and missing labels as in
+    ``quality_scores``; an empty table stays empty.
+    """
     model = train(docs, labels)
     at = docs.columns.index("text")
 

@@ -56,3 +56,26 @@ def test_odd_rows(spark):
     assert q.quality_scores(docs.limit(0), labels).collect() == []
     kept = q.good_documents(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_training_takes_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda lines, labels: seen.append((sorted(len(own) for own, _ in lines), labels)))
+    texts = ["a line\n" * (i % 7) + "b" for i in range(300)] + ["c\n" * 999]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    used = [r["doc_id"] for r in docs.filter(~q.held_out(docs["doc_id"])).collect()]
+    q.train(docs, labels)
+    assert seen[-1][0] == sorted(texts[i].count("\n") + 1 for i in used)
+    q.train(docs.union(docs).union(docs), labels)
+    assert seen[-1][0] == seen[-2][0]
+    monkeypatch.setattr(q, "TRAIN_LINES", 100)
+    q.train(docs, labels)
+    assert 80 < sum(seen[-1][0]) <= 100 and len(seen[-1][1]) == len(seen[-1][0])
+
+
+def test_long_texts_are_trained_on_in_chains():
+    good, bad = q.line_features(b"Some words of a line.\n" * 500), q.line_features(b"!! A9 !! A9\n" * 500)
+    model = q.fit([good, bad] * 5, np.array([1.0, 0.0] * 5))
+    a, b = model.scores([b"Some words of a line.\n" * 500, b"!! A9 !! A9\n" * 500])
+    assert a > 0.8 and b < 0.2
