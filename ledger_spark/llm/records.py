@@ -7,9 +7,10 @@ bytes) and the token ids in the width that the vocabulary needs. The index file
 beside it holds each frame's offset and length as pairs of 8-byte numbers, so
 records can be read in any order without scanning.
 
-Documents are range-partitioned and sorted by doc_id; each task writes one record
-file and one index file under names of its own. Only files whose task succeeded
-are in the manifest, so a repeated or speculative task leaves no trace in it.
+Documents are range-partitioned and sorted by doc_id, rows of one id by the start of
+their text; each task writes one record file and one index file under names of its
+own. Only files whose task succeeded are in the manifest, so a repeated or
+speculative task leaves no trace in it; ``remove_strays`` deletes what it left.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ END_ID = 0
 MEMO_PIECES = 400_000
 # Characters of text encoded at once.
 SLICE = 1_000_000
-# Bytes of frames read at once.
+# Bytes of frames read at once, bytes that one read task takes, and the most read tasks.
 READ_BYTES = 8 << 20
+RANGE_BYTES = 64 << 20
+READ_TASKS = 20_000
+# Characters of the text by which rows of one doc_id are dealt to files.
+PREFIX = 64
 
 _HEAD, _TAIL, _NAME = "<QI", "<I", "<Bq"
 _NAME_BYTES = struct.calcsize(_NAME)
@@ -191,16 +196,23 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None) -
 
     ``docs`` needs ``doc_id`` and ``text``; ``vocabulary`` is the path of a
     tokenizer file that every executor can open. Rows are in ascending doc_id
-    order (without id first, then by text), file after file. A null text is
-    empty; every document ends with id 0. Folder: below the shared folder unless
-    given; local paths and what Arrow's file systems open. The manifest has a
-    row per file: ``part`` (its order), ``file`` (name without suffix),
+    order (without id first), file after file; rows of one id are in the order
+    of the first ``PREFIX`` characters of their texts, and within a file of the
+    texts, so that many rows of one id are spread over files. Rows that repeat
+    wholly are written each. A null text is empty; long texts are written whole;
+    every document ends with id 0. An empty table gives an empty manifest. Other
+    columns, whatever their names, are ignored. Folder: below the shared folder
+    unless given; local paths and what Arrow's file systems open. The manifest
+    has a row per file: ``part`` (its order), ``file`` (name without suffix),
     ``n_records``, ``n_tokens``, ``n_bytes``, ``width`` (bytes of an id) and
     ``start`` (tokens in the files before).
     """
     folder = folder or new_path(docs.sparkSession, "records")
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal rows are interchangeable: a number spreads them over files
+    chosen = chosen.withColumn("turn", F.rand(1))
+    ordered = chosen.repartitionByRange("doc_id", F.substring("text", 1, PREFIX), "turn").drop("turn")
+    ordered = ordered.sortWithinPartitions("doc_id", "text")
     manifest = stage(
         ordered.mapInArrow(
             _write(folder, vocabulary),
@@ -213,6 +225,20 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None) -
     return folder, manifest.withColumn("start", before)
 
 
+def remove_strays(folder: str, manifest: DataFrame) -> int:
+    """Delete files of failed attempts, which the manifest does not name; gives their number.
+
+    Call it when no job writes to ``folder``. The driver holds a name per file.
+    """
+    named = {r["file"] for r in manifest.select("file").collect()}
+    store, root = fs.FileSystem.from_uri(folder)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    strays = [f.path for f in found if f.base_name.endswith((".rec", ".idx")) and f.base_name[:-4] not in named]
+    for path in strays:
+        store.delete_file(path)
+    return len(strays)
+
+
 class RecordFile:
     """One record file, read through its index: any record, in any order."""
 
@@ -235,12 +261,20 @@ class RecordFile:
         offset, length = self.index[number].tolist()
         return self._decode(memoryview(self.source.read_at(length, offset)))
 
-    def records(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        """All records in order, read in large blocks."""
-        at = 0
-        while at < len(self.index):
+    def span(self, number: int, size: int) -> tuple[int, int]:
+        """First record and end of the ``number``-th range of ``size`` bytes; a record is where it starts."""
+        first, upto = np.searchsorted(self.index[:, 0], [number * size, (number + 1) * size])
+        return int(first), int(upto)
+
+    def tokens_before(self, number: int) -> int:
+        return int((self.index[:number, 1] - 16 - _NAME_BYTES).sum()) // self.width.itemsize
+
+    def records(self, at: int = 0, end: int | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Records ``at`` to ``end`` in order, read in large blocks."""
+        end = len(self.index) if end is None else end
+        while at < end:
             first = int(self.index[at, 0])
-            upto = max(at + 1, int(np.searchsorted(self.index[:, 0], first + READ_BYTES)))
+            upto = min(end, max(at + 1, int(np.searchsorted(self.index[:, 0], first + READ_BYTES))))
             size = int(self.index[upto - 1].sum()) - first
             block = memoryview(self.source.read_at(size, first))
             for offset, length in self.index[at:upto].tolist():
@@ -251,9 +285,12 @@ class RecordFile:
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, start, width in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for file, start, width, number, size in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 docs, starts, counts, sums = [], [], [], []
-                for doc, ids in RecordFile(folder, file, width).records():
+                source = RecordFile(folder, file, width)
+                at, end = source.span(number, size)
+                start += source.tokens_before(at)
+                for doc, ids in source.records(at, end):
                     docs.append(doc)
                     starts.append(start)
                     counts.append(len(ids))
@@ -274,12 +311,22 @@ def _read(folder: str):
 def read_digests(folder: str, manifest: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every record, checksums verified.
 
-    ``ids_crc32`` is taken over the ids as little-endian 32-bit numbers.
+    ``ids_crc32`` is taken over the ids as little-endian 32-bit numbers. Files are
+    read in ranges of ``RANGE_BYTES``, a task each.
     """
-    files = manifest.select("file", "start", "width").repartition("file")
-    return files.mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    last = F.floor((F.col("n_bytes") - 1) / F.lit(RANGE_BYTES)).cast("bigint")
+    ranges = manifest.withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    tasks = max(1, min(ranges.count(), READ_TASKS))
+    turn = F.row_number().over(Window.orderBy("part", "number"))
+    ranges = ranges.withColumn("turn", F.pmod(turn, F.lit(tasks)).cast("int"))
+    ranges = ranges.repartitionById(tasks, F.col("turn"))
+    ranges = ranges.select("file", "start", "width", "number", F.lit(RANGE_BYTES).cast("bigint").alias("size"))
+    return ranges.mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def record_report(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Write the records of ``docs`` and describe each document as read back."""
+    """Write the records of ``docs`` and describe each document as read back.
+
+    Odd rows as in ``write_records``; an empty table gives no rows.
+    """
     return read_digests(*write_records(docs, vocabulary))

@@ -69,3 +69,41 @@ def test_any_order_and_damage(spark, tmp_path):
     name.write_bytes(data)
     with pytest.raises(ValueError):
         r.RecordFile(folder, m["file"], m["width"]).record(0)
+
+
+def test_many_rows_of_one_id_are_spread(spark):
+    rows = [(7, f"{i % 50} text") for i in range(3000)] + [(7, "same")] * 3000 + [(None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows are few
+    try:
+        folder, manifest = r.write_records(docs, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len(files) > 2 and max(f["n_records"] for f in files) < 4000
+    got = sorted((tuple(x) for x in r.read_digests(folder, manifest).collect()), key=key)
+    want = expected(rows)
+    assert sorted((d or -1, n, c) for d, _, n, c in got) == sorted((d or -1, n, c) for d, _, n, c in want)
+    at = 0
+    for doc, start, count, _ in got:
+        assert start == at
+        at += count
+    assert [d for d, *_ in got] == [d for d, *_ in want]
+
+
+def test_ranges_of_a_file(spark, monkeypatch):
+    monkeypatch.setattr(r, "RANGE_BYTES", 300)
+    rows = [(i, f"text number {i} " * (i % 90)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder, manifest = r.write_records(docs, PATH)
+    found = r.read_digests(folder, manifest)
+    assert found.rdd.getNumPartitions() >= sum(-(-f["n_bytes"] // 300) for f in manifest.collect())
+    assert sorted((tuple(x) for x in found.collect()), key=key) == expected(rows)
+
+
+def test_strays_are_removed(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b") for i in range(40)], "doc_id bigint, text string")
+    folder, manifest = r.write_records(docs, PATH, str(tmp_path / "out"))
+    (tmp_path / "out" / "part-000000-left.rec").write_bytes(b"half")
+    assert r.remove_strays(folder, manifest) == 1 and r.remove_strays(folder, manifest) == 0
+    assert r.read_digests(folder, manifest).count() == 40
