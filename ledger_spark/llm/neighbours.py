@@ -3,9 +3,10 @@
 A bounded sample of the vectors gives a nearest-neighbour graph, which recursive
 spectral bisection cuts into parts of equal size. A small classifier learns to
 predict, from a vector alone, in which parts its neighbours are. Every vector is
-indexed under its most probable part; a query searches the most probable parts
-until the sample says that enough of its neighbours are there, and all
-candidates found are ranked by their exact distance.
+indexed under its ``HOMES`` most probable parts; a query searches the most
+probable parts until the sample says that enough of its neighbours are there, and
+goes on while they may hold too few vectors. All candidates found are ranked by
+their exact distance.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from ledger_spark.staging import stage
 
 # Vectors that the index is fitted on.
 SAMPLE = 4096
-# Vectors of a part on average, and the most parts.
-PART, MAX_PARTS = 4096, 256
+# Sampled vectors of a part at least, and the most parts.
+LEAST, MAX_PARTS = 48, 256
+# Parts that a vector is indexed under.
+HOMES = 2
 # Candidates and queries that one search call takes on average.
 BLOCK, QUERIES = 2048, 4096
 GRAPH = 10
 HIDDEN, STEPS, RATE = 48, 120, 0.01
 # Share of the sample's held-back neighbours that probing has to reach.
-RECALL = 0.97
+RECALL = 0.94
 
 
 @dataclass
@@ -133,11 +136,11 @@ def fit(sample: np.ndarray, parts: int) -> Router:
             power[i] = 0.99 * power[i] + 0.01 * slope**2
             layers[i] = layers[i] - RATE * (speed[i] / (1 - 0.9**step)) / (np.sqrt(power[i] / (1 - 0.99**step)) + 1e-9)
     router = Router(tuple(layers), parts, parts)
-    home = router.ranked(sample, 1)[:, 0]
+    homes = router.ranked(sample, HOMES)
     held = np.flatnonzero(~train)
     order = router.ranked(sample[held], parts)
     place = np.argsort(order, axis=1)
-    needed = np.take_along_axis(place, home[graph[held]], axis=1)
+    needed = np.min([np.take_along_axis(place, homes[graph[held], h], axis=1) for h in range(HOMES)], axis=0)
     for probes in range(1, parts + 1):
         if (needed < probes).mean() >= RECALL:
             router.probes = probes
@@ -155,31 +158,60 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _routed(router: Router, dim: int, n: int):
+def parts_for(sampled: int) -> int:
+    """Number of parts, a power of two, so that each holds ``LEAST`` sampled vectors or more."""
+    parts = 1
+    while 2 * parts * LEAST <= sampled and parts < MAX_PARTS:
+        parts *= 2
+    return parts
+
+
+def probe_counts(ordered: np.ndarray, probes: int, enough: int) -> np.ndarray:
+    """Parts that each query searches, given the numbers of ids in its parts, most probable first.
+
+    An id is in at most ``HOMES`` parts per row, so parts with ``HOMES * enough``
+    entries hold ``enough`` different ids.
+    """
+    short = (np.cumsum(ordered, axis=1) < HOMES * enough).sum(1) + 1
+    return np.clip(short, probes, ordered.shape[1])
+
+
+def _routed(router: Router, dim: int, sizes: np.ndarray | None = None, enough: int = 0):
+    """The homes of each vector, or the parts that it searches if ``sizes`` of the parts are given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = router.ranked(_matrix(batch.column(1), dim), n).astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1], pa.array(parts.ravel()))
+            parts = router.ranked(_matrix(batch.column(1), dim), HOMES if sizes is None else router.parts)
+            counts = np.full(len(parts), parts.shape[1])
+            if sizes is not None:
+                counts = probe_counts(sizes[parts], router.probes, enough)
+            chosen = parts[np.arange(parts.shape[1]) < counts[:, None]].astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(chosen))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "vector": batch.column(1), "parts": lists})
 
     return run
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """For each query the ``k`` nearest rows with another id: query number, row number, distance."""
+    """For each query the ``k`` nearest other ids: query number, row numbers, distances."""
     squares = (vectors**2).sum(1)
+    single = len(np.unique(ids)) == len(ids)
     for number, (query, own) in enumerate(zip(queries, query_ids)):
-        rough = squares - 2 * (vectors @ query)
-        rough[ids == own] = np.inf
-        if len(rough) > k:
+        if single and len(ids) > k + 1:
+            rough = squares - 2 * (vectors @ query)
+            rough[ids == own] = np.inf
             bound = np.partition(rough, k - 1)[k - 1]
             slack = 1e-9 * (abs(bound) + squares.max() + query @ query)
             rows = np.flatnonzero(rough <= bound + slack)
         else:
-            rows = np.arange(len(rough))
+            rows = np.arange(len(ids))
         rows = rows[ids[rows] != own]
         exact = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
-        best = np.lexsort((ids[rows], exact))[:k]
+        best = np.lexsort((ids[rows], exact))
+        if not single:
+            # the nearest row of each id, in the order of their distance
+            best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])]
+        best = best[:k]
         yield number, rows[best], exact[best]
 
 
@@ -211,9 +243,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> Dat
     is no candidate of a query with its own vec_id. Rows without id, vectors that
     are null, zero, not finite, or of another length than most take no part.
     Repeated rows count once; of different vectors under one vec_id the nearest
-    counts, and such a query may find fewer than ``k``. An empty table gives no rows. The
-    index is fitted on ``SAMPLE`` vectors and holds every row; a table of no more
-    than that has a single part, and its result is exact.
+    counts. An empty table gives no rows. A query finds ``k`` neighbours whenever
+    there are as many: it searches further parts while those chosen may hold too
+    few ids. Equal vectors share their parts, whose blocks of bounded size are
+    searched in separate tasks. The index is fitted on ``SAMPLE`` vectors and
+    holds every row.
     """
     spark = vectors.sparkSession
     rows = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(
@@ -225,20 +259,23 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> Dat
     dim = lengths["dim"] if lengths else 0
     rows = rows.filter(usable(F.col("vector"), dim))
     sample = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    total = rows.count()
-    wanted = 1
-    while total > SAMPLE and wanted < MAX_PARTS and (wanted < 8 or wanted * PART < total):
-        wanted *= 2
-    router = fit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, max(dim, 1)), wanted)
+    parts = parts_for(len(sample))
+    router = fit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, max(dim, 1)), parts)
 
     schema = "id bigint, vector array<double>, parts array<int>"
-    placed = rows.select("id", "vector").mapInArrow(_routed(router, dim, 1), schema)
-    placed = stage(placed.select("id", "vector", F.col("parts")[0].alias("part")), "index")
-    asked = rows.filter("query").select("id", "vector").mapInArrow(_routed(router, dim, router.probes), schema)
+    placed = rows.select("id", "vector").mapInArrow(_routed(router, dim), schema)
+    placed = stage(placed.select("id", "vector", F.explode("parts").alias("part")), "index")
+    # at most MAX_PARTS rows: how many blocks of candidates a part has, and how many different ids
+    sizes = placed.groupBy("part").agg(
+        F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.countDistinct("id").alias("ids")
+    )
+    sizes = stage(sizes, "sizes")
+    held = np.zeros(router.parts, np.int64)
+    for r in sizes.collect():
+        held[r["part"]] = r["ids"]
+    asked = rows.filter("query").select("id", "vector").mapInArrow(_routed(router, dim, held, k + 1), schema)
     asked = stage(asked.select("id", "vector", F.explode("parts").alias("part")), "queries")
 
-    # at most MAX_PARTS rows: how many blocks of candidates and queries a part has
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     turns = asked.groupBy("part").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("turns"))
     plan = stage(sizes.join(turns, "part"), "plan")
     left = placed.join(F.broadcast(plan), "part")

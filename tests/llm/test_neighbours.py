@@ -64,3 +64,37 @@ def test_balanced_parts_keep_clusters():
     assert np.mean([(label[64 * i : 64 * i + 64] == np.bincount(label[64 * i : 64 * i + 64]).argmax()).mean() for i in range(8)]) > 0.9
     router = nn.fit(x, 8)
     assert router.probes <= 3
+
+
+def test_registered_query_goes_through_partitions(spark, monkeypatch):
+    from ledger_spark.llm.queries import op7_learned_partitions
+
+    fitted, plain = [], nn.fit
+    monkeypatch.setattr(nn, "fit", lambda *a: fitted.append(plain(*a)) or fitted[-1])
+    for folder, parts in (("sf0.01", 8), ("sf0.1", 32)):
+        path = f"/root/testdata/{folder}"
+        rows = [(r[0], r[1]) for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()]
+        got, want = found(op7_learned_partitions(spark, path)), brute(rows)
+        assert fitted[-1].parts == parts and fitted[-1].probes < parts
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 9 * len(want)
+
+
+def test_probing_goes_on_when_parts_hold_too_few_ids(spark, monkeypatch):
+    # a few vectors far from the others, and far too few of them to fill a list
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) * 0.1 + np.eye(8)[0] * 5).tolist()) for i in range(600)]
+    rows += [(1000 + i, (rng.normal(size=8) * 0.1 - np.eye(8)[0] * 5).tolist()) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(nn, "RECALL", 0.0)
+    got = found(nn.nearest_neighbours(table, F.col("vec_id") % 200 == 0))
+    assert set(got) == {0, 200, 400, 1000} and all(len(v) == 10 for v in got.values())
+    assert (nn.probe_counts(np.array([[5, 0, 30, 9], [40, 0, 0, 0]]), 1, 11) == [3, 1]).all()
+
+
+def test_many_vectors_under_one_id(spark):
+    rng = np.random.default_rng(11)
+    rows = [(5, rng.normal(size=4).tolist()) for _ in range(400)] + [(100 + i, rng.normal(size=4).tolist()) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(nn.nearest_neighbours(table, F.col("vec_id") == 100))
+    assert len(got[100]) == 10 and len({i for i, _ in got[100]}) == 10
