@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from ledger_spark.llm.packing import best_fit, packed
+import pytest
+
+from ledger_spark.llm.ngram_join import ngram_components
+from ledger_spark.llm.packing import best_fit, fill_rate, packed
 
 
 def plain(pieces, capacity):
@@ -68,3 +71,27 @@ def test_odd_rows(spark):
     for held in bins_of(got).values():
         assert len({r["source"] for r in held}) == len(held) == len({r["cluster"] for r in held})
     assert packed(docs.limit(0)).collect() == []
+
+
+def test_near_copies_never_share_a_bin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classes = ngram_components(docs, 5, 80)
+    rows = packed(docs, classes=classes).collect()
+    near = {r["doc_id"]: r["component_id"] for r in classes.collect()}
+    assert len(set(near.values())) < len(near)
+    assert all(r["near"] == near[r["doc_id"]] for r in rows)
+    for held in bins_of(rows).values():
+        assert len({r["near"] for r in held}) == len(held)
+
+
+def test_rows_that_repeat_are_spread_over_groups(spark):
+    big = (1 << 62) + 1
+    rows = spark.range(100_000).selectExpr(f"{big} AS doc_id", "'ten bytes' AS text", "'a' AS source")
+    rows = rows.union(spark.range(20_000).selectExpr("CAST(NULL AS BIGINT)", "'x'", "CAST(id AS STRING)"))
+    classes = spark.createDataFrame([(big, 3), (big, 3), (None, 4)], "doc_id bigint, component_id bigint")
+    got = packed(rows, classes=classes).cache()
+    assert got.count() == 120_000 and got.filter(f"doc_id = {big} AND near = 3").count() == 100_000
+    assert max(r["count"] for r in got.groupBy("group").count().collect()) < 20_000
+    assert got.groupBy("group", "bin").agg({"cluster": "count"}).filter("`count(cluster)` > 2").count() == 0
+    fill = fill_rate(got).first()
+    assert fill["bytes"] == 100_000 * 10 + 20_000 * 2 and fill["fill"] == pytest.approx(fill["bytes"] / fill["bins"] / 8192)
