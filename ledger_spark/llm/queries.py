@@ -62,6 +62,24 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
+# All pairs of documents that share a sequence; components by following links both ways.
+JACCARD_SQL = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4
+    THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -98,7 +116,8 @@ def op7_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(read(spark, folder, "documents"))
+    docs = read(spark, folder, "documents")
+    return packed(docs, classes=ngram_components(docs, n=5, percent=80))
 
 
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,4 +159,4 @@ def registry() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {"op12_son_phrases": PHRASES_SQL}
+    return {"op9_ngram_jaccard": JACCARD_SQL, "op12_son_phrases": PHRASES_SQL}
