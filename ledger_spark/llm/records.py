@@ -7,7 +7,7 @@ bytes) and the token ids in the width that the vocabulary needs. The index file
 beside it holds each frame's offset and length as pairs of 8-byte numbers, so
 records can be read in any order without scanning.
 
-Documents are range-partitioned and sorted by doc_id, rows of one id by the start of
+Documents are range-partitioned and sorted by doc_id, rows of one id by the hash of
 their text; each task writes one record file and one index file under names of its
 own. Only files whose task succeeded are in the manifest, so a repeated or
 speculative task leaves no trace in it; ``remove_strays`` deletes what it left.
@@ -41,8 +41,6 @@ SLICE = 1_000_000
 READ_BYTES = 8 << 20
 RANGE_BYTES = 64 << 20
 READ_TASKS = 20_000
-# Characters of the text by which rows of one doc_id are dealt to files.
-PREFIX = 64
 
 _HEAD, _TAIL, _NAME = "<QI", "<I", "<Bq"
 _NAME_BYTES = struct.calcsize(_NAME)
@@ -196,10 +194,9 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None) -
 
     ``docs`` needs ``doc_id`` and ``text``; ``vocabulary`` is the path of a
     tokenizer file that every executor can open. Rows are in ascending doc_id
-    order (without id first), file after file; rows of one id are in the order
-    of the first ``PREFIX`` characters of their texts, and within a file of the
-    texts, so that many rows of one id are spread over files. Rows that repeat
-    wholly are written each. A null text is empty; long texts are written whole;
+    order (without id first), file after file; many rows of one id are spread
+    over files by the hash of their text, and are in the order of the texts
+    within a file. Rows that repeat wholly are written each. A null text is empty; long texts are written whole;
     every document ends with id 0. An empty table gives an empty manifest. Other
     columns, whatever their names, are ignored. Folder: below the shared folder
     unless given; local paths and what Arrow's file systems open. The manifest
@@ -211,7 +208,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None) -
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # equal rows are interchangeable: a number spreads them over files
     chosen = chosen.withColumn("turn", F.rand(1))
-    ordered = chosen.repartitionByRange("doc_id", F.substring("text", 1, PREFIX), "turn").drop("turn")
+    ordered = chosen.repartitionByRange("doc_id", F.xxhash64("text"), "turn").drop("turn")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
     manifest = stage(
         ordered.mapInArrow(
