@@ -13,21 +13,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 
-# Words remembered by one Python worker before its memory is emptied.
-MEMO_WORDS = 300_000
+# Bytes of text hashed at once, and the longest word that is hashed in lanes of 8 bytes.
+HASH_BYTES = 1 << 20
+LANE_BYTES = 64
 
-
-class WordHashes(dict):
-    """64-bit hash of each word, remembered while the table stays small."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+# The first bytes of a lane, by their number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -48,16 +41,70 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def shingles(text: bytes, n: int, memo: WordHashes) -> np.ndarray:
-    """Distinct hashes of the ``n``-word sequences of a text, ascending.
+def word_hashes(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of all texts in order, and each text's number of words.
 
-    A-Z is lower-cased and words end at ASCII white space, which is what the
-    methods of ``bytes`` do. A text of fewer words is one sequence.
+    A-Z is lower-cased and words end at ASCII white space. A word is hashed 8 bytes
+    at a time, all words at once; those above ``LANE_BYTES`` are hashed each.
+    """
+    joined = b" " + b" ".join(many).lower() + b" " * 8
+    data = np.frombuffer(joined, np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    lanes = np.ndarray(len(data) - 7, "<u8", joined, strides=(1,))
+    words = size.astype(np.uint64) * _ODD
+    for at in range(0, LANE_BYTES, 8):
+        live = np.flatnonzero(size > at)
+        if not len(live):
+            break
+        lane = lanes[starts[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        words[live] = mix(words[live] ^ lane)
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        words[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : starts[i] + size[i]])
+    ends = np.cumsum([len(text) + 1 for text in many])
+    return words, np.diff(np.searchsorted(starts, ends + 1), prepend=0)
+
+
+def sort_parts(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sort each part of ``values`` in place; part i lies between bounds i and i + 1."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[a:b].sort()
+
+
+def _sets(many: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    words, counts = word_hashes(many)
+    lengths = np.where(counts >= n, counts - n + 1, counts > 0)
+    bounds = np.r_[0, np.cumsum(lengths)]
+    first = np.cumsum(counts) - counts
+    found = np.zeros(bounds[-1], np.uint64)
+    whole = np.repeat(counts >= n, lengths)
+    at = np.arange(len(found)) + np.repeat(first - bounds[:-1], lengths)
+    found[whole] = windows(words, n)[at[whole]] + np.uint64(n)
+    for k in range(1, n):
+        short = np.flatnonzero(counts == k)
+        run = words[(first[short, None] + np.arange(k)).ravel()]
+        found[bounds[short]] = windows(run, k)[::k] + np.uint64(k)
+    sort_parts(found, bounds)
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[bounds[:-1][lengths > 0]] = True
+    return found[new], np.r_[0, np.cumsum(new)][bounds]
+
+
+def shingle_sets(many: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashes of the ``n``-word sequences of each text, ascending within a text.
+
+    Gives the hashes of some texts after another and their bounds (part i lies
+    between bounds i and i + 1), for about ``HASH_BYTES`` of text at a time. Words
+    are those of ``word_hashes``; a text of fewer words is one sequence.
     """
-    words = memo.of(text.lower().split())
-    if not len(words):
-        return words
-    return np.unique(windows(words, min(n, len(words))) + np.uint64(min(n, len(words))))
+    start = size = 0
+    for at, text in enumerate(many):
+        size += len(text)
+        if size >= HASH_BYTES or at == len(many) - 1:
+            yield _sets(many[start : at + 1], n)
+            start, size = at + 1, 0
 
 
 def texts(column: pa.Array) -> Iterator[bytes | None]:

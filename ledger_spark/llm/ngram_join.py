@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm.graph import components
-from ledger_spark.llm.hashing import WordHashes, mix, shingles, texts
+from ledger_spark.llm.hashing import mix, shingle_sets, sort_parts, texts
 from ledger_spark.staging import stage
 
 # Counters of the column sketch (a power of two) and rows in which it travels.
@@ -65,14 +65,18 @@ _SHIFT = 57
 _LOW = np.uint64((1 << _SHIFT) - 1)
 
 
+def _plain(column: pa.Array) -> list[bytes]:
+    return [text or b"" for text in texts(column)]
+
+
 def _count_columns(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(SKETCH, np.uint32)
         for whole in batches:
             for at in range(0, whole.num_rows, OUT_ROWS):
-                found = [shingles(text or b"", n, memo) for text in texts(whole.column(0).slice(at, OUT_ROWS))]
-                slots = (np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64)
-                counts += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
+                for found, _ in shingle_sets(_plain(whole.column(0).slice(at, OUT_ROWS)), n):
+                    slots = (found & np.uint64(SKETCH - 1)).astype(np.int64)
+                    counts += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
         parts = counts.reshape(SKETCH_ROWS, -1)
         yield pa.RecordBatch.from_pydict(
             {
@@ -106,13 +110,13 @@ def column_levels(docs: DataFrame, n: int) -> bytes:
     return b"".join(rows.get(i, empty) for i in range(SKETCH_ROWS))
 
 
-def _columns(text: bytes, n: int, memo: WordHashes, levels: np.ndarray) -> np.ndarray:
-    """A row's columns in the common order, as 64-bit keys: level, then hash."""
-    found = shingles(text, n, memo)
-    level = levels[(found & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
-    keys = (level << np.uint64(_SHIFT)) | ((found >> np.uint64(64 - _SHIFT)) & _LOW)
-    keys.sort()
-    return keys
+def _columns(many: list[bytes], n: int, levels: np.ndarray) -> Iterator[np.ndarray]:
+    """Each row's columns in the common order, as 64-bit keys: level, then hash."""
+    for found, bounds in shingle_sets(many, n):
+        level = levels[(found & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+        keys = (level << np.uint64(_SHIFT)) | ((found >> np.uint64(64 - _SHIFT)) & _LOW)
+        sort_parts(keys, bounds)
+        yield from (keys[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
 def bitmap(keys: np.ndarray) -> bytes:
@@ -129,11 +133,10 @@ def required(size: int, percent: int) -> int:
 
 def _rows(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        order = np.frombuffer(levels.value, np.uint8)
         for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
             sizes, sets, firsts, maps = [], [], [], []
-            for text in texts(batch.column(1)):
-                keys = _columns(text or b"", n, memo, order)
+            for keys in _columns(_plain(batch.column(1)), n, order):
                 sizes.append(len(keys))
                 sets.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
                 maps.append(bitmap(keys) if len(keys) else None)
@@ -376,9 +379,9 @@ def _within_groups(docs: DataFrame, wide: DataFrame, n: int, percent: int, level
     members = stage(wide.select("id", "component").distinct().join(group, "id"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        order = np.frombuffer(levels.value, np.uint8)
         for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
-            keys = [_columns(text or b"", n, memo, order) for text in texts(batch.column(1))]
+            keys = list(_columns(_plain(batch.column(1)), n, order))
             short = [np.unique(mix(k + np.uint64(turn)).astype(np.uint32)).tobytes() for k in keys]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -461,9 +464,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, levels) -
     ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        order = np.frombuffer(levels.value, np.uint8)
         for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
-            found = [_columns(text or b"", n, memo, order).tobytes() for text in texts(batch.column(1))]
+            found = [keys.tobytes() for keys in _columns(_plain(batch.column(1)), n, order)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cols": pa.array(found, pa.binary())})
 
     whole = stage(only_ids(docs, ids).mapInArrow(sets, "doc_id bigint, cols binary"), "sets")
