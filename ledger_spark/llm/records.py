@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -34,9 +35,12 @@ from ledger_spark.staging import new_path, stage
 
 END_ID = 0
 # Pieces of text whose ids a worker remembers, in each of two generations.
-MEMO_PIECES = 400_000
-# Characters of text encoded at once.
+MEMO_PIECES = 700_000
+# Different runs of marks whose ids a worker remembers.
+MEMO_MARKS = 10_000
+# Characters of text encoded at once, and new pieces that are encoded as one text.
 SLICE = 1_000_000
+JOINED = 500
 # Bytes of frames read at once, bytes that one read task takes, and the most read tasks.
 READ_BYTES = 8 << 20
 RANGE_BYTES = 64 << 20
@@ -46,6 +50,8 @@ _HEAD, _TAIL, _NAME = "<QI", "<I", "<Bq"
 _NAME_BYTES = struct.calcsize(_NAME)
 # Fixed value: the constant of the usual checksum mask.
 _MASK = 0xA282EAD8
+# A space at the start of a token, in byte-level vocabularies.
+_SPACE = "Ġ"
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -85,30 +91,79 @@ class Memo:
             self.old, self.young = self.young, {}
 
     def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted``, none of them young, that are not old either; old ones become young."""
-        self.young |= {w: self.old[w] for w in wanted & self.old.keys()}
-        return [w for w in wanted if w not in self.young]
+        """Those of ``wanted`` that are neither young nor old; old ones become young."""
+        absent = [w for w in wanted if w not in self.young]
+        self.young |= {w: self.old[w] for w in absent if w in self.old}
+        return [w for w in absent if w not in self.old]
 
 
 class Encoder:
     """Token ids of texts, as bytes.
 
     The tokenizer splits before a space that stands between two other characters,
-    so the pieces between such spaces are encoded once and remembered.
+    so the pieces between such spaces are encoded once and remembered. New pieces
+    are joined by such spaces and encoded as one text. Its ids are cut before every
+    token that begins with a space, if that gives as many parts as there are pieces.
+    Byte-level tokenizers also split between a letter or digit and a mark, so the
+    marks at the end of a new piece are encoded by themselves.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = Memo(MEMO_PIECES)
+        spaced = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.spaced[spaced] = True
+        before = self.tokenizer.pre_tokenizer
+        self.cuts_marks = isinstance(before, ByteLevel) and before.use_regex and self.tokenizer.normalizer is None
+        self.marks: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
 
+    def _stems(self, pieces: list[str]) -> dict[str, str]:
+        """The pieces that end in marks after a Latin letter or a digit, without these marks."""
+        if not self.cuts_marks:
+            return {}
+        stems = {}
+        for p in pieces:
+            stem = p.rstrip(string.punctuation)
+            # later letters may be unknown to the tokenizer's tables
+            if len(stem) < len(p) and "" < stem[-1:] < "\u0250" and stem[-1].isalnum() and not any(map(p.__contains__, self.added)):
+                stems[p] = stem
+        return stems
+
+    def _of_marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= MEMO_MARKS:
+                self.marks.clear()
+            self.marks[marks] = self._ids([marks])[0]
+        return self.marks[marks]
+
+    def _of_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with the ids of a space and the piece."""
+        # the end of a text, a blank piece and one with spaces inside are no words between spaces
+        alone = [p for p in pieces if not p or " " in p or p[-1].isspace()]
+        words = list(set(pieces).difference(alone)) if alone else pieces
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, found):
+            ids = np.array(encoded.ids, self.width)
+            starts = (np.flatnonzero(self.spaced[ids]) * self.width.itemsize).tolist()
+            if len(starts) == len(group) and not starts[0]:
+                data = ids.tobytes()
+                yield from zip(group, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)])))
+            else:
+                alone += group
+        yield from zip(alone, self._ids([" " + p for p in alone]))
+
     @staticmethod
     def split(text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without their leading space."""
@@ -120,16 +175,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.pieces.turn()
-        piece = self.pieces.young
         split = [self.split(t) for t in texts]
-        known = [list(map(piece.get, others)) for _, others in split]
-        short = [i for i, ids in enumerate(known) if None in ids]
-        missing = self.pieces.missing({p for i in short for p, ids in zip(split[i][1], known[i]) if ids is None})
-        piece.update(zip(missing, self._ids([" " + p for p in missing])))
-        for i in short:
-            known[i] = map(piece.__getitem__, split[i][1])
+        missing = self.pieces.missing(set().union(*(others for _, others in split)))
+        stems = self._stems(missing)
+        whole = set(missing).difference(stems)
+        whole.update(self.pieces.missing(set(stems.values())))
+        piece = self.pieces.young
+        piece.update(self._of_pieces(list(whole)))
+        piece.update((p, piece[stem] + self._of_marks(p[len(stem) :])) for p, stem in stems.items())
         firsts = self._ids([f for f, _ in split])
-        return [f + b"".join(ids) for f, ids in zip(firsts, known)]
+        return [f + b"".join(map(piece.__getitem__, others)) for f, (_, others) in zip(firsts, split)]
 
     def in_slices(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """Number and ids of each text, encoding ``SLICE`` characters at a time."""

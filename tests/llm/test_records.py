@@ -107,3 +107,29 @@ def test_strays_are_removed(spark, tmp_path):
     (tmp_path / "out" / "part-000000-left.rec").write_bytes(b"half")
     assert r.remove_strays(folder, manifest) == 1 and r.remove_strays(folder, manifest) == 0
     assert r.read_digests(folder, manifest).count() == 40
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    tool, rng = r.Encoder(PATH), random.Random(6)
+    seen, encode = [], tool._ids
+    monkeypatch.setattr(tool, "_ids", lambda texts: seen.append(len(texts)) or encode(texts))
+    texts = [" ".join("".join(rng.choices("abcdeé.,'1", k=9)) for _ in range(700)) for _ in range(3)]
+    plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in tool.encode(texts)] == [e.ids for e in plain]
+    # only the first pieces of the texts, and the runs of marks, were encoded each
+    assert sum(seen) == len(texts) + len(tool.marks) < 200
+
+
+def test_pieces_that_do_not_stand_between_spaces():
+    tool = r.Encoder(PATH)
+    odd = ["", "a\n", "b  c", "ok", "<|endoftext|>", "\x1c", "it's", "é𝄞", "x\ty"]
+    plain = tool.tokenizer.encode_batch([" " + p for p in odd], add_special_tokens=False)
+    assert {p: np.frombuffer(ids, "<u2").tolist() for p, ids in tool._of_pieces(odd)} == {p: e.ids for p, e in zip(odd, plain)}
+
+
+def test_marks_behind_words():
+    tool, rng = r.Encoder(PATH), random.Random(9)
+    ends = ["", ",", "'", "...", "'s", "'s,", "$)", "|>", "<|endoftext|>", "_", "é,", "²!", "\u0301.", "\U0001d11e?", "\u2019,", "\n.", "\x1c,"]
+    texts = [" ".join(rng.choice(["", "a", "word", "12", "été", "x-y", "don't"]) + rng.choice(ends) for _ in range(60)) for _ in range(200)]
+    plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in tool.encode(texts)] == [e.ids for e in plain]
