@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import string
 import struct
 import uuid
@@ -38,9 +37,13 @@ END_ID = 0
 MEMO_PIECES = 400_000
 # Different runs of marks whose ids a worker remembers.
 MEMO_MARKS = 10_000
-# Characters of text encoded at once, and new pieces that are encoded as one text.
-SLICE = 1_000_000
+# Characters of the longest piece that is remembered.
+MEMO_LENGTH = 200
+# Bytes of text cut into pieces at once, new pieces that are encoded as one text, and
+# characters that the tokenizer gets in a call, whose objects take a hundred times as much.
+SLICE = 4_000_000
 JOINED = 500
+CALL = 500_000
 # Bytes of frames read at once, bytes that one read task takes, and the most read tasks.
 READ_BYTES = 8 << 20
 RANGE_BYTES = 64 << 20
@@ -50,10 +53,22 @@ _HEAD, _TAIL, _NAME = "<QI", "<I", "<Bq"
 _NAME_BYTES = struct.calcsize(_NAME)
 # Fixed value: the constant of the usual checksum mask.
 _MASK = 0xA282EAD8
-# A space at the start of a token, in byte-level vocabularies.
-_SPACE = "Ġ"
-_DOUBLE = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+# A space and a line end at the start of a token, in byte-level vocabularies.
+_SHOWN = {" ": "Ġ", "\n": "Ċ"}
+
+
+def _table(characters: str) -> np.ndarray:
+    """Of each byte, whether it is one of these ASCII characters."""
+    found = np.zeros(256, bool)
+    found[list(characters.encode())] = True
+    return found
+
+
+_MARKS = _table(string.punctuation)
+_WORD = _table(string.ascii_letters + string.digits)
+# Blanks beyond ASCII, their two or three bytes read as a number.
+_BLANKS = [c.encode() for c in map(chr, range(128, 0x10000)) if c.isspace()]
+_BLANKS_2, _BLANKS_3 = ([int.from_bytes(b) for b in _BLANKS if len(b) == n] for n in (2, 3))
 
 
 def masked(data: bytes) -> int:
@@ -78,6 +93,27 @@ def unframe(data: memoryview) -> memoryview:
     return payload
 
 
+def _three(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The three bytes from each of these places on, as a number."""
+    one, two, three = (data.take(at + k, mode="clip").astype(np.int64) for k in range(3))
+    return one << 16 | two << 8 | three
+
+
+def _beside_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a blank beyond ASCII ends before or begins behind each of these bytes."""
+    left, right = _three(data, at - 3), _three(data, at + 1)
+    two = np.isin(left & 0xFFFF, _BLANKS_2) | np.isin(right >> 8, _BLANKS_2)
+    return two | np.isin(left, _BLANKS_3) | np.isin(right, _BLANKS_3)
+
+
+def _behind_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a digit or a letter of ASCII or U+00C0 to U+023F ends before each of these bytes."""
+    lead, last = data.take(at - 2, mode="clip"), data[at - 1]
+    # later letters may be unknown to the tokenizer's tables; two of these characters are signs
+    latin = (lead >= 0xC3) & (lead <= 0xC8) & (last >= 0x80) & (last <= 0xBF)
+    return _WORD[last] | latin & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+
+
 class Memo:
     """Ids of strings, in two generations: a full young one replaces the old one."""
 
@@ -90,7 +126,7 @@ class Memo:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
+    def missing(self, wanted: list[str]) -> list[str]:
         """Those of ``wanted`` that are neither young nor old; old ones become young."""
         absent = [w for w in wanted if w not in self.young]
         self.young |= {w: self.old[w] for w in absent if w in self.old}
@@ -101,11 +137,12 @@ class Encoder:
     """Token ids of texts, as bytes.
 
     The tokenizer splits before a space that stands between two other characters,
-    so the pieces between such spaces are encoded once and remembered. New pieces
-    are joined by such spaces and encoded as one text. Its ids are cut before every
-    token that begins with a space, if that gives as many parts as there are pieces.
-    Byte-level tokenizers also split between a letter or digit and a mark, so the
-    marks at the end of a new piece are encoded by themselves.
+    so the texts are cut there, as bytes and all at once, and each different piece
+    is encoded once and remembered. Byte-level tokenizers also split before such a
+    line end and between a letter or digit and a mark, so there the marks at the
+    end of a word are pieces of their own. New pieces are joined and encoded as one
+    text. Its ids are cut before every token that begins with the piece's space or
+    line end, if that gives as many parts as there are pieces.
     """
 
     def __init__(self, path: str):
@@ -116,29 +153,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = Memo(MEMO_PIECES)
-        spaced = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]
-        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.spaced[spaced] = True
         before = self.tokenizer.pre_tokenizer
-        self.cuts_marks = isinstance(before, ByteLevel) and before.use_regex and self.tokenizer.normalizer is None
+        plain = self.tokenizer.normalizer is None and isinstance(before, ByteLevel)
+        self.cuts_marks = plain and before.use_regex and not before.add_prefix_space
+        self.opening = {opener: self._beginning(shown) for opener, shown in _SHOWN.items() if opener == " " or self.cuts_marks}
+        self.openers = _table("".join(self.opening))
         self.marks: dict[str, bytes] = {}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+
+    def _beginning(self, shown: str) -> np.ndarray:
+        """Of each id, whether its token begins with ``shown``."""
+        vocabulary = self.tokenizer.get_vocab()
+        found = np.zeros(max(vocabulary.values()) + 1, bool)
+        found[[i for token, i in vocabulary.items() if token.startswith(shown)]] = True
+        return found
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        start, size = 0, 0
+        for at, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= CALL or at == len(texts):
+                for encoded in self.tokenizer.encode_batch_fast(texts[start:at], add_special_tokens=False):
+                    yield np.array(encoded.ids, self.width)
+                start, size = at, 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
-
-    def _stems(self, pieces: list[str]) -> dict[str, str]:
-        """The pieces that end in marks after a Latin letter or a digit, without these marks."""
-        if not self.cuts_marks:
-            return {}
-        stems = {}
-        for p in pieces:
-            stem = p.rstrip(string.punctuation)
-            # later letters may be unknown to the tokenizer's tables
-            if len(stem) < len(p) and "" < stem[-1:] < "\u0250" and stem[-1].isalnum() and not any(map(p.__contains__, self.added)):
-                stems[p] = stem
-        return stems
+        return [ids.tobytes() for ids in self._encoded(texts)]
 
     def _of_marks(self, marks: str) -> bytes:
         if marks not in self.marks:
@@ -147,53 +187,93 @@ class Encoder:
             self.marks[marks] = self._ids([marks])[0]
         return self.marks[marks]
 
-    def _of_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each piece with the ids of a space and the piece."""
-        # the end of a text, a blank piece and one with spaces inside are no words between spaces
-        alone = [p for p in pieces if not p or " " in p or p[-1].isspace()]
+    def _of_pieces(self, pieces: list[str], opener: str = " ") -> Iterator[tuple[str, bytes]]:
+        """Each piece with the ids of the opener and the piece."""
+        # the end of a text, a blank piece and one with spaces inside are no words between openers
+        alone = [p for p in pieces if not p or " " in p or opener in p or p[-1].isspace()]
         words = list(set(pieces).difference(alone)) if alone else pieces
         groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, encoded in zip(groups, found):
-            ids = np.array(encoded.ids, self.width)
-            starts = (np.flatnonzero(self.spaced[ids]) * self.width.itemsize).tolist()
+        for group, ids in zip(groups, self._encoded([opener + opener.join(g) for g in groups])):
+            starts = (np.flatnonzero(self.opening[opener][ids]) * self.width.itemsize).tolist()
             if len(starts) == len(group) and not starts[0]:
                 data = ids.tobytes()
                 yield from zip(group, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)])))
             else:
                 alone += group
-        yield from zip(alone, self._ids([" " + p for p in alone]))
-
-    @staticmethod
-    def split(text: str) -> tuple[str, list[str]]:
-        """The first piece, and the others without their leading space."""
-        if _DOUBLE.search(text):
-            first, *others = _SAFE.split(text)
-            return first, [p[1:] for p in others]
-        first, *others = text.split(" ")
-        return first, others
+        yield from zip(alone, self._ids([opener + p for p in alone]))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of these pieces."""
+        known, rest = self.pieces.young, pieces
+        for opener in self.opening:
+            opened = [p[1:] for p in rest if p.startswith(opener)]
+            rest = [p for p in rest if not p.startswith(opener)]
+            known.update((opener + p, ids) for p, ids in self._of_pieces(opened, opener))
+        marks = {p for p in rest if len(p) <= MEMO_LENGTH and not p.strip(string.punctuation)}
+        known.update((p, self._of_marks(p)) for p in marks)
+        rest = [p for p in rest if p not in marks]
+        known.update(zip(rest, self._ids(rest)))
+
+    def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of each place of ``data``, whether a text may be cut there; ``bounds`` are the ends of the texts."""
+        found = np.zeros(len(data) + 1, bool)
+        at = np.flatnonzero(self.openers[data[1:-1]]) + 1
+        at = at[(data[at - 1] > 32) & (data[at + 1] > 32)]
+        wide = np.flatnonzero((data[at - 1] > 127) | (data[at + 1] > 127))
+        found[np.delete(at, wide[_beside_blank(data, at[wide])])] = True
+        if self.cuts_marks:
+            mark = _MARKS[data]
+            edges = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+            first = mark[edges]
+            starts, ends = edges[first], np.append(edges[~first], len(data))
+            ends = ends[int(mark[0]) :][: len(starts)]
+            last = (data[np.minimum(ends, len(data) - 1)] <= 32) | (bounds[np.searchsorted(bounds, ends)] == ends)
+            starts = starts[last]
+            found[starts[_behind_letter(data, starts)]] = True
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found[at : at + len(token) + 1] = False
+                at = raw.find(token, at + 1)
+        return found
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the texts between the ``bounds`` of ``data``, UTF-8 bytes from the first bound to the last."""
+        if not len(data):
+            return [b""] * (len(bounds) - 1)
+        cuts = self._cuts(data, bounds)
+        cuts[bounds] = True
+        places = np.flatnonzero(cuts)
+        buffers = [None, pa.py_buffer(places), pa.py_buffer(data)]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(places) - 1, buffers).dictionary_encode()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.pieces.turn()
+        missing = self.pieces.missing(different)
+        self._learn(missing)
+        ids = pa.array(map(self.pieces.young.__getitem__, different), pa.large_binary(), size=len(different))
+        for piece in missing:
+            if len(piece) > MEMO_LENGTH:
+                del self.pieces.young[piece]
+        _, ends, ids = ids.take(pieces.indices).buffers()
+        ends = np.frombuffer(ends, np.int64)[np.searchsorted(places, bounds)].tolist()
+        return list(map(memoryview(ids).tobytes()[: ends[-1]].__getitem__, map(slice, ends, ends[1:])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.pieces.turn()
-        split = [self.split(t) for t in texts]
-        missing = self.pieces.missing(set().union(*(others for _, others in split)))
-        stems = self._stems(missing)
-        whole = set(missing).difference(stems)
-        whole.update(self.pieces.missing(set(stems.values())))
-        piece = self.pieces.young
-        piece.update(self._of_pieces(list(whole)))
-        piece.update((p, piece[stem] + self._of_marks(p[len(stem) :])) for p, stem in stems.items())
-        firsts = self._ids([f for f, _ in split])
-        return [f + b"".join(map(piece.__getitem__, others)) for f, (_, others) in zip(firsts, split)]
-
-    def in_slices(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
-        """Number and ids of each text, encoding ``SLICE`` characters at a time."""
-        start, size = 0, 0
-        for at, text in enumerate(texts):
-            size += len(text)
-            if size >= SLICE or at == len(texts) - 1:
-                yield from enumerate(self.encode(texts[start : at + 1]), start)
-                start, size = at + 1, 0
+        return [ids for _, ids in self.in_slices(pa.array(texts, pa.large_string()))]
+
+    def in_slices(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Number and ids of each text, encoding about ``SLICE`` bytes at a time."""
+        texts = texts.cast(pa.large_string())
+        _, bounds, data = texts.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, "right")) - 1)
+            first, last = bounds[at], bounds[upto]
+            yield from enumerate(self._encode(data[first:last], bounds[at : upto + 1] - first), at)
+            at = upto
 
 
 @functools.lru_cache(maxsize=2)
@@ -217,7 +297,7 @@ def _write(folder: str, vocabulary: str):
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{name}.rec")
             docs = batch.column(0).to_pylist()
-            for number, data in tool.in_slices(batch.column(1).to_pylist()):
+            for number, data in tool.in_slices(batch.column(1)):
                 doc = docs[number]
                 data = frame(struct.pack(_NAME, doc is not None, doc or 0) + data + end)
                 out.write(data)

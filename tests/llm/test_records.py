@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -133,3 +134,42 @@ def test_marks_behind_words():
     texts = [" ".join(rng.choice(["", "a", "word", "12", "été", "x-y", "don't"]) + rng.choice(ends) for _ in range(60)) for _ in range(200)]
     plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(ids, "<u2").tolist() for ids in tool.encode(texts)] == [e.ids for e in plain]
+
+
+def test_each_different_word_is_remembered_once():
+    tool, rng = r.Encoder(PATH), random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(40)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=6)) + rng.choice([".", "!?", ","]) for _ in range(100)) for _ in range(20)]
+    plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in tool.encode(texts)] == [e.ids for e in plain]
+    # behind a space, behind a line end or at a start; not each pair of words around a line end
+    assert len(tool.pieces.young) <= 3 * len(words) + 3
+
+
+def test_slices_of_a_column(monkeypatch):
+    odd = ["a", "Word", "'s", "12", " ", "  ", "\n", "\r\n", "\xa0", "\x85", "\u2003", "\u2028", "\u3000", "é", "×", "²", "ɐ", ".", "!?", "\x1c", "<|endoftext|>", "|>", "中", "\U0001d11e", "\u0301"]
+    tool, rng = r.Encoder(PATH), random.Random(5)
+    for size in (1, 30, 1_000_000):
+        monkeypatch.setattr(r, "SLICE", size)
+        monkeypatch.setattr(r, "CALL", size)
+        for kind in (pa.string(), pa.large_string()):
+            texts = ["".join(rng.choices(odd, k=rng.randrange(0, 25))) for _ in range(400)]
+            found = list(tool.in_slices(pa.array(["before", *texts, "after"], kind).slice(1, len(texts))))
+            plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
+            assert [(n, np.frombuffer(ids, "<u2").tolist()) for n, ids in found] == list(enumerate(e.ids for e in plain))
+
+
+def test_long_pieces_are_not_remembered():
+    tool = r.Encoder(PATH)
+    text = "中" * 5000 + " word " + "x" * 5000 + "!" * 5000
+    for _ in range(2):
+        assert np.frombuffer(tool.encode([text])[0], "<u2").tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(tool.pieces.young) == [" word"] and not tool.marks
+
+
+def test_many_added_tokens():
+    tool = r.Encoder(PATH)
+    texts = ["a<|endoftext|> b, " * 60_000, "end<|endoftext|>|>, x"]
+    found = tool.encode(texts)
+    plain = tool.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [e.ids for e in plain]
