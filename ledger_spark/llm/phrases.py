@@ -13,29 +13,35 @@ a collision can only add a candidate; the last pass counts the words themselves.
 Candidates travel to the tasks as a bitmap of bounded size, which may also let a
 sequence pass in vain but never holds one back.
 
-Tasks count blocks of a million words at a time: words get block-local
-numbers, a sequence becomes three numbers of 21 bits in one integer, and only
-different sequences leave the block.
+Tasks count blocks of a million words at a time. Mining cuts words from the bytes
+of many texts at once and needs their hashes only. Counting numbers the words of a
+block, a sequence becomes three numbers of 21 bits in one integer, and only
+different sequences leave the block, a few at a time. No word is a Python object.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_spark.llm.hashing import mix, texts
+from ledger_spark.llm.hashing import mix, texts, word_hashes
 from ledger_spark.staging import stage
 
 # Shards mined at lower support. Below ``least``, so that one occurrence is not enough.
 SHARDS = 4
 # Words counted at once; below 2^20, so that their numbers fit 21 bits.
 BLOCK = 1_000_000
+# Bytes of text that are cut into words at once, and rows given to Spark at once.
+SLAB = 1 << 22
+ROWS = 1 << 16
 # Bits of the candidate bitmap: for each candidate, and at most (32 MB).
 BITS_EACH = 16
 MOST_BITS = 1 << 28
@@ -48,73 +54,36 @@ _WIDTH = 21
 # bits in one row of Spark's bitmap functions
 _ROW_BITS = 32768
 
-# Piece borders, and the blanks between words. A byte that UTF-8 never has marks a border.
+# Piece borders, and the blanks between words.
 _BORDERS = b".,;:!?\n\v\f\r"
-_MARK = b"\xff"
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BORDERS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_BORDERS) + b" "
 )
+_SPACE, _LINE = (pa.scalar(c, pa.large_binary()) for c in (b" ", b"\n"))
+_BLANK = re.compile(b"[\n ]")
+_FOLLOWING = re.compile(rb"(?:[\n ]*[^\n ]+){1,%d}" % (_LONGEST - 1))
 
 
-def marked_words(text: bytes) -> list[bytes]:
-    """Lower-cased words of a text with a mark at every border between pieces."""
-    return text.translate(_TABLE).replace(b"\n", b" " + _MARK + b" ").split()
-
-
-class _Numbers(dict):
-    """Numbers of one language's words within a block, from 1.
+class Block:
+    """The next words of some texts, with the sequences that begin at each.
 
-    It knows the block's words but not the block, so that a block is freed at once.
+    ``data`` holds the words' bytes without the blanks between them, ``sizes`` their
+    lengths, ``language`` their places in ``names``, ``one`` hashes of word and
+    language. ``begins`` tells where a sequence of one, two and three words begins.
     """
 
-    def __init__(self, words: list[tuple[str, bytes]], language: str):
-        self[_MARK] = 0
-        self.words, self.language = words, language
+    def __init__(self, names: list[str], language: np.ndarray, one: np.ndarray, begins: list[np.ndarray], data: np.ndarray, sizes: np.ndarray):
+        self.names, self.language, self.one, self.begins, self.data, self.sizes = names, language, one, begins, data, sizes
 
-    def __missing__(self, word: bytes) -> int:
-        self.words.append((self.language, word))
-        number = self[word] = len(self.words)
-        return number
-
-
-class Block:
-    """Words of many documents, numbered."""
-
-    def __init__(self):
-        self.words: list[tuple[str, bytes]] = []
-        self.numbers: dict[str, _Numbers] = {}
-        self.parts: list[np.ndarray] = []
-        self.firsts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, language: str, words: list[bytes], firsts: int) -> None:
-        """Add words, of which only the first ``firsts`` begin sequences."""
-        if language not in self.numbers:
-            self.numbers[language] = _Numbers(self.words, language)
-        number = self.numbers[language].__getitem__
-        self.parts.append(np.fromiter(map(number, words), np.int64, len(words)))
-        self.parts.append(np.zeros(_LONGEST - 1, np.int64))
-        begin = np.zeros(len(words) + _LONGEST - 1, bool)
-        begin[:firsts] = True
-        self.firsts.append(begin)
-        self.size += firsts
-
-    def columns(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All word numbers, and where a sequence of one, two and three words begins."""
-        numbers = np.concatenate(self.parts)
-        going, begins = np.concatenate(self.firsts), []
-        for i in range(_LONGEST):
-            following = np.zeros(len(numbers), bool)
-            following[: len(numbers) - i] = numbers[i:] > 0
-            going = going & following
-            begins.append(going)
-        return numbers, begins
-
-    def word_hashes(self) -> np.ndarray:
-        """Hash of each word and its language, by number; number 0 is no word."""
-        seeds = {name: xxhash.xxh3_64_intdigest(name.encode()) for name in self.numbers}
-        own = (xxhash.xxh3_64_intdigest(word, seeds[name]) for name, word in self.words)
-        return np.r_[np.uint64(0), mix(np.fromiter(own, np.uint64, len(self.words)))]
+    def numbered(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The number of each word, and by number the word and its place in ``names``."""
+        offsets = pa.array(np.r_[0, np.cumsum(self.sizes)], pa.int64())
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.sizes), [None, offsets.buffers()[1], pa.py_buffer(self.data)])
+        words = words.dictionary_encode()
+        pairs = words.indices.to_numpy().astype(np.int64) * len(self.names) + self.language
+        pairs = pa.array(pairs).dictionary_encode()
+        word, language = np.divmod(pairs.dictionary.to_numpy(), len(self.names))
+        return pairs.indices.to_numpy().astype(np.int64), words.dictionary.take(pa.array(word)), language
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -131,18 +100,64 @@ def unpacked(packed: np.ndarray, place: int) -> np.ndarray:
     return packed >> _WIDTH * (_LONGEST - 1 - place) & (1 << _WIDTH) - 1
 
 
+Part = tuple[str, bytes, int]
+
+
+def _parts(language: str, text: bytes) -> Iterator[Part]:
+    """Parts of a text with the sequences that begin within their first bytes.
+
+    A long text is cut between words; a part also holds the words that sequences
+    need which begin before its end.
+    """
+    text, at = text.translate(_TABLE), 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + SLAB)
+        end = blank.start() if blank else len(text)
+        following = _FOLLOWING.match(text, end)
+        yield language, text[at : following.end() if following else end], end - at
+        at = end
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    block = Block()
+    parts, size = [], 0
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            words = marked_words(text or b"")
-            for at in range(0, len(words), BLOCK):
-                block.add(language, words[at : at + BLOCK + _LONGEST - 1], min(BLOCK, len(words) - at))
-                if block.size >= BLOCK:
-                    yield block
-                    block = Block()
-    if block.size:
-        yield block
+            for part in _parts(language, text or b""):
+                parts.append(part)
+                size += len(part[1])
+                if size >= SLAB:
+                    yield from _cut(parts)
+                    parts, size = [], 0
+    yield from _cut(parts)
+
+
+def _cut(parts: list[Part]) -> Iterator[Block]:
+    """Blocks of the words of some parts of texts."""
+    whole = b"\n".join(text for _, text, _ in parts)
+    data = np.frombuffer(whole, np.uint8)
+    inside = (data != 32) & (data != 10)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return
+    # parts of texts are parted by a line end, so a piece lies in one part
+    piece = np.cumsum(~inside & (data == 10), dtype=np.int32)[starts]
+    first = np.cumsum([0, *(len(text) + 1 for _, text, _ in parts[:-1])])
+    part = np.searchsorted(first, starts, "right") - 1
+    counted = starts < (first + [end for _, _, end in parts])[part]
+    places: dict[str, int] = {}
+    language = np.array([places.setdefault(name, len(places)) for name, _, _ in parts])[part]
+    seeds = np.array([xxhash.xxh3_64_intdigest(name.encode()) for name in places], np.uint64)
+    one = mix(word_hashes([whole])[0] + seeds[language])
+    for at in range(0, len(starts), BLOCK):
+        own = slice(at, at + BLOCK + _LONGEST - 1)
+        own_piece, going = piece[own], counted[own].copy()
+        going[BLOCK:] = False
+        begins = [going]
+        for i in range(1, _LONGEST):
+            begins.append(going & np.r_[own_piece[i:] == own_piece[: len(own_piece) - i], np.zeros(min(i, len(own_piece)), bool)])
+        low, high = starts[at], starts[own][-1] + sizes[own][-1]
+        yield Block(list(places), language[own], one[own], begins, data[low:high][inside[low:high]], sizes[own])
 
 
 class Bitmap:
@@ -203,28 +218,28 @@ def _mined(shards: int, pairs=None):
         known = Bitmap(pairs.value) if pairs else None
         shard = TaskContext.get().partitionId() % shards
         for block in _blocks(batches):
-            numbers, begins = block.columns()
-            words = block.word_hashes()
-            one = words[numbers]
+            one = block.one
             two = joined(one, one[1:])
+            at = np.flatnonzero(block.begins[2 if known else 1])
             if known:
-                at = np.flatnonzero(begins[2])
                 at = at[known.has(two[at])]
                 at = at[known.has(two[at + 1])]
                 hashes, counts = np.unique(mix(two[at] * _JOIN + one[at + 2]), return_counts=True)
             else:
-                single = np.bincount(numbers[begins[0]], minlength=len(words))
-                hashes, counts = np.unique(two[np.flatnonzero(begins[1])], return_counts=True)
-                hashes, counts = np.r_[words[1:], hashes], np.r_[single[1:], counts]
-                hashes, counts = hashes[counts > 0], counts[counts > 0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
-                ["shard", "hash", "n"],
-            )
+                hashes, counts = np.unique(np.r_[one[block.begins[0]], two[at]], return_counts=True)
+            for i in range(0, len(hashes), ROWS):
+                own = slice(i, i + ROWS)
+                columns = np.full(len(hashes[own]), shard, np.int32), hashes[own].view(np.int64), counts[own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "hash", "n"])
 
     return run
 
 
+def _entries(phrases: pa.Array, languages: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    entry = pc.binary_join_element_wise(phrases, languages, _LINE).cast(pa.large_string())
+    return pa.RecordBatch.from_arrays([entry.cast(pa.string()), pa.array(counts)], ["entry", "n"])
+
+
 def _counted(candidates):
     """Exact counts of candidates and, as sequences of no words, of all words of a language.
 
@@ -234,31 +249,21 @@ def _counted(candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = (Bitmap(c.value) for c in candidates)
         for block in _blocks(batches):
-            numbers, begins = block.columns()
-            one = block.word_hashes()[numbers]
+            one = block.one
             two = joined(one, one[1:])
             three = joined(two, one[2:])
-            text = [b"", *(word for _, word in block.words)]
-            tail = [b"", *(b"\n" + name.encode() for name, _ in block.words)]
-            phrases, counts = [], []
+            numbers, words, language = block.numbered()
+            names = pa.array([name.encode() for name in block.names], pa.large_binary())
             for length, known, hashes in ((1, short, one), (2, short, two), (3, long, three)):
-                at = np.flatnonzero(begins[length - 1])
+                at = np.flatnonzero(block.begins[length - 1])
                 at = at[known.has(hashes[at])]
                 packed, n = np.unique(_packed(numbers, at, length), return_counts=True)
-                a, b, c = (unpacked(packed, i).tolist() for i in range(_LONGEST))
-                if length == 1:
-                    phrases += [text[x] + tail[x] for x in a]
-                elif length == 2:
-                    phrases += [b"%b %b%b" % (text[x], text[y], tail[x]) for x, y in zip(a, b)]
-                else:
-                    phrases += [b"%b %b %b%b" % (text[x], text[y], text[z], tail[x]) for x, y, z in zip(a, b, c)]
-                counts.append(n)
-            single = np.bincount(numbers[begins[0]], minlength=len(text))
-            totals: dict[bytes, int] = {}
-            for name, count in zip(tail[1:], single[1:].tolist()):
-                totals[name] = totals.get(name, 0) + count
-            counted = pa.array(np.concatenate([*counts, np.fromiter(totals.values(), np.int64, len(totals))]))
-            yield pa.RecordBatch.from_arrays([pa.array([*phrases, *totals], pa.string()), counted], ["entry", "n"])
+                for i in range(0, len(packed), ROWS):
+                    own = [unpacked(packed[i : i + ROWS], k) for k in range(length)]
+                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(k)) for k in own), _SPACE)
+                    yield _entries(phrase, names.take(pa.array(language[own[0]])), n[i : i + ROWS])
+            totals = np.bincount(block.language[block.begins[0]], minlength=len(names))
+            yield _entries(pa.array([b""] * len(names), pa.large_binary()), names, totals)
 
     return run
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from ledger_spark.llm import phrases as ph
@@ -97,3 +100,42 @@ def test_empty_and_long(spark):
     long = spark.createDataFrame([("en", "a b c " * 200_000), ("en", "a b. " * 9)], "lang string, text string")
     got = [tuple(r) for r in ph.collocations(long).collect()]
     assert got == plain([("en", "a b c " * 200_000), ("en", "a b. " * 9)], 10, 50, 2000)
+
+
+FULL = SimpleNamespace(value=b"\xff" * 4096)
+
+
+def batch_of(rows):
+    return pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows], pa.string())})
+
+
+@pytest.mark.parametrize("slab,block", [(1, 1), (1, 100), (9, 2), (40, 7), (300, 1000)])
+def test_texts_cut_anywhere(monkeypatch, slab, block):
+    """Parts of long texts and blocks of few words together hold each sequence once."""
+    monkeypatch.setattr(ph, "SLAB", slab)
+    monkeypatch.setattr(ph, "BLOCK", block)
+    rows = [("und" if lang is None else lang, text) for lang, text in made(slab + block)]
+    got = Counter()
+    for out in ph._counted((FULL, FULL))(iter([batch_of(rows[:80]), batch_of(rows[80:])])):
+        for entry, n in zip(*(column.to_pylist() for column in out.columns)):
+            got[tuple(entry.split("\n"))] += n
+    want = Counter()
+    for lang, f in counts(rows).items():
+        for words, n in f.items():
+            want[" ".join(words), lang] += n
+            want["", lang] += n * (len(words) == 1)
+    assert +got == +want
+
+
+def test_few_rows_and_no_words_as_objects():
+    """Of a million different words, bounded batches leave and no task holds them as Python objects."""
+    rng = random.Random(5)
+    words = [f"{rng.randrange(10**9):x}" for _ in range(1_000_000)]
+    batch = batch_of([("en", " ".join(words[i : i + 500])) for i in range(0, len(words), 500)])
+    del words
+    tracemalloc.start()
+    sizes = [out.num_rows for out in ph._counted((FULL, FULL))(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) > 2_900_000 and max(sizes) <= 1 << 16
+    assert peak < 200 << 20
