@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ ANCHOR = LENGTH - REACH
 # Bytes of a text that are searched at once, of contexts that are compared at once,
 # and of contexts that are sorted at once.
 SLAB = 1 << 22
+# Bytes of short texts that are searched together; below SLAB.
+TOGETHER = 1 << 18
 DECIDED_BYTES = 1 << 20
 SORTED_BYTES = 1 << 17
 # Bytes of different contexts from which an anchor is decided by string hashes.
@@ -50,6 +53,7 @@ HOT_BYTES = 1 << 21
 MEMO_CONTEXTS = 500_000
 
 _PLACE_BITS = np.uint64(23)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -67,11 +71,12 @@ def _windows_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor of a text its hash, and the first and last start of the strings it anchors.
 
     Long texts are searched in slabs; an anchor at a slab's edge may be given
-    twice, for the strings before and after the edge.
+    twice, for the strings before and after the edge. ``ends`` are those of several
+    texts that were joined; strings do not cross them.
     """
     hashes, firsts, lasts = [], [], []
     for base in range(0, max(len(text) - LENGTH + 1, 0), SLAB):
@@ -80,27 +85,55 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ranked = (mix(grams) & ~((np.uint64(1) << _PLACE_BITS) - np.uint64(1))) | np.arange(len(grams), dtype=np.uint64)
         starts = len(data) - LENGTH + 1
         at = (_windows_min(ranked, REACH)[:starts] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        start = np.arange(starts)
+        if ends is not None:
+            whole = np.ones(starts, bool)
+            for end in (ends - base).tolist():
+                whole[max(end - LENGTH + 1, 0) : max(end, 0)] = False
+            start = start[whole]
+            at = at[whole]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
         place = at[first]
         whole = np.zeros(len(place), np.uint64)
         for k in range(0, ANCHOR, 8):
             whole = mix(whole + grams[place + k])
         hashes.append(whole)
-        firsts.append(first + base)
-        lasts.append(np.r_[first[1:], starts] - 1 + base)
+        firsts.append(start[first] + base)
+        lasts.append(start[np.r_[first[1:], len(at)][: len(first)] - 1] + base)
     if not hashes:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
     return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
+def _together(many: Iterator[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts of ``TOGETHER`` bytes at most, or one longer text, with the place of the first."""
+    begin, size, group = 0, 0, []
+    for at, text in enumerate(many):
+        if group and size + len(text) > TOGETHER:
+            yield begin, group
+            begin, size, group = at, 0, []
+        group.append(text)
+        size += len(text)
+    if group:
+        yield begin, group
+
+
+def _anchors_together(group: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, where each begins, their anchors, and the text that each anchor is in."""
+    whole = b"".join(group)
+    ends = np.cumsum([len(text) for text in group])
+    found, first, last = anchors(whole, ends if len(group) > 1 else None)
+    return whole, np.r_[0, ends[:-1]], found, first, last, np.searchsorted(ends, first, "right")
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            found, first, _ = anchors(text)
-            if len(found):
-                yield pa.RecordBatch.from_pydict(
-                    {"anchor": pa.array(found.view(np.int64)), "row": np.full(len(found), row, np.int64), "at": pa.array(first)}
-                )
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        for at, group in _together(texts(batch.column(1))):
+            _, begins, found, first, _, owner = _anchors_together(group)
+            yield pa.RecordBatch.from_pydict(
+                {"anchor": pa.array(found.view(np.int64)), "row": pa.array(rows[at + owner]), "at": pa.array(first - begins[owner])}
+            )
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,55 +163,59 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of repeated anchors; a null context marks strings that are known to repeat.
 
     Rows come in ascending order within a task, so a context that the task has
-    seen before repeats an earlier one.
+    seen before repeats an earlier one. Neighbours of that kind are one row.
     """
     seen: set[bytes] = set()
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in _SCHEMA.names}
-        held = 0
-        for row, starts, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(counts)]
+        for at, group in _together(texts(batch.column(2))):
             if len(seen) > MEMO_CONTEXTS:
                 seen.clear()
-            found, first, last = anchors(text)
-            wanted = np.isin(first, np.array(starts, np.int64))
-            for h, a, b in zip(found.view(np.int64)[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist()):
-                data = text[a : b + LENGTH]
-                key = xxhash.xxh3_128_digest(data)
-                known = key in seen
-                seen.add(key)
-                for name, value in zip(_SCHEMA.names, (h, row, a, b, None if known else data)):
-                    out[name].append(value)
-                held += len(data)
-            if held > SLAB:
-                yield pa.RecordBatch.from_pydict(out, _SCHEMA)
-                out, held = {n: [] for n in _SCHEMA.names}, 0
-        yield pa.RecordBatch.from_pydict(out, _SCHEMA)
-
-
-def repeated_starts(contexts: list[bytes]) -> list[tuple[int, int]]:
-    """(context, start) of every ``LENGTH``-byte string that an earlier context or start has.
-
-    Contexts are joined with a symbol below all bytes between them.
+            whole, begins, found, first, last, owner = _anchors_together(group)
+            wanted = np.zeros(len(whole), bool)
+            wanted[starts[bounds[at] : bounds[at + len(group)]] + np.repeat(begins, counts[at : at + len(group)])] = True
+            chosen = wanted[first]
+            found, first, last, owner = found[chosen], first[chosen], last[chosen], owner[chosen]
+            data = [whole[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
+            # add() gives None
+            known = np.array([key in seen or bool(seen.add(key)) for key in map(xxhash.xxh3_128_digest, data)], bool)
+            going = known[1:] & known[:-1] & (owner[1:] == owner[:-1]) & (first[1:] <= last[:-1] + LENGTH)
+            head = np.flatnonzero(np.r_[True, ~going][: len(known)])
+            tail = np.r_[head[1:], len(known)][: len(head)] - 1
+            begin, own = begins[owner[head]], rows[at + owner[head]]
+            kept = [None if k else data[i] for i, k in zip(head.tolist(), known[head].tolist())]
+            columns = found[head].view(np.int64), own, first[head] - begin, last[tail] - begin, kept
+            yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, columns)), _SCHEMA)
+
+
+def repeated_stretches(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, start and end of the ``LENGTH``-byte strings that an earlier context or start has.
+
+    Contexts are joined with a symbol below all bytes between them. Strings that
+    begin one after another are one stretch.
     """
-    symbols: list[int] = []
-    origin: list[tuple[int, int]] = []
-    for number, data in enumerate(contexts):
-        symbols += [b + 1 for b in data]
-        symbols.append(0)
-        origin += [(number, i) for i in range(len(data) + 1)]
-    out: list[tuple[int, int]] = []
-    group: list[tuple[int, int]] = []
-    string = None
-    for i in suffix_array(symbols):
-        number, start = origin[i]
-        now = contexts[number][start : start + LENGTH]
-        if len(now) < LENGTH:
-            continue
-        if now != string:
-            out += sorted(group)[1:]
-            group, string = [], now
-        group.append((number, start))
-    return out + sorted(group)[1:]
+    data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
+    borders = np.cumsum([len(c) for c in contexts], dtype=np.int64) + np.arange(len(contexts))
+    symbols = data.astype(np.int64) + 1
+    symbols[borders] = 0
+    begins = np.r_[0, borders[:-1] + 1] if contexts else borders
+    order = np.array(suffix_array(symbols.tolist()), np.int64)
+    order = order[borders[np.searchsorted(borders, order)] - order >= LENGTH]
+    later = np.zeros(len(data) + 1, bool)
+    if len(order):
+        grams, same = _grams(data), np.ones(len(order) - 1, bool)
+        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            now = grams[order + k]
+            same &= now[1:] == now[:-1]
+        later[order] = True
+        later[np.minimum.reduceat(order, np.flatnonzero(np.r_[True, ~same]))] = False
+    edges = np.flatnonzero(np.diff(later, prepend=False))
+    first, last = edges[::2], edges[1::2] - 1
+    number = np.searchsorted(borders, first)
+    return number, first - begins[number], last - begins[number] + LENGTH
 
 
 Entry = tuple[int, int, int, bytes]
@@ -193,16 +230,23 @@ def _shared_parts(entries: list[Entry]) -> Iterator[Entry]:
     data = np.frombuffer(b"".join(e[3] for e in entries), np.uint8)
     sizes = np.array([len(e[3]) for e in entries])
     ends = np.cumsum(sizes)
-    grams = _grams(data)
     count = len(data) - LENGTH + 1
-    total = np.zeros(count, np.uint64)
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        total = mix(total + grams[k : k + count])
+    total, step = _grams(data), 8
+    while step * 2 <= LENGTH:
+        total = mix(total[:-step] * _TIMES + total[step:])
+        step *= 2
+    rest = LENGTH - step
+    total = mix(total[:count] * _TIMES + total[rest : rest + count])
     owner = np.repeat(np.arange(len(entries)), sizes)[:count]
     at = np.flatnonzero(np.arange(count) + LENGTH <= ends[owner])
     number = np.array([e[0] for e in entries], np.uint64)[owner[at]]
-    _, same, times = np.unique(mix(total[at] + mix(number)), return_inverse=True, return_counts=True)
-    at = at[times[same] > 1]
+    total = total[at] + mix(number)
+    order = np.argsort(total)
+    total = total[order]
+    same = total[1:] == total[:-1]
+    shared = np.zeros(len(at), bool)
+    shared[order] = np.r_[same, False] | np.r_[False, same]
+    at = at[shared]
     if not len(at):
         return
     new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
@@ -230,11 +274,11 @@ def _settle(entries: list[Entry]) -> pa.RecordBatch:
             group[part] = row, start
 
     def order(parts: list[tuple[bytes, tuple[int, int]]]) -> None:
-        for number, at in repeated_starts([part for part, _ in parts]):
+        for number, a, b in zip(*(c.tolist() for c in repeated_stretches([part for part, _ in parts]))):
             row, start = parts[number][1]
             rows.append(row)
-            starts.append(start + at)
-            ends.append(start + at + LENGTH)
+            starts.append(start + a)
+            ends.append(start + b)
 
     pending: list[tuple[bytes, tuple[int, int]]] = []
     for group in groups.values():
@@ -271,6 +315,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed stretches (row, start, end); input sorted by anchor, row and first start.
 
     Strings of an anchor beyond ``HOT_BYTES`` come with their hashes, undecided.
+    Equal contexts have equal anchors, so those of a batch are found at once.
     """
     entries: list[Entry] = []
     group: list[Entry] = []
@@ -279,7 +324,16 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor, seen = None, set()
     for batch in batches:
         rows, starts, ends = [], [], []
-        columns = [batch.column(i).to_pylist() for i in range(5)]
+        codes = batch.column(4).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh = codes > np.maximum.accumulate(np.r_[-1, codes[:-1]])[: len(codes)]
+        again = batch.select([1, 2, 3]).filter(pa.array(~fresh))
+        yield _stretches(again.column(0), again.column(1), pc.add(again.column(2), LENGTH))
+        # an anchor with one context has nothing to compare, unless it may go on in another batch
+        batch = batch.filter(pa.array(fresh))
+        new = np.diff(batch.column(0).to_numpy(zero_copy_only=False)) != 0
+        more = np.ones(batch.num_rows, bool)
+        more[1:-1] = ~(new[:-1] & new[1:])
+        columns = [column.to_pylist() for column in batch.filter(pa.array(more)).columns]
         for now, row, first, last, data in zip(*columns):
             if now != anchor:
                 if hot and group:
@@ -292,7 +346,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entries, size = [], 0
                 anchor, group, seen, held, hot = now, [], set(), 0, False
                 number += 1
-            if data is None or data in seen:
+            if data in seen:
                 rows.append(row)
                 starts.append(first)
                 ends.append(last + LENGTH)
@@ -324,13 +378,13 @@ def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select([0, 1, 2]).filter(pa.array(same))
 
 
-def _stretches(rows: list[int], starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    nothing = [None] * len(rows)
+def _stretches(rows, starts, ends) -> pa.RecordBatch:
+    nothing = pa.nulls(len(rows), pa.int64())
     return _decided(rows, starts, ends, nothing, nothing)
 
 
 def _decided(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "end", "high", "low"])
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["row", "start", "end", "high", "low"])
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,8 +398,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
-            starts, ends = merged(*(np.array([s[e] for s in spans], np.int64) for e in ("start", "end")))
+        spans = batch.column(2).flatten()
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))].tolist()
+        edges = [spans.field(i).to_numpy(zero_copy_only=False) for i in range(2)]
+        for text, low, high in zip(texts(batch.column(1)), bounds, bounds[1:]):
+            starts, ends = merged(*(e[low:high] for e in edges))
             at, kept = 0, []
             for a, b in zip(starts.tolist(), ends.tolist()):
                 kept.append(text[at:a])

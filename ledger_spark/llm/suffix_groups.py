@@ -33,6 +33,22 @@ def suffix_array(symbols: list[int]) -> list[int]:
     end = n - 1
     while end >= 0:
         first = group[order[end]]
+        if first == end:
+            # one suffix finds one other, which moves alone
+            i = order[end]
+            j = i - 1
+            while j >= 0 and group[j] >= first:
+                j = before[j]
+            before[i] = j
+            if j >= 0 and size[g := group[j]] > 1:
+                size[g] -= 1
+                to, at = g + size[g], place[j]
+                other = order[to]
+                order[at], order[to] = other, j
+                place[other], place[j] = at, to
+                group[j], size[to] = to, 1
+            end -= 1
+            continue
         times: dict[int, int] = {}
         for i in sorted(order[first : end + 1]):
             j = i - 1
@@ -42,8 +58,11 @@ def suffix_array(symbols: list[int]) -> list[int]:
             if j >= 0:
                 times[j] = times.get(j, 0) + 1
         by_times: dict[int, list[int]] = {}
-        for j, k in times.items():
-            by_times.setdefault(k, []).append(j)
+        if sum(times.values()) == len(times):
+            by_times[1] = list(times)
+        else:
+            for j, k in times.items():
+                by_times.setdefault(k, []).append(j)
         for k in sorted(by_times, reverse=True):
             moved: dict[int, int] = {}
             for j in by_times[k]:
@@ -66,23 +85,15 @@ def suffix_array(symbols: list[int]) -> list[int]:
         end = first - 1
 
     # phase two: suffixes whose Lyndon prefix ends before each position
-    free = {g: g for g in group}
+    free = list(range(n))
     placed = bytearray(n)
     out = [-1] * n
-
-    def put(i: int) -> None:
-        g = group[i]
-        out[free[g]] = i
-        free[g] += 1
-        placed[i] = 1
-
-    def before_position(p: int) -> None:
-        j = p - 1
+    for at in range(-1, n):
+        j = (out[at] if at >= 0 else n) - 1
         while j >= 0 and not placed[j]:
-            put(j)
+            g = group[j]
+            out[free[g]] = j
+            free[g] += 1
+            placed[j] = 1
             j = before[j]
-
-    before_position(n)
-    for at in range(n):
-        before_position(out[at])
     return out

@@ -113,3 +113,46 @@ def test_hot_anchor_is_not_held_in_one_task():
         # what was read and not yet given on is bounded
         assert (read - seen / 41) * size < 2 * repeats.HOT_BYTES
     assert seen == 41 * count
+
+
+def test_short_texts_are_searched_together():
+    """Few batches for many short texts, and the anchors that each text has alone."""
+    rng = random.Random(6)
+    some = ["".join(rng.choices("abé ", k=rng.choice([0, 60, 99, 100, 101, 700]))).encode() for _ in range(400)] + [b"long " * 70_000, b"end" * 50]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(7, 7 + len(some))), "text": pa.array([t.decode() for t in some])})
+    out = list(repeats._anchor_rows(iter([batch])))
+    assert len(out) < 10
+    found = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert found == [(h, 7 + i, a) for i, t in enumerate(some) for h, a in zip(*(c.view("i8").tolist() for c in repeats.anchors(t)[:2]))]
+
+
+def test_neighbouring_repeats_are_one_row():
+    """A repeated passage leaves as one stretch, from contexts seen before and from the suffix order."""
+    text = "".join(random.Random(7).choices("abcdefgh ", k=3000))
+    starts = repeats.anchors(text.encode())[1].tolist()
+    columns = {"row": [1, 2], "starts": [starts, starts], "text": [text, "?" + text[200:]]}
+    starts = repeats.anchors(columns["text"][1].encode())[1].tolist()
+    columns["starts"][1] = starts
+    rows = pa.Table.from_batches(repeats._contexts(iter([pa.RecordBatch.from_pydict(columns)]))).to_pylist()
+    known = [r for r in rows if r["bytes"] is None]
+    assert [r["row"] for r in known] == [2] and known[0]["last"] == 2700 + 1
+    a, b = ("".join(random.Random(seed).choices("xyz", k=300)).encode() for seed in (1, 2))
+    contexts = [a, b, b"!" + a[10:250] + b"!" + b[:120], a[:99]]
+    assert [tuple(c.tolist()) for c in repeats.repeated_stretches(contexts)] == [(2, 2), (1, 242), (241, 362)]
+
+
+def test_equal_contexts_of_many_batches():
+    """Equal contexts are found within a batch and across batches of one anchor."""
+    rng = random.Random(8)
+    parts = [rng.randbytes(30) + b"y" * 90 + rng.randbytes(30) for _ in range(5)]
+    rows = sorted((rng.randrange(3), i, rng.choice([*parts, None])) for i in range(500))
+    rows = [(anchor, i, 0, 50, data and bytes([anchor]) + data[1:]) for anchor, i, data in sorted(rows, key=lambda r: r[:2])]
+    for size in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_pydict(dict(zip(repeats._SCHEMA.names, zip(*rows[at : at + size]))), repeats._SCHEMA) for at in range(0, 500, size)]
+        got = {(r["row"], p) for b in repeats._decide(iter(batches)) for r in b.to_pylist() for p in range(r["start"], r["end"] - L + 1)}
+        seen, want = set(), set()
+        for anchor, i, _, _, data in rows:
+            strings = range(51) if data is None else [p for p in range(51) if (anchor, data[p : p + L]) in seen]
+            want |= {(i, p) for p in strings}
+            seen |= set() if data is None else {(anchor, data[p : p + L]) for p in range(51)}
+        assert got == want
