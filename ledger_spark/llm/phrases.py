@@ -40,7 +40,7 @@ SHARDS = 4
 # Words counted at once; below 2^20, so that their numbers fit 21 bits.
 BLOCK = 1_000_000
 # Bytes of text that are cut into words at once, and rows given to Spark at once.
-SLAB = 1 << 22
+SLAB = 1 << 21
 ROWS = 1 << 16
 # Bits of the candidate bitmap: for each candidate, and at most (32 MB).
 BITS_EACH = 16
