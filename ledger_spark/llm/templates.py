@@ -15,6 +15,7 @@ way wherever it stands.
 from __future__ import annotations
 
 import re
+import string
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_spark.llm.hashing import mix, texts, windows
+from ledger_spark.llm.hashing import mix, texts, windows, word_hashes
 from ledger_spark.llm.ngram_join import only_ids
 from ledger_spark.staging import stage
 
@@ -41,7 +42,7 @@ FILTER_WINDOWS = 1_000_000
 FILTER_BITS = 22
 MEMO_WORDS = 400_000
 # Bytes of text canonicalised at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # Spelled numbers and units of measure.
 NUMBERS = (
@@ -66,115 +67,191 @@ _PLACES = np.array([0, 11, 13, 17], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _TABLE = (np.uint64, np.int8, np.uint64, bool, bool)
 _LISTED = frozenset([*NUMBERS, *UNITS])
+# Which bytes are blanks between words, letters, capitals, digits, quotes or brackets behind
+# a word, and marks that end a sentence or a part of one.
+_BLANK, _LETTER, _UPPER, _DIGIT, _CLOSING, _ENDS, _STOPS = (
+    np.isin(np.arange(256), list(some.encode()))
+    for some in (" \t\n\r\v\f", string.ascii_letters, string.ascii_uppercase, string.digits, "\"')]", ".!?:", ".!?:,;")
+)
+# First byte of the letters of Latin-1, and which second bytes are letters and capitals.
+_LATIN = 0xC3
+_SECOND, _CAPITAL = (np.isin(np.arange(256), [n for n in range(0x80, end) if n not in (0x97, 0xB7)]) for end in (0xC0, 0x9F))
 
 
 class Canonical(dict):
-    """Number of each distinct word, with its hash, kind, glued unit and how it ends.
+    """Hash, kind, glued unit and ending of the words of a text, which may be many texts joined.
 
-    One per task; ``start`` empties a full table, at the start of a slice of text
-    only, so that numbers stay valid within it.
+    Words of letters, perhaps with other signs but digits in or around them, are read all
+    at once from the text's bytes. Others are read one by one and remembered, in one table
+    for each task; ``start`` empties a full one.
     """
 
     def __init__(self):
         super().__init__()
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.values, self.kinds, self.units, self.ends, self.stops = [], [], [], [], []
-        self.arrays = tuple(np.zeros(0, kind) for kind in _TABLE)
-
-    def __missing__(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        core = word.rstrip(".,;:!?")
-        if core.isalpha() and (low := core.lower()) not in _LISTED:
-            # letters, perhaps with a mark behind them: a word or a name
-            kind = _CAP if len(core) > 1 and core[0].isupper() and core[1:].islower() else _WORD
-            return self._add(raw, low.encode(), kind, "", word[-1] in ".!?:", core != word)
-        bare = _EDGE.sub("", word)
-        low = bare.lower()
-        number = _NUMBER.match(word.strip("\"'()[]{}.,;:!?").lower())
-        unit = ""
-        if not bare:
-            kind = -1
-        elif number or low in NUMBERS:
-            kind = _NUM
-            if number and number[1] and (number[1] == "%" or number[1] in UNITS):
-                unit = number[1]
-                low = low.removesuffix(unit)
-        elif low in UNITS:
-            kind = _UNIT
-        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
-            kind = _CAP
-        else:
-            kind = _WORD
-        return self._add(raw, low.encode(), kind, unit, bool(_END.search(word)), bool(_STOP.search(word)))
-
-    def _add(self, raw: bytes, low: bytes, kind: int, unit: str, end: bool, stop: bool) -> int:
-        self[raw] = at = len(self.values)
-        self.values.append(xxhash.xxh3_64_intdigest(low) | 1)
-        self.kinds.append(kind)
-        self.units.append(xxhash.xxh3_64_intdigest(unit.encode()) | 1 if unit else 0)
-        self.ends.append(end)
-        self.stops.append(stop)
-        return at
+        self.known = self.arrays = tuple(np.zeros(0, kind) for kind in _TABLE)
+        self.begins = np.zeros(0, np.int64)
 
     def start(self) -> None:
-        if len(self.values) > MEMO_WORDS:
-            self._empty()
+        if len(self) > MEMO_WORDS:
+            self.clear()
+            self.known = tuple(np.zeros(0, kind) for kind in _TABLE)
 
     def numbers(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        """Number of each word of a text in ``table``; words end at ASCII white space."""
+        text += b" "
+        first, last, columns, plain = _plain(text)
+        odd = np.flatnonzero(~plain)
+        words = [text[a:b] for a, b in zip(first[odd].tolist(), last[odd].tolist())]
+        self._learn(list(dict.fromkeys(word for word in words if word not in self)))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for column, known in zip(columns, self.known):
+            column[odd] = known[at]
+        self.arrays, self.begins = columns, first
+        return np.arange(len(first))
+
+    def numbers_of_all(self, many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every word of all texts in order, and the place of its text."""
+        at = self.numbers(b" ".join(many))
+        ends = np.cumsum([len(text) + 1 for text in many])
+        return at, np.searchsorted(ends, self.begins, "right")
 
     def table(self) -> tuple[np.ndarray, ...]:
-        """The words' properties as arrays; only new words are added to those of the call before."""
-        old = len(self.arrays[0])
-        lists = (self.values, self.kinds, self.units, self.ends, self.stops)
-        self.arrays = tuple(np.r_[a, np.array(new[old:], a.dtype)] for a, new in zip(self.arrays, lists))
+        """Properties of the words of the last text."""
         return self.arrays
 
+    def _learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        lows, kinds, units, ends, stops = zip(*map(_read, new))
+        value, unit = (_hashes(" ".join(part or "-" for part in parts).encode()) for parts in (lows, units))
+        unit[[not part for part in units]] = 0
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        columns = (value, kinds, unit, ends, stops)
+        self.known = tuple(np.r_[known, np.array(column, known.dtype)] for known, column in zip(self.known, columns))
+
+
+def _hashes(words: bytes) -> np.ndarray:
+    return word_hashes([words])[0] | np.uint64(1)
 
-Form = tuple[np.ndarray, np.ndarray]
 
+def _plain(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """Where the words of ``data`` begin and end, their properties, and which of them were read.
 
-def canonical(at: np.ndarray, table) -> list[Form]:
-    """Token hashes and slot values of the forms of a text, from its word numbers.
+    Left out are words without letters, with digits, letters beyond Latin-1 or a quote or
+    bracket at the end, and numbers and units in words. ``data`` ends with a blank.
+    """
+    flat = np.frombuffer(data, np.uint8)
+    inside = ~_BLANK[flat]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    first, last = edges[::2], edges[1::2]
+    letter, upper, other = _LETTER[flat], _UPPER[flat], _DIGIT[flat]
+    # letters of Latin-1 have two bytes, the second of a small one is 32 higher
+    high = np.flatnonzero(flat > 127)
+    lead = high[(flat[high] == _LATIN) & _SECOND[flat[np.minimum(high + 1, len(flat) - 1)]]]
+    letter[lead] = letter[lead + 1] = True
+    upper[lead] = _CAPITAL[flat[lead + 1]]
+    other[high] = ~letter[high]
+    low = flat.copy()
+    low[lead[upper[lead]] + 1] += 32
+
+    letters, uppers = np.r_[0, np.cumsum(letter)], np.r_[0, np.cumsum(upper)]
+    plain = (letters[last] > letters[first]) & ~_CLOSING[flat[last - 1]]
+    plain[np.searchsorted(first, np.flatnonzero(other), "right") - 1] = False
+    read = np.flatnonzero(plain)
+    # without the signs around them
+    places = np.flatnonzero(letter)
+    begin, end = places[letters[first[read]]], places[letters[last[read]] - 1] + 1
+    step = np.zeros(len(flat) + 1, np.int8)
+    step[begin], step[end] = 1, -1
+    low[np.cumsum(step[:-1], dtype=np.int8) == 0] = 32
+    hashes = _hashes(low.tobytes())
+    listed = np.sort(_hashes(" ".join(_LISTED).encode()))
+    ours = listed[np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)] != hashes
+    plain[read[~ours]] = False
+
+    columns = tuple(np.zeros(len(first), kind) for kind in _TABLE)
+    values, kinds, _, ends, stops = columns
+    capital = upper[begin] & (uppers[last[read]] - uppers[first[read]] == 1) & (end - begin > 1 + (flat[begin] > 127))
+    values[read], kinds[read] = hashes, np.where(capital, _CAP, _WORD)
+    ends[read], stops[read] = _ENDS[flat[last[read] - 1]], _STOPS[flat[last[read] - 1]]
+    return first, last, columns, plain
+
+
+def _read(raw: bytes) -> tuple[str, int, str, bool, bool]:
+    """A word in small letters, its kind, its glued unit, and whether a sentence or a part of one ends behind it."""
+    word = raw.decode("utf-8", "replace")
+    core = word.rstrip(".,;:!?")
+    if core.isalpha() and (low := core.lower()) not in _LISTED:
+        # letters, perhaps with a mark behind them: a word or a name
+        kind = _CAP if len(core) > 1 and core[0].isupper() and core[1:].islower() else _WORD
+        return low, kind, "", word[-1] in ".!?:", core != word
+    bare = _EDGE.sub("", word)
+    low = bare.lower()
+    number = _NUMBER.match(word.strip("\"'()[]{}.,;:!?").lower())
+    unit = ""
+    if not bare:
+        kind = -1
+    elif number or low in NUMBERS:
+        kind = _NUM
+        if number and number[1] and (number[1] == "%" or number[1] in UNITS):
+            unit = number[1]
+            low = low.removesuffix(unit)
+    elif low in UNITS:
+        kind = _UNIT
+    elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+        kind = _CAP
+    else:
+        kind = _WORD
+    return low, kind, unit, bool(_END.search(word)), bool(_STOP.search(word))
+
+
+# Token hashes and slot values of one or more texts, and the place of each token's text.
+Form = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def canonical(at: np.ndarray, place: np.ndarray, table) -> list[Form]:
+    """The forms of some texts, from their word numbers and the place of each word's text.
 
     The first form has no slots. In the others a capitalised word is a name; where
     it starts the text or a sentence it is an ordinary word in the second form and
     a name in the third.
     """
     values, kinds, units, ends, stops = table
-    if not len(at):
-        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 3
     kind, value, unit, end = kinds[at], values[at], units[at], stops[at]
-    opens = (kind == _CAP) & np.r_[True, ends[at[:-1]]]
+    opens = (kind == _CAP) & (np.r_[True, ends[at[:-1]]][: len(at)] | _begins(place))
     glued = np.flatnonzero(unit)
     if len(glued):
         # a number with a unit becomes two tokens
         kind, opens = np.insert(kind, glued + 1, _UNIT), np.insert(opens, glued + 1, False)
         value, end = np.insert(value, glued + 1, unit[glued]), np.insert(end, glued, False)
+        place = np.insert(place, glued + 1, place[glued])
     real = np.flatnonzero(kind >= 0)
-    if not len(real):
-        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * 3
-    apart = np.r_[True, end[real[:-1]] | (np.diff(real) > 1)]
-    kind, value, opens = kind[real], value[real], opens[real]
-    exact = value, np.zeros(len(value), np.uint64)
-    return [exact, _merged(np.where(opens, _WORD, kind), value, apart), _merged(kind, value, apart)]
+    kind, value, opens, place = kind[real], value[real], opens[real], place[real]
+    apart = _begins(place)
+    apart[1:] |= end[real[:-1]] | (np.diff(real) > 1)
+    exact = value, np.zeros(len(value), np.uint64), place
+    return [exact, _merged(np.where(opens, _WORD, kind), value, apart, place), _merged(kind, value, apart, place)]
+
 
+def _begins(place: np.ndarray) -> np.ndarray:
+    """Whether each place differs from the one before it."""
+    begins = np.ones(len(place), bool)
+    begins[1:] = place[1:] != place[:-1]
+    return begins
 
-def _merged(kind: np.ndarray, value: np.ndarray, apart: np.ndarray) -> Form:
+
+def _merged(kind: np.ndarray, value: np.ndarray, apart: np.ndarray, place: np.ndarray) -> Form:
     """One token for each run of placeholders of one type that no punctuation divides."""
     slot = kind > 0
     tokens = np.where(slot, _PLACES[kind], value)
-    joins = np.r_[False, slot[1:] & (kind[1:] == kind[:-1]) & ~apart[1:]]
+    joins = np.zeros(len(kind), bool)
+    joins[1:] = slot[1:] & (kind[1:] == kind[:-1]) & ~apart[1:]
     if joins.any():
         first = np.flatnonzero(~joins)
         inside = np.arange(len(kind)) - np.repeat(first, np.diff(np.r_[first, len(kind)]))
         value = np.where(joins, mix(value + inside.astype(np.uint64) * _PLACES[1]), value)
-        value, tokens, slot = np.add.reduceat(value, first), tokens[first], slot[first]
-    return tokens, np.where(slot, value, np.uint64(0))
+        value, tokens, slot, place = np.add.reduceat(value, first), tokens[first], slot[first], place[first]
+    return tokens, np.where(slot, value, np.uint64(0)), place
 
 
 def _windows(form: int, tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -201,13 +278,14 @@ def _as_signed(values: np.ndarray) -> np.ndarray:
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Canonical()
-    for batch in batches:
+    for items, data in (part for batch in batches for part in _slices(batch)):
         memo.start()
         out = {n: [] for n in _ITEM_ARROW.names}
-        ats = [memo.numbers(t or b"") for t in texts(batch.column(1))]
-        table = memo.table()
-        for item, at in zip(batch.column(0).to_pylist(), ats):
-            forms = canonical(at, table)
+        at, place = memo.numbers_of_all(data)
+        whole = canonical(at, place, memo.table())
+        bounds = [np.searchsorted(place, np.arange(len(items) + 1)).tolist() for *_, place in whole]
+        for k, item in enumerate(items):
+            forms = [(tokens[b[k] : b[k + 1]], slots[b[k] : b[k + 1]]) for (tokens, slots, _), b in zip(whole, bounds)]
             version = xxhash.xxh3_64_intdigest(b"".join(part.tobytes() for form in forms for part in form)) - (1 << 63)
             for form, (tokens, slots) in enumerate(forms):
                 keys, usable, size = _windows(form, tokens, slots)
@@ -266,41 +344,33 @@ def _doc_windows(filters, sizes):
         for batch in batches:
             for docs, data in _slices(batch):
                 memo.start()
-                ats = [memo.numbers(t) for t in data]
-                table = memo.table()
-                counts, places, found, slots_out, lengths = [], [], [], [], []
-                for at in ats:
-                    forms = canonical(at, table)
-                    hits = 0
-                    for form, size in sizes:
-                        tokens, slots = forms[form]
-                        if len(tokens) < size:
-                            continue
-                        keys = _keys(form, tokens, size)
-                        hit = np.arange(len(keys))
-                        if seen is not None:
-                            one, two = _probes(keys)
-                            hit = np.flatnonzero(seen[one])
-                            hit = hit[seen[two[hit]]]
-                        if len(hit):
-                            hits += len(hit)
-                            places.append(hit)
-                            found.append(_as_signed(keys[hit]))
-                            slots_out.append(np.lib.stride_tricks.sliding_window_view(_as_signed(slots), size)[hit].ravel())
-                            lengths.append(np.full(len(hit), size, np.int32))
-                    counts.append(hits)
-                if not places:
-                    continue
-                offsets = np.r_[np.int32(0), np.cumsum(np.concatenate(lengths), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
-                        pa.array(np.concatenate(places), pa.int64()),
-                        pa.array(np.concatenate(found)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots_out))),
-                    ],
-                    schema=_DOC_ARROW,
-                )
+                at, place = memo.numbers_of_all(data)
+                forms = canonical(at, place, memo.table())
+                ids = pa.array(docs, pa.int64())
+                for form, size in sizes:
+                    tokens, slots, place = forms[form]
+                    if len(tokens) < size:
+                        continue
+                    keys = _keys(form, tokens, size)
+                    hit = np.arange(len(keys))
+                    if seen is not None:
+                        one, two = _probes(keys)
+                        hit = np.flatnonzero(seen[one])
+                        hit = hit[seen[two[hit]]]
+                    # no window reaches into the next text
+                    hit = hit[place[hit] == place[hit + size - 1]]
+                    if not len(hit):
+                        continue
+                    inside = np.lib.stride_tricks.sliding_window_view(_as_signed(slots), size)[hit].ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(place[hit])),
+                            pa.array(hit - np.searchsorted(place, place[hit])),
+                            pa.array(_as_signed(keys[hit])),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * np.int32(size)), pa.array(inside)),
+                        ],
+                        schema=_DOC_ARROW,
+                    )
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 
 from ledger_spark.llm import templates as t
 from ledger_spark.llm.templates import leaked_items, without_leaks
@@ -116,3 +117,43 @@ def test_slices_give_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(t, "SLICE", 3000)
     monkeypatch.setattr(t, "MEMO_WORDS", 200)
     assert sorted(map(tuple, t.leaked_items(docs, items).collect())) == whole and whole
+
+
+def test_new_words_are_read_at_once(spark, monkeypatch):
+    """Neither words that occur once nor documents are read one by one."""
+    letters = [chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(2000)]
+    words = [w + end for w, end in zip(letters, ["", ".", "$$$", "é", "É,", "-x"] * 400)]
+    memo = t.Canonical()
+    assert len(memo.numbers(" ".join(words).encode())) == 2000 and not memo
+    memo.numbers(b"plain (word) 5kg 5kg one")
+    assert set(memo) == {b"(word)", b"5kg", b"one"}
+
+    calls, canonical = [], t.canonical
+    monkeypatch.setattr(t, "canonical", lambda *given: calls.append(1) or canonical(*given))
+    monkeypatch.setattr(t, "SLICE", 40_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [" ".join(words[:20])] * 1000})
+    found = pa.Table.from_batches(t._doc_windows(None, [(0, 8)])(iter([batch])))
+    assert len(calls) <= 4
+    assert found["doc_id"].to_pylist() == [k for k in range(1000) for _ in range(13)]
+    assert found["at"].to_pylist() == list(range(13)) * 1000
+
+
+def test_signs_and_latin_letters_are_read_like_all_others(monkeypatch):
+    words = "été Été. ÉTÉ É é, Éa a×b ×a ÷ ÿ Þa ß don't Don't wor-D $Word$ word.$$$ word,### _a_ -- .a? kg$$ (one --a!! Éte; x".encode().split()
+    words += [b"\xc3", b"a\xc3", b"\xc3a", b"a\x89", b"a\xffb", b"word" * 500]
+    short = t.Canonical()
+    short.numbers(b" ".join(words))
+    kinds, ends, stops = (short.table()[k].tolist() for k in (1, 3, 4))
+    general = [t._read(word) for word in words]
+    assert (kinds, ends, stops) == tuple([row[k] for row in general] for k in (1, 3, 4))
+    lows = [row[0] or None for row in general]
+    values = [value if low else None for value, low in zip(short.table()[0].tolist(), lows)]
+    assert len(set(zip(lows, values))) == len(set(lows)) == len(set(values))
+
+
+def test_windows_end_with_their_text(spark):
+    words = OTHER.split()
+    halves = [" ".join(words[:10]), " ".join(words[10:])]
+    texts = [half for k in range(20) for half in halves] + [None, "", OTHER, "", OTHER]
+    got = found(spark, [(k, text, None) for k, text in enumerate(texts)], [(1, OTHER)])
+    assert set(got) == {(42, 1), (44, 1)}
