@@ -15,12 +15,15 @@ multiplied:
    discarded.
 4. A large column first compares its rows with one pivot row only. Rows that are
    thereby connected need no further comparison. Columns whose rows are still in
-   different components are taken together where they share rows, so that each
-   row comes once, with its whole set. Such a group is multiplied in blocks of
-   bounded size, inside tasks: a bitmap of each row's columns bounds the overlap of
-   two rows from above, then the sets are compared. A block keeps a forest of what
-   it has linked and gives out the links of the forest only, fewer than its rows.
-5. Remaining pairs get their exact overlap from the whole rows.
+   different components are multiplied on sketches: the parity of a row's columns
+   in each of about as many bits as it has columns bounds the overlap of two rows
+   from above. Rows that sketches connect form a group, where each comes once, with
+   its whole set; the others, that only share a passage, are done. A group is
+   multiplied in blocks of bounded size, inside tasks: bitmaps first, then the sets
+   are compared. A block keeps a forest of what it has linked and gives out the
+   links of the forest only, fewer than its rows.
+5. Remaining pairs that their sketches allow get their exact overlap from the whole
+   rows.
 
 Links within one component that are not needed to connect it are never
 given out, so a group of thousands of near copies costs about its size.
@@ -28,7 +31,8 @@ given out, so a group of thousands of near copies costs about its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +56,17 @@ EVEN = 8
 # Candidate ids up to this number are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
+# Parts over which the entries of a large column are dealt.
+LARGE_PARTS = 64
+
 # Rows whose columns a task handles, and gives out, at once.
 OUT_ROWS = 500
 
 # Bits of a row's bitmap, and rows of one block of a group.
 BITMAP = 2048
 BLOCK = 2048
+# Pairs of rows whose sketches are compared at once.
+PAIRS = 1 << 16
 
 # A key holds the level in its upper 7 bits: four levels for each doubling of the count.
 _LEVELS = 4
@@ -81,7 +90,7 @@ def _count_columns(n: int):
         yield pa.RecordBatch.from_pydict(
             {
                 "part": pa.array(range(SKETCH_ROWS), pa.int32()),
-                "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
+                "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
             }
         )
 
@@ -92,7 +101,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            new = np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
+            new = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.uint64)
             sums[part] = sums[part] + new if part in sums else new
     if sums:
         levels = [(_LEVELS * np.log2(s + 1)).astype(np.uint8).tobytes() for s in sums.values()]
@@ -126,6 +135,31 @@ def bitmap(keys: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """Parity of the number of a row's columns in each bit; the next power of two of bits, 64 at least.
+
+    Each column that only one of two rows has turns one bit, so rows differ in as many
+    columns as in bits, or more. Halves of a sketch joined by "exclusive or" are the
+    sketch of half as many bits.
+    """
+    bits = max(64, 1 << (len(keys) - 1).bit_length())
+    slots = (keys & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of ``words`` 64-bit words from sketches of the same or a larger number."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def _apart(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Most columns in which linked rows of these sizes differ."""
+    return size_a + size_b + 2 * (-percent * (size_a + size_b) // (100 + percent))
+
+
 def required(size: int, percent: int) -> int:
     """Least overlap of a row of ``size`` columns with any linked row."""
     return (size * percent + 99) // 100
@@ -135,11 +169,11 @@ def _rows(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels.value, np.uint8)
         for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
-            sizes, sets, firsts, maps = [], [], [], []
+            sizes, sets, firsts, sketches = [], [], [], []
             for keys in _columns(_plain(batch.column(1)), n, order):
                 sizes.append(len(keys))
                 sets.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
-                maps.append(bitmap(keys) if len(keys) else None)
+                sketches.append(sketch(keys) if len(keys) else None)
                 firsts.append(keys[: len(keys) - required(len(keys), percent) + 1].tobytes() if len(keys) else None)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -147,7 +181,7 @@ def _rows(n: int, percent: int, levels):
                     "size": pa.array(sizes, pa.int64()),
                     "set": pa.array(sets, pa.binary()),
                     "first": pa.array(firsts, pa.binary()),
-                    "bits": pa.array(maps, pa.binary()),
+                    "sketch": pa.array(sketches, pa.binary()),
                 }
             )
 
@@ -171,17 +205,20 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _products(percent: int, small: int):
+def _products(percent: int, small: int, large: int):
     """Row pairs of small columns; entries of larger columns pass on.
 
-    The input is sorted by column and size, and a column never spans partitions.
-    The entries of the last column of a batch wait for the next batch.
+    The input is sorted by column and size, and only a column of level ``large`` or
+    more spans partitions. The entries of the last column of a batch wait for the
+    next batch.
     """
 
     def split(cols, ids, sizes):
         starts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]])
         runs = np.diff(np.r_[starts, len(cols)])
         run = np.repeat(runs, runs)
+        # a part of a large column passes on however small it is
+        run[(cols.view(np.uint64) >> np.uint64(_SHIFT)) >= np.uint64(large)] = small + 1
         left, right = [], []
         for d in range(1, small):
             i = np.flatnonzero((cols[d:] == cols[:-d]) & (run[d:] <= small))
@@ -282,25 +319,26 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     large = int(np.ceil(_LEVELS * np.log2(max(LARGE_COUNT, EVEN * mean))))
     shared = spark.sparkContext.broadcast(levels)
 
-    schema = "doc_id bigint, size bigint, set binary, first binary, bits binary"
+    schema = "doc_id bigint, size bigint, set binary, first binary, sketch binary"
     rows = stage(docs.mapInArrow(_rows(n, percent, shared), schema), "rows")
-    reps = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(
-        F.min(F.struct("doc_id", "size", "first", "bits")).alias("r")
-    )
-    reps = reps.select(F.col("r.doc_id").alias("id"), "r.size", "r.first", "r.bits", "set")
-    reps = stage(reps, "reps")
-    entries = reps.select("id", "size", "first").mapInArrow(_entries, "col bigint, id bigint, size int")
-
-    is_large = F.shiftrightunsigned("col", _SHIFT) >= large
-    sorted_columns = entries.filter(~is_large).repartition("col").sortWithinPartitions("col", "size", "id")
+    sets = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set")
+    reps = sets.agg(F.min(F.struct("doc_id", "size", "first")).alias("r"))
+    reps = reps.select(F.col("r.doc_id").alias("id"), "r.size", "r.first")
+    entries = reps.mapInArrow(_entries, "col bigint, id bigint, size int")
+
+    # entries are made and shuffled once, those of a large column in several parts
+    part = F.pmod(F.xxhash64("id"), F.lit(LARGE_PARTS))
+    part = F.when(F.shiftrightunsigned("col", _SHIFT) >= large, part).otherwise(F.lit(0))
+    entries = entries.repartition("col", part).sortWithinPartitions("col", "size", "id")
     products = stage(
-        sorted_columns.mapInArrow(
-            _products(percent, SMALL_COLUMN), "col bigint, a bigint, size_a bigint, b bigint, size_b bigint"
+        entries.mapInArrow(
+            _products(percent, SMALL_COLUMN, large), "col bigint, a bigint, size_a bigint, b bigint, size_b bigint"
         ),
         "products",
     )
     wide = products.filter("b IS NULL").select("col", F.col("a").alias("id"), F.col("size_a").alias("size"))
-    wide = stage(wide.union(entries.filter(is_large).select("col", "id", F.col("size").cast("bigint"))), "wide")
+    wide = stage(wide, "wide")
+    sketches = stage(_sketches(rows), "sketches")
 
     in_large = wide.groupBy("id").agg(F.count("*").alias("n"))
     pairs = products.filter("b IS NOT NULL").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("c"))
@@ -311,18 +349,18 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
         .select("a", "b")
     )
     pairs = stage(pairs.union(_with_pivot(wide, percent, 0)).distinct(), "pairs")
-    links = stage(_verified(docs, pairs, n, percent, shared), "links")
+    links = stage(_verified(docs, _possible(pairs, sketches, percent), n, percent, shared), "links")
     found = components(links)
 
     wide = _undecided(wide, found)
     if wide is not None:
         more = stage(_with_pivot(wide, percent, 1).distinct(), "pairs")
-        links = stage(links.union(_verified(docs, more, n, percent, shared)), "links")
+        links = stage(links.union(_verified(docs, _possible(more, sketches, percent), n, percent, shared)), "links")
         found = components(links)
         wide = _undecided(wide, found)
     turn = 0
     while wide is not None:
-        more = stage(_within_groups(docs, wide, n, percent, shared, turn), "pairs")
+        more = stage(_within_groups(docs, wide, n, percent, shared, turn, sketches), "pairs")
         right = stage(_verified(docs, more, n, percent, shared).distinct(), "right")
         links = stage(links.union(right), "links")
         found = components(links)
@@ -331,7 +369,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
         # shortened hashes took a pair for linked that is not: again with other bits
         wide, turn = _undecided(wide, found), turn + 1
 
-    named = reps.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
+    named = sets.agg(F.min("doc_id").alias("id")).join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
     # rows without a set are linked with nothing and would all meet in one task
     linked = rows.filter("set IS NOT NULL").select("doc_id", F.col("size").alias("n_shingles"), "set").join(named, "set", "left")
     alone = rows.filter("set IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -364,17 +402,92 @@ def _undecided(wide: DataFrame, found: DataFrame) -> DataFrame | None:
     return None if wide.isEmpty() else wide
 
 
-def _within_groups(docs: DataFrame, wide: DataFrame, n: int, percent: int, levels, turn: int) -> DataFrame:
+def _sketches(rows: DataFrame) -> DataFrame:
+    """The size and sketch of each id's set; null for an id with several sets."""
+    given = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    given = given.agg(*(F.min(c).alias(c) for c in ("set", "size", "sketch")), F.max("set").alias("other"))
+    one = F.col("set") == F.col("other")
+    return given.select("id", *(F.when(one, F.col(c)).alias(c) for c in ("size", "sketch")))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for size_a, size_b, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    words = min(len(x), len(y))
+                    differ = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64)
+                    keep.append(bool(differ <= _apart(size_a, size_b, percent)))
+                else:
+                    keep.append(True)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    for end in ("a", "b"):
+        named = sketches.select(
+            F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")
+        )
+        pairs = pairs.join(named, end, "left")
+    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    return stage(pairs.mapInArrow(allowed, "a bigint, b bigint"), "possible")
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of each group in blocks of about ``BLOCK``; a row goes to every pair of blocks with its own."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
+    rows = rows.join(counts, group).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+
+def _by_block(rows: DataFrame, group: str, values: list[str], multiply: Callable) -> DataFrame:
+    """Links from ``multiply``, called with the rows of one pair of blocks, smallest first."""
+    rows = rows.select(group, "lo", "hi", "own", "size", "id", "component", *values)
+    rows = rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "size", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, binary = [np.zeros(0, np.int64)] * 7, [[] for _ in values]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
+            held = [np.concatenate(x) for x in zip(held, now)]
+            binary = [b + batch.column(7 + i).to_pylist() for i, b in enumerate(binary)]
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+            starts = np.r_[0, new].tolist()
+            for x, y in zip(starts, new.tolist()):
+                yield from multiply([h[x:y] for h in held], *(b[x:y] for b in binary))
+            held, binary = [h[starts[-1] :] for h in held], [b[starts[-1] :] for b in binary]
+        if len(held[0]):
+            yield from multiply(held, *binary)
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(left: list[int], right: list[int], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if left:
+        a, b = ids[left], ids[right]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _within_groups(
+    docs: DataFrame, wide: DataFrame, n: int, percent: int, levels, turn: int, sketches: DataFrame
+) -> DataFrame:
     """Links that join rows of different components in undecided columns, most likely right.
 
-    Undecided columns that share rows form a group. A group's rows are dealt over
-    blocks of about ``BLOCK`` rows, and a row goes to every pair of blocks that has
-    its own; one pair of blocks is multiplied at a time. Sets travel as 32 bits of
-    each column's hash, other ones in each ``turn``: that may take two rows for
-    more alike than they are, never for less.
+    Rows of an undecided column whose sketches allow a link are connected, and rows that
+    are thereby connected form a group. A group's rows are dealt over blocks of about
+    ``BLOCK`` rows, and a row goes to every pair of blocks that has its own; one pair of
+    blocks is multiplied at a time. Sets travel as 32 bits of each column's hash, other
+    ones in each ``turn``: that may take two rows for more alike than they are, never
+    for less.
     """
-    first = wide.groupBy("col").agg(F.min("id").alias("b"))
-    links = wide.join(first, "col").select(F.col("id").alias("a"), "b")
+    dealt = _dealt(wide.select("col", "id", "size", "component"), "col").join(sketches.select("id", "sketch"), "id", "left")
+    links = stage(_by_block(dealt, "col", ["sketch"], _sketch_links(percent)).distinct(), "likely")
     group = components(links).withColumnRenamed("component", "group")
     members = stage(wide.select("id", "component").distinct().join(group, "id"), "members")
 
@@ -395,24 +508,61 @@ def _within_groups(docs: DataFrame, wide: DataFrame, n: int, percent: int, level
     # a repeated id brings each of its texts
     held = only_ids(docs, stage(members.select(F.col("id").alias("doc_id")), "ids"))
     whole = held.mapInArrow(sets, "id bigint, size bigint, bits binary, cols binary").filter("size > 0").distinct()
-    rows = members.join(whole, "id")
-    counts = members.groupBy("group").agg(F.count("*").alias("n"))
-    rows = rows.join(counts, "group").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    rows = rows.select("group", "lo", "hi", "own", "size", "id", "component", "bits", "cols")
-    rows = rows.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "size", "id")
-    return rows.mapInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+    rows = _dealt(members, "group").join(whole, "id")
+    return _by_block(rows, "group", ["bits", "cols"], _block_links(percent)).distinct()
+
+
+def _sketch_links(percent: int):
+    """A forest over the rows of each pair of blocks whose sketches allow a link between two components."""
+
+    def multiply(held: list[np.ndarray], sketches: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        _, lo, hi, own, size, ids, component = held
+        # two rows can be linked while others have joined their components: rows are labelled, not components
+        label = np.arange(len(ids))
+        # sizes ascend, so the rows that are not too large follow directly
+        ends = np.maximum(np.searchsorted(size, size * 100 // percent, "right"), np.arange(len(ids)) + 1)
+        words = np.array([len(x or b"") // 8 for x in sketches])
+        place = np.zeros(len(ids), np.int64)
+        tables = {}
+        for w in set(words.tolist()):
+            of = np.flatnonzero(words == w)
+            place[of] = np.arange(len(of))
+            tables[w] = np.frombuffer(b"".join(sketches[i] or b"" for i in of.tolist()), np.uint64).reshape(len(of), w)
+        counts = ends - np.arange(len(ids)) - 1
+        steps = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum(), PAIRS), "right")
+        left, right = [], []
+        for x, y in zip(steps, np.r_[steps[1:], len(ids)]):
+            i = np.repeat(np.arange(x, y), counts[x:y])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y]) + i + 1
+            other = (component[i] != component[j]) & (label[i] != label[j])
+            if lo[0] != hi[0]:
+                other &= own[i] != own[j]
+            i, j = i[other], j[other]
+            differ = np.zeros(len(i), np.int64)
+            for v, w in {(v, w) for v in tables for w in tables if v and w}:
+                at = np.flatnonzero((words[i] == v) & (words[j] == w))
+                if len(at):
+                    p, q = folded(tables[v][place[i[at]]], min(v, w)), folded(tables[w][place[j[at]]], min(v, w))
+                    differ[at] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+            likely = differ <= _apart(size[i], size[j], percent)
+            for p, q in zip(i[likely].tolist(), j[likely].tolist()):
+                if label[p] != label[q]:
+                    label[label == label[q]] = label[p]
+                    left.append(p)
+                    right.append(q)
+        yield from _links(left, right, ids)
+
+    return multiply
 
 
 def _block_links(percent: int):
     """The links of a forest over the rows of each pair of blocks."""
 
-    def multiply(held: list[np.ndarray], bits: np.ndarray, cols: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def multiply(held: list[np.ndarray], maps: list[bytes], cols: list[bytes]) -> Iterator[pa.RecordBatch]:
         _, lo, hi, own, size, ids, component = held
         # rows that are known to be linked have one label
         label = np.unique(component, return_inverse=True)[1]
+        bits = np.frombuffer(b"".join(maps), np.uint64).reshape(-1, BITMAP // 64)
         sets = [np.frombuffer(c, np.uint32) for c in cols]
         left, right = [], []
         for i in range(len(ids) - 1):
@@ -434,29 +584,11 @@ def _block_links(percent: int):
                 both = len(np.intersect1d(sets[i], sets[k], assume_unique=True)) + size[i] - len(sets[i])
                 if both >= least:
                     label[label == label[k]] = label[i]
-                    left.append(min(ids[i], ids[k]))
-                    right.append(max(ids[i], ids[k]))
-        if left:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+                    left.append(i)
+                    right.append(k)
+        yield from _links(left, right, ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits, cols = [np.zeros(0, np.int64)] * 7, np.zeros((0, BITMAP // 64), np.uint64), []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
-            more = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
-            held, bits = [np.concatenate(x) for x in zip(held, now)], np.concatenate([bits, more])
-            cols += batch.column(8).to_pylist()
-            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
-            starts = np.r_[0, new]
-            for x, y in zip(starts, new):
-                yield from multiply([h[x:y] for h in held], bits[x:y], cols[x:y])
-            held, bits, cols = [h[starts[-1] :] for h in held], bits[starts[-1] :], cols[starts[-1] :]
-        if len(held[0]):
-            yield from multiply(held, bits, cols)
-
-    return run
+    return multiply
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, levels) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from ledger_spark.llm import ngram_join as nj
@@ -134,3 +135,57 @@ def test_a_wrong_link_is_found_again(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, 3, 70).collect()}
     assert got == jaccard_components(rows, 3, 70) and len(seen) > 3
+
+
+def texts_with_passages(rng, n=240):
+    """Texts of a few words of their own and some of many passages."""
+    passages = [" ".join(f"p{k}.{i}" for i in range(40)) for k in range(30)]
+    out = []
+    for i in range(n):
+        parts = [" ".join(f"w{i}.{j}.{k}" for k in range(3)) for j in range(3)]
+        out.append(" ".join(x for pair in zip(parts, rng.sample(passages, 3)) for x in pair))
+    return out
+
+
+def test_rows_that_share_passages_only_are_not_compared_whole(spark, monkeypatch):
+    """Passages connect all texts, but sketches show that few of them are alike."""
+    all_large(monkeypatch, 16)
+    whole = []
+
+    def watched(df, label):
+        out = stage(df, label)
+        whole.extend([out.count()] * (label == "members"))
+        return out
+
+    monkeypatch.setattr(nj, "stage", watched)
+    texts = texts_with_passages(random.Random(5))
+    copies = [(1000 + i, text + " z" * (i % 3)) for i, text in enumerate(texts[:20])]
+    rows = list(enumerate(texts)) + copies
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, 3, 80).collect()}
+    assert got == jaccard_components(rows, 3, 80)
+    assert whole and sum(whole) <= len(rows) // 4
+
+
+def test_repeated_ids_in_large_columns(spark, monkeypatch):
+    """An id with several texts has no sketch, and each of its texts is compared."""
+    all_large(monkeypatch, 16)
+    rng = random.Random(6)
+    texts = texts_with_passages(rng, 60)
+    rows = list(enumerate(texts)) + [(7, texts[40] + " z"), (7, "other words here"), (200, texts[7] + " y"), (201, texts[50] + " y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r[0], r[2]) for r in ngram_components(docs, 3, 80).collect()}
+    linked = {40: 7, 200: 7, 201: 50}
+    assert got == {(i, linked.get(i, i)) for i, _ in rows}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 60, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 57, size, np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 57, size // 2, np.uint64)])
+        x, y = (np.frombuffer(nj.sketch(s), np.uint64) for s in (a, b))
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count(nj.folded(x, words) ^ nj.folded(y, words)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+        assert len(x) * 64 <= max(64, 2 * len(a))
