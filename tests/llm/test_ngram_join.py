@@ -147,9 +147,8 @@ def texts_with_passages(rng, n=240):
     return out
 
 
-def test_rows_that_share_passages_only_are_not_compared_whole(spark, monkeypatch):
-    """Passages connect all texts, but sketches show that few of them are alike."""
-    all_large(monkeypatch, 16)
+def compared_whole(monkeypatch):
+    """Numbers of rows that come with their whole sets."""
     whole = []
 
     def watched(df, label):
@@ -158,12 +157,20 @@ def test_rows_that_share_passages_only_are_not_compared_whole(spark, monkeypatch
         return out
 
     monkeypatch.setattr(nj, "stage", watched)
+    return whole
+
+
+@pytest.mark.parametrize("n,percent", [(3, 80), (5, 80)])
+def test_rows_that_share_passages_only_are_not_compared_whole(spark, monkeypatch, n, percent):
+    """Passages connect all texts, but sketches show that few of them are alike."""
+    all_large(monkeypatch, 16)
+    whole = compared_whole(monkeypatch)
     texts = texts_with_passages(random.Random(5))
     copies = [(1000 + i, text + " z" * (i % 3)) for i, text in enumerate(texts[:20])]
     rows = list(enumerate(texts)) + copies
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, 3, 80).collect()}
-    assert got == jaccard_components(rows, 3, 80)
+    got = {r[0]: tuple(r)[1:] for r in ngram_components(docs, n, percent).collect()}
+    assert got == jaccard_components(rows, n, percent)
     assert whole and sum(whole) <= len(rows) // 4
 
 
