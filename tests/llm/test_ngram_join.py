@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledger_spark.llm import ngram_join as nj
 from ledger_spark.llm.ngram_join import ngram_components
 from ledger_spark.staging import stage
@@ -174,6 +175,18 @@ def test_rows_that_share_passages_only_are_not_compared_whole(spark, monkeypatch
     assert whole and sum(whole) <= len(rows) // 4
 
 
+def test_near_duplicates_of_the_pipeline_with_shared_passages(spark, monkeypatch):
+    """One of each group stays, and few rows are compared whole."""
+    all_large(monkeypatch, 16)
+    whole = compared_whole(monkeypatch)
+    texts = texts_with_passages(random.Random(9), 200)
+    rows = list(enumerate(texts)) + [(1000 + i, text + " z") for i, text in enumerate(texts[:20])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r[0] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, (_, root) in jaccard_components(rows, 5, 80).items() if i == root}
+    assert whole and sum(whole) <= len(rows) // 4
+
+
 def test_repeated_ids_in_large_columns(spark, monkeypatch):
     """An id with several texts has no sketch, and each of its texts is compared."""
     all_large(monkeypatch, 16)
